@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("normalisation", "analytics")
+MODULES = ("normalisation", "analytics", "joins")
 
 
 def _registered():

@@ -84,7 +84,7 @@ register(
 register(
     "NORM-11",
     lambda t: normalise_runs(t("run_rows")).withColumn("at", F.col("at").cast("string")),
-    """select run_id, cast(coalesce(finished_at, started_at, created_at) as varchar) as at,
+    """select run_id, cast(coalesce(finished_at, started_at, created_at) as varchar) as "at",
               case when run_trigger = 'manual' then 'manual' else 'schedule' end as run_trigger,
               case when status in ('success', 'error') then status else 'partial' end as status,
               coalesce(added, 0) as added, coalesce(updated, 0) as updated, coalesce(warnings, 0) as warnings
@@ -105,6 +105,6 @@ register(
         f"array_to_string({LIST_SQL.format(c)}, '|') as {c}"
         for c in ("property_types", "keywords_required", "keywords_excluded", "source_ids")
     )
-    + f", len({LIST_SQL.format('keywords_required')}) as n_required from searches",
+    + f", cast(len({LIST_SQL.format('keywords_required')}) as integer) as n_required from searches",
     "searches",
 )

@@ -16,6 +16,7 @@ def local_session(cores: int | str = 8, name: str = "hearthmark", **conf: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
     )
     for key, value in conf.items():
