@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("normalisation", "analytics", "joins")
+MODULES = ("normalisation", "analytics", "joins", "matching")
 
 
 def _registered():

@@ -270,7 +270,7 @@ def with_views(body: str, *names: str) -> str:
         f"{name} as ({_sql(name, 'duckdb').format(**{d: d for d in _needs(name, 'duckdb')})})" for name in ordered
     ]
     extra = body.strip()
-    if extra.lower().startswith("with "):
-        extra = extra[5:]
-        return "with " + ", ".join(rendered + [extra]) if rendered else "with " + extra
+    for opening in ("with recursive ", "with "):
+        if extra.lower().startswith(opening):
+            return opening + ", ".join([*rendered, extra[len(opening) :]])
     return ("with " + ", ".join(rendered) + " " if rendered else "") + extra

@@ -18,11 +18,14 @@ def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colum
     half_lat = F.sin(F.radians(lat2 - lat1) / F.lit(2.0))
     half_lng = F.sin(F.radians(lng2 - lng1) / F.lit(2.0))
     chord = half_lat * half_lat + half_lng * half_lng * F.cos(F.radians(lat1)) * F.cos(F.radians(lat2))
-    return F.lit(2.0 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(chord)))
+    half_angle = F.sqrt(chord)
+    # a comparison, not ``least``: that would turn a missing coordinate into a distance
+    return F.lit(2.0 * EARTH_RADIUS_M) * F.asin(F.when(half_angle > 1, F.lit(1.0)).otherwise(half_angle))
 
 
 def closeness(distance_m: Column, reach_m: float = NEAR_M) -> Column:
-    return F.greatest(F.lit(0.0), F.lit(1.0) - distance_m / F.lit(reach_m))
+    near = F.lit(1.0) - distance_m / F.lit(reach_m)
+    return F.when(near < 0, F.lit(0.0)).otherwise(near)
 
 
 def in_polygon(lng: Column, lat: Column, ring: Column) -> Column:

@@ -50,4 +50,5 @@ def best_hamming(left: Column, right: Column) -> Column:
 
 
 def image_similarity(left: Column, right: Column, bits: int = 64) -> Column:
-    return F.greatest(F.lit(0.0), F.lit(1.0) - best_hamming(left, right) / F.lit(float(bits)))
+    near = F.lit(1.0) - best_hamming(left, right) / F.lit(float(bits))
+    return F.when(near < 0, F.lit(0.0)).otherwise(near)

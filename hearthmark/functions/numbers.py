@@ -46,8 +46,12 @@ def number_text(value: Column) -> Column:
 def proximity(left: Column, right: Column) -> Column:
     """Relative closeness of two numbers in 0..1; equal numbers (zeros too) give 1."""
     widest = F.greatest(F.abs(left), F.abs(right))
-    return F.when(widest == 0, F.lit(1.0)).otherwise(
-        F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(left - right) / widest)
+    near = F.lit(1.0) - F.abs(left - right) / widest
+    return (
+        F.when(left.isNull() | right.isNull(), F.lit(None).cast("double"))
+        .when(widest == 0, F.lit(1.0))
+        .when(near < 0, F.lit(0.0))
+        .otherwise(near)
     )
 
 
