@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("normalisation", "analytics", "joins", "matching")
+MODULES = ("normalisation", "analytics", "joins", "matching", "ingestion")
 
 
 def _registered():

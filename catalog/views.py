@@ -211,7 +211,14 @@ VIEWS: dict[str, str] = {
                  when 11 then concat('Maison avec garage ', p_brand) when 12 then 'Propriété' when 13 then 'F4'
                  when 14 then concat(p_type, ' entrepôt') else p_name end as text
         from {part}""",
-    # one feed payload per source, its items nested under a dotted path
+    # one payload per document: a list of two items, a single item, null, nothing or broken JSON
+    "feeds": """
+        select item_id, source,
+               case item_id % 6 when 0 then concat('{{"data":{{"pages":[{{"items":[', item, ',null,', item, ']}}]}}}}')
+                    when 1 then concat('{{"data":{{"pages":[{{"items":', item, '}}]}}}}') when 2 then '{{"data":{{"pages":[{{"items":null}}]}}}}'
+                    when 3 then concat('{{"data":', item, '}}') when 4 then concat('{{"data":{{"pages":[{{"items":[', item, ']}}', ',{{"items":[1]}}]}}}}')
+                    else concat('{{"data":', item) end as payload
+        from {raw_items}""",
     "raw_items": """
         select doc_id as item_id, source,
                concat('{{"ref":', case when doc_id % 6 <> 0 then concat('"', doc_id, '"') else 'null' end,
