@@ -46,7 +46,7 @@ def relevance_sql(listings: str) -> str:
     hay as (select id, search_id, {fold_sql("coalesce(title, '') || ' ' || coalesce(description, '')")} as hay from {listings}),
     located as (select id, search_id, lat, lng from {listings} where lat is not null and lng is not null),
     inside as ({INSIDE_SQL.format(pairs='located')}),
-    words as ({_KEYWORD_FRACTION}),
+    wanted_words as ({_KEYWORD_FRACTION}),
     banned as ({_BANNED}),
     factors as (
       select l.id, s.search_id, s.search_id is null as free,
@@ -59,7 +59,7 @@ def relevance_sql(listings: str) -> str:
                   then case when list_contains({LIST_SQL.format('s.property_types')}, l.property_type) then 15.0::double else 0.0::double end end as c4,
              case when w.n > 0 then floor(w.found / w.n * 20 * 10 + 0.5) / 10 end as c5
       from {listings} l left join searches s on s.search_id = l.search_id
-      left join inside i on i.id = l.id left join words w on w.id = l.id left join banned b on b.id = l.id),
+      left join inside i on i.id = l.id left join wanted_words w on w.id = l.id left join banned b on b.id = l.id),
     scored as (
       select id, search_id, coalesce(excluded and not free, false) as excluded,
              cast(case when free then 100 when excluded then 0

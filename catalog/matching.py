@@ -139,7 +139,7 @@ register(
 
 
 def _slim_pairs(t):
-    rows = with_hashes(t("listings")).select("id", "lat", "lng", "phashes")
+    rows = with_hashes(t("listings")).select("id", "lat", "lng", images.hash_codes(F.col("phashes")).alias("hashes"))
     a = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
     b = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
     return a.join(b, F.col("b_id") == F.col("a_id") + 1).withColumnsRenamed({"a_id": "a", "b_id": "b"})
@@ -157,7 +157,7 @@ register(
 )
 register(
     "SIM-6",
-    lambda t: _slim_pairs(t).select("a", "b", F.round(images.image_similarity(F.col("a_phashes"), F.col("b_phashes")), 6).alias("image")),
+    lambda t: _slim_pairs(t).select("a", "b", F.round(images.image_similarity(F.col("a_hashes"), F.col("b_hashes")), 6).alias("image")),
     _SLIM_SQL
     + """select a, b, case when ha is not null and hb is not null
            then round(1 - bit_count(xor(cast('0x' || ha as ubigint), cast('0x' || hb as ubigint))) / 64, 6) end as image from p""",

@@ -26,29 +26,41 @@ def _digits(code: Column) -> Column:
     )
 
 
-def hamming(left: Column, right: Column) -> Column:
-    """Differing bits of two hex hashes; null when they cannot be compared."""
-    hexadecimal = left.rlike("^[0-9a-fA-F]*$") & right.rlike("^[0-9a-fA-F]*$")
-    word = F.bit_count(
-        F.conv(left, 16, -10).cast("bigint").bitwiseXOR(F.conv(right, 16, -10).cast("bigint"))
+def hash_codes(hashes: Column) -> Column:
+    """Hex hashes parsed once: length, 64-bit word (up to 16 digits) and text; invalid ones dropped."""
+    valid = F.filter(hashes, lambda h: h.rlike("^[0-9a-fA-F]*$"))
+    return F.transform(
+        valid,
+        lambda h: F.struct(
+            F.length(h).alias("length"),
+            F.when(F.length(h) == 0, F.lit(0)).when(F.length(h) <= 16, F.conv(h, 16, -10)).cast("bigint").alias("word"),
+            F.lower(h).alias("text"),
+        ),
     )
+
+
+def _distance(left: Column, right: Column) -> Column:
+    words = F.bit_count(left["word"].bitwiseXOR(right["word"]))
     by_digit = F.aggregate(
-        F.zip_with(_digits(left), _digits(right), lambda a, b: F.bit_count(a.bitwiseXOR(b))),
+        F.zip_with(_digits(left["text"]), _digits(right["text"]), lambda a, b: F.bit_count(a.bitwiseXOR(b))),
         F.lit(0),
         lambda total, bits: total + bits,
     )
-    return F.when(
-        hexadecimal & (F.length(left) == F.length(right)),
-        F.when(F.length(left) == 0, F.lit(0)).when(F.length(left) <= 16, word).otherwise(by_digit),
-    ).cast("int")
+    same = left["length"] == right["length"]
+    return F.when(same & (left["length"] <= 16), words).when(same, by_digit).cast("int")
 
 
 def best_hamming(left: Column, right: Column) -> Column:
-    """Smallest distance over all pairs of two short hash lists; null when none compares."""
-    pairs = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: hamming(a, b))))
-    return F.array_min(pairs)
+    """Smallest number of differing bits over all pairs of two parsed hash lists; null when none compares."""
+    return F.array_min(F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: _distance(a, b)))))
+
+
+def hamming(left: Column, right: Column) -> Column:
+    """Differing bits of two hex hashes; null when they cannot be compared."""
+    return best_hamming(hash_codes(F.array(left)), hash_codes(F.array(right)))
 
 
 def image_similarity(left: Column, right: Column, bits: int = 64) -> Column:
+    """Best closeness over two parsed hash lists (see :func:`hash_codes`); null when none compares."""
     near = F.lit(1.0) - best_hamming(left, right) / F.lit(float(bits))
     return F.when(near < 0, F.lit(0.0)).otherwise(near)

@@ -74,6 +74,17 @@ def trigram_set(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(padded, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
 
 
+def packed(grams: Column) -> Column:
+    """Trigrams as whole numbers, 21 bits per character: smaller to move, quicker to intersect."""
+
+    def code(gram: Column, place: int) -> Column:
+        return F.ascii(F.substring(gram, place, 1)).cast("bigint")
+
+    return F.transform(
+        grams, lambda g: F.shiftleft(code(g, 1), 42) + F.shiftleft(code(g, 2), 21) + code(g, 3)
+    )
+
+
 def jaccard(left: Column, right: Column) -> Column:
     """Jaccard index of two sets given as duplicate-free arrays."""
     common = F.size(F.array_intersect(left, right))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthmark.functions.geo import METRES_PER_DEGREE, NEAR_M, closeness, haversine_m
-from hearthmark.functions.images import image_similarity
+from hearthmark.functions.images import hash_codes, image_similarity
 from hearthmark.functions.numbers import half_up, number_text, one_decimal, proximity
 from hearthmark.functions.text import (
     TRIGRAM_SHARE,
@@ -17,11 +18,13 @@ from hearthmark.functions.text import (
     fold,
     jaccard,
     listing_text,
+    packed,
     squash,
     text_similarity,
     token_set,
     trigram_set,
 )
+from hearthmark.operators.once import with_once
 from hearthmark.operators.relevance import top_details
 from hearthmark.operators.skew import grid_join
 from hearthmark.session import checkpointed
@@ -59,26 +62,22 @@ LABELS = {
 HASH_BITS = 64
 
 NUMBERS = ("price", "surface_m2", "rooms", "lat", "lng")
-SLIM = (*NUMBERS, "property_type", "_contact", "phashes", "_blank", "_n_words", "_n_grams")
+SLIM = (*NUMBERS, "property_type", "_contact", "_hashes", "_blank", "_n_words", "_n_grams")
 FULL = (*SLIM, "_words", "_grams")
 
 
 def comparable(listings: DataFrame) -> DataFrame:
     """Add what the pair score needs: folded contact, token set and trigram set."""
     full = listing_text(F.col("title"), F.col("description"))
-    rows = listings.withColumns(
-        {
-            "_text": full,
-            "_contact": F.nullif(squash(fold(F.col("contact_name"))), F.lit("")),
-            "property_type": F.nullif("property_type", F.lit("")),
-        }
+    rows = with_once(
+        listings,
+        _text=full,
+        _contact=F.nullif(squash(fold(F.col("contact_name"))), F.lit("")),
+        property_type=F.nullif("property_type", F.lit("")),
+        _hashes=hash_codes(F.col("phashes")),
     )
-    rows = rows.withColumns(
-        {
-            "_blank": F.col("_text") == "",
-            "_words": token_set(F.col("_text")),
-            "_grams": trigram_set(F.col("_text")),
-        }
+    rows = with_once(
+        rows, _blank=F.col("_text") == "", _words=token_set(F.col("_text")), _grams=packed(trigram_set(F.col("_text")))
     )
     return rows.withColumns({"_n_words": F.size("_words"), "_n_grams": F.size("_grams")}).drop("_text")
 
@@ -101,7 +100,7 @@ def attribute_similarities(a: str, b: str, geo_tolerance_m: float = NEAR_M) -> d
         "rooms": F.when(rooms_gap == 0, F.lit(1.0)).when(rooms_gap == 1, F.lit(0.5)).when(rooms_gap > 1, F.lit(0.0)),
         "property_type": (_side(a, "property_type") == _side(b, "property_type")).cast("double"),
         "geo": closeness(distance, geo_tolerance_m),
-        "image": image_similarity(_side(a, "phashes"), _side(b, "phashes"), HASH_BITS),
+        "image": image_similarity(_side(a, "_hashes"), _side(b, "_hashes"), HASH_BITS),
         "contact": (_side(a, "_contact") == _side(b, "_contact")).cast("double"),
     }
 
@@ -197,7 +196,7 @@ def score_pairs(
         _renamed(right, FULL, "b_", [F.col("id").alias("b")]), "b"
     )
     sims = {f"_sim_{n}": s for n, s in attribute_similarities("a_", "b_", geo_tolerance_m).items()}
-    rows = with_score(rows.withColumns({"_sim_text": _text_of_pair("a_", "b_"), **sims}), weights, thresholds)
+    rows = with_score(with_once(rows, _sim_text=_text_of_pair("a_", "b_"), **sims), weights, thresholds)
     if explain:
         rows = with_explanation(rows, weights)
     kept = [*pairs.columns, "score", "bucket", *[f"_sim_{n}" for n in SIMILARITIES]]
@@ -224,44 +223,71 @@ def _loss(name: str) -> Column:
     return F.coalesce(F.lit(WEIGHTS[name]) * (F.lit(1.0) - _side("_sim_", name)), F.lit(0.0))
 
 
+def _overlap_bound(kind: str) -> Column:
+    """Number of common elements is at most the smaller set."""
+    return F.least(f"a__n_{kind}", f"b__n_{kind}")
+
+
+def _text_bound(common_words: Column) -> Column:
+    """Best text similarity that set sizes and a bound on the common words allow."""
+    words = F.when((F.col("a__n_words") == 0) & (F.col("b__n_words") == 0), F.lit(1.0)).otherwise(
+        F.coalesce(common_words / (F.col("a__n_words") + F.col("b__n_words") - common_words), F.lit(0.0))
+    )
+    grams = F.lit(2.0) * _overlap_bound("grams") / (F.col("a__n_grams") + F.col("b__n_grams"))
+    blended = F.lit(WORD_SHARE) * words + F.lit(TRIGRAM_SHARE) * grams
+    return F.when(F.col("a__blank") != F.col("b__blank"), F.lit(0.0)).otherwise(blended)
+
+
 def _within_budget(rows: DataFrame, floor: Column) -> DataFrame:
-    """Drop pairs that cannot reach ``floor`` even with the best text overlap their sizes allow."""
-    sims = {f"_sim_{n}": s for n, s in attribute_similarities("a_", "b_").items()}
-    rows = rows.withColumns(sims)
-    weight, loss = F.lit(WEIGHTS["text"]), F.lit(0.0)
-    for name in SIMILARITIES[1:]:
+    """Drop pairs that cannot reach ``floor`` even with the best text overlap their sizes allow.
+
+    The cheap attributes decide first; images are compared on what is left.
+    ``_room`` keeps the loss the text may still cause.
+    """
+    sims = attribute_similarities("a_", "b_")
+    image = sims.pop("image")
+    cheap = [n for n in SIMILARITIES[1:] if n != "image"]
+    rows = with_once(rows, **{f"_sim_{n}": sims[n] for n in cheap})
+    compares_images = (F.size("a__hashes") > 0) & (F.size("b__hashes") > 0)
+    weight = F.lit(WEIGHTS["text"]) + F.when(compares_images, F.lit(WEIGHTS["image"])).otherwise(F.lit(0.0))
+    loss = F.lit(0.0)
+    for name in cheap:
         weight = weight + F.when(_side("_sim_", name).isNotNull(), F.lit(WEIGHTS[name])).otherwise(F.lit(0.0))
         loss = loss + _loss(name)
-    words = F.when(
-        (F.col("a__n_words") == 0) & (F.col("b__n_words") == 0), F.lit(1.0)
-    ).otherwise(F.least("a__n_words", "b__n_words") / F.greatest("a__n_words", "b__n_words"))
-    grams = F.lit(2.0) * F.least("a__n_grams", "b__n_grams") / (F.col("a__n_grams") + F.col("b__n_grams"))
-    best_text = F.when(F.col("a__blank") != F.col("b__blank"), F.lit(0.0)).otherwise(
-        F.lit(WORD_SHARE) * words + F.lit(TRIGRAM_SHARE) * grams
+    room = (F.lit(1.0) - floor / F.lit(100.0)) * weight - loss + F.lit(EPSILON)
+    text_loss = F.lit(WEIGHTS["text"]) * (F.lit(1.0) - _text_bound(_overlap_bound("words")))
+    rows = with_once(rows, _room=room - text_loss, _text_loss=text_loss).where(F.col("_room") >= 0)
+    rows = with_once(rows.drop(*[f"_sim_{n}" for n in cheap]), _sim_image=image)
+    # hashes of different lengths do not compare: then the image carries no weight either
+    void = F.when(compares_images & F.col("_sim_image").isNull(), (F.lit(1.0) - floor / F.lit(100.0)) * F.lit(WEIGHTS["image"]))
+    left_over = F.col("_room") - _loss("image") - F.coalesce(void, F.lit(0.0))
+    rows = with_once(rows, _room=left_over + F.col("_text_loss")).drop("_sim_image")
+    return rows.where(F.col("_room") >= F.col("_text_loss"))
+
+
+def _rarest_first(rows: DataFrame, frequencies: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Words of every row from rare to common; a row without words holds the empty word."""
+    words = rows.select("id", F.explode_outer("_words").alias("_word"), *scope).withColumn(
+        "_word", F.coalesce("_word", F.lit(""))
+    )
+    counted = words.join(frequencies, [*scope, "_word"], "left")
+    entry = F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_word").alias("word"))
+    ordered = counted.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("_ordered"))
+    located = (F.col("lat").isNotNull() & F.col("lng").isNotNull()).alias("_located")
+    return rows.select("id", *scope, "_n_words", located).join(
+        ordered.select("id", F.transform("_ordered", lambda e: e["word"]).alias("_ordered")), "id"
     )
-    loss = loss + F.lit(WEIGHTS["text"]) * (F.lit(1.0) - best_text)
-    budget = (F.lit(1.0) - floor / F.lit(100.0)) * weight
-    return rows.where(loss <= budget + F.lit(EPSILON)).drop(*sims)
 
 
-def _word_index(rows: DataFrame, frequencies: DataFrame, scope: Sequence[str], overlap: float, side: Column) -> DataFrame:
-    """Rarest words of each row that a partner with Jaccard >= ``overlap`` must share one of."""
-    words = rows.select("id", *scope, "_n_words", F.explode_outer("_words").alias("_word")).withColumn(
-        "_word", F.coalesce("_word", F.lit(""))
-    )
-    ranked = words.join(frequencies, [*scope, "_word"], "left")
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_word").alias("word"))))
+def _word_keys(index: DataFrame, scope: Sequence[str], overlap: float, row_id: str) -> DataFrame:
+    """The rarest words of each row, enough that a partner with Jaccard >= ``overlap`` shares one."""
     needed = F.col("_n_words") - F.ceil(F.lit(overlap) * F.col("_n_words") - F.lit(EPSILON)) + 1
-    prefix = ranked.groupBy("id", *scope, "_n_words").agg(order.alias("_ordered"))
-    return prefix.select(
-        "id", *scope, side.alias("_side"), F.explode(F.slice("_ordered", 1, F.greatest(F.lit(1), needed.cast("int")))).alias("_entry")
-    ).select("id", *scope, "_side", F.col("_entry.word").alias("_word"))
+    prefix = F.slice("_ordered", 1, F.greatest(F.lit(1), needed.cast("int")))
+    return index.select(F.col("id").alias(row_id), *scope, F.explode(prefix).alias("_word"))
 
 
 def _log_band(value: Column, ratio: float) -> Column:
     """Band number of a magnitude; values within ``ratio`` are in the same or adjacent bands."""
-    import math
-
     return F.floor(F.log(F.abs(value)) / F.lit(-math.log(ratio))).cast("bigint")
 
 
@@ -311,34 +337,54 @@ def _hash_chunks(rows: DataFrame) -> DataFrame:
 
 
 class _Sides:
-    """Slim attribute tables of both sides and the words behind them."""
+    """Attribute tables of both sides and their words in order of rarity."""
 
-    def __init__(self, left: DataFrame, right: DataFrame, scope: Sequence[str]):
+    def __init__(self, left: DataFrame, right: DataFrame, scope: Sequence[str], index: tuple[DataFrame, DataFrame] | None = None):
         self.left, self.right, self.scope = left, right, list(scope)
         self.a = _renamed(left, SLIM, "a_", [F.col("id").alias("a"), *scope])
         self.b = _renamed(right, SLIM, "b_", [F.col("id").alias("b"), *scope])
-        self.frequencies = (
-            right.select(*scope, F.explode("_words").alias("_word"))
-            .groupBy(*scope, "_word")
-            .agg(F.count(F.lit(1)).alias("_df"))
-        )
+        if index is None:
+            words = right.select(*scope, F.explode("_words").alias("_word"))
+            frequencies = words.groupBy(*scope, "_word").agg(F.count(F.lit(1)).alias("_df"))
+            index = (
+                checkpointed(_rarest_first(left, frequencies, scope)),
+                checkpointed(_rarest_first(right, frequencies, scope)),
+            )
+        self.index = index
+
+    def without(self, settled: DataFrame) -> _Sides:
+        """The same sides after taking out settled probe rows."""
+        done = settled.select(F.col("a").alias("id"))
+        left_index = self.index[0].join(done, "id", "left_anti")
+        return _Sides(self.left.join(done, "id", "left_anti"), self.right, self.scope, (left_index, self.index[1]))
 
     def by_words(self, overlap: float, floor: Column, left_where: Column | None = None, right_where: Column | None = None) -> DataFrame:
-        left = self.left if left_where is None else self.left.where(left_where)
-        right = self.right if right_where is None else self.right.where(right_where)
-        a = _word_index(left, self.frequencies, self.scope, overlap, F.lit(0)).select(F.col("id").alias("a"), *self.scope, "_word")
-        b = _word_index(right, self.frequencies, self.scope, overlap, F.lit(0)).select(F.col("id").alias("b"), *self.scope, "_word")
-        met = grid_join(a, b, [*self.scope, "_word"], "a", "b").select("a", "b").distinct()
-        return self.kept(met, floor)
+        left, right = self.index
+        left = left if left_where is None else left.where(left_where)
+        right = right if right_where is None else right.where(right_where)
+        met = grid_join(
+            _word_keys(left, self.scope, overlap, "a"), _word_keys(right, self.scope, overlap, "b"), [*self.scope, "_word"], "a", "b"
+        )
+        return self.kept(met.select("a", "b").distinct(), floor)
 
     def kept(self, met: DataFrame, floor: Column) -> DataFrame:
         rows = met.join(self.a.drop(*self.scope), "a").join(self.b.drop(*self.scope), "b")
-        return _within_budget(rows, floor).select("a", "b")
+        return _within_budget(rows, floor).select("a", "b", "_room")
+
+    def enough_words(self, pairs: DataFrame) -> DataFrame:
+        """Drop pairs whose real word overlap leaves too little, before any trigram moves."""
+        columns = ["_words", "_n_words", "_n_grams", "_blank"]
+        rows = pairs.join(_renamed(self.left, columns, "a_", [F.col("id").alias("a")]), "a").join(
+            _renamed(self.right, columns, "b_", [F.col("id").alias("b")]), "b"
+        )
+        rows = with_once(rows, _common=F.size(F.array_intersect("a__words", "b__words")))
+        loss = F.lit(WEIGHTS["text"]) * (F.lit(1.0) - _text_bound(F.col("_common")))
+        return rows.where(loss <= F.col("_room")).select("a", "b")
 
     def by_cells(self, floor: Column, reach_m: float = NEAR_M) -> DataFrame:
         a = _grid_cells(self.a.withColumns({"lat": F.col("a_lat"), "lng": F.col("a_lng")}), True, reach_m).drop("lat", "lng")
         b = _grid_cells(self.b.withColumns({"lat": F.col("b_lat"), "lng": F.col("b_lng")}), False, reach_m).drop("lat", "lng")
-        return _within_budget(grid_join(a, b, [*self.scope, "_row", "_column"], "a", "b"), floor).select("a", "b")
+        return _within_budget(grid_join(a, b, [*self.scope, "_row", "_column"], "a", "b"), floor).select("a", "b", "_room")
 
     def by_attributes(self, price_ratio: float, floor: Column) -> DataFrame:
         """Geo-less pairs with little word overlap: same type, price in a neighbouring band."""
@@ -358,7 +404,7 @@ class _Sides:
         a, b = keyed(self.a, "a_", True), keyed(self.b, "b_", False)
         unlocated = F.col("a_lat").isNull() | F.col("a_lng").isNull() | F.col("b_lat").isNull() | F.col("b_lng").isNull()
         met = grid_join(a, b, [*self.scope, "_kind", "_band"], "a", "b").where(unlocated)
-        return _within_budget(met, floor).select("a", "b")
+        return _within_budget(met, floor).select("a", "b", "_room")
 
     def by_images(self) -> DataFrame:
         """Pairs whose image and position promote them whatever their score."""
@@ -375,7 +421,7 @@ class _Sides:
 def tight_candidates(sides: _Sides, floor: float) -> DataFrame:
     """Pairs that can reach a floor so high that their texts must nearly agree."""
     text_floor = 1.0 - (1.0 - floor / 100.0) / WEIGHTS["text"]
-    return sides.by_words(_word_floor(text_floor), F.lit(floor))
+    return sides.by_words(_word_floor(text_floor), F.lit(floor)).select("a", "b")
 
 
 def candidates(sides: _Sides, floor: float) -> DataFrame:
@@ -393,18 +439,18 @@ def candidates(sides: _Sides, floor: float) -> DataFrame:
     if far_text < TRIGRAM_SHARE or not 0 < left_over < WEIGHTS["property_type"]:
         raise ValueError("the blocking bounds do not hold for this floor; use mode='exact'")
     limit = F.lit(floor)
-    unlocated = F.col("lat").isNull() | F.col("lng").isNull()
+    located = F.col("_located")
     routes = [
         sides.by_cells(limit),
         sides.by_words(_word_floor(far_text), limit),
-        sides.by_words(LOW_OVERLAP, limit, left_where=unlocated),
-        sides.by_words(LOW_OVERLAP, limit, left_where=~unlocated, right_where=unlocated),
+        sides.by_words(LOW_OVERLAP, limit, left_where=~located),
+        sides.by_words(LOW_OVERLAP, limit, left_where=located, right_where=~located),
         sides.by_attributes(1.0 - left_over / WEIGHTS["price"], limit),
     ]
     merged = routes[0]
     for route in routes[1:]:
         merged = merged.unionByName(route)
-    return merged.distinct()
+    return sides.enough_words(merged.groupBy("a", "b").agg(F.max("_room").alias("_room")))
 
 
 def _profiles(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -460,20 +506,19 @@ def best_matches(
 
 
 def _blocked_best(left: DataFrame, right: DataFrame, scope: list[str], scored, floor: int) -> DataFrame:
-    top = 99.5
-    first = _Sides(left, right, scope)
-    settled = checkpointed(_best(scored(tight_candidates(first, top))).where(F.col("score") >= 100))
-    open_left = left.join(settled.select(F.col("a").alias("id")), "id", "left_anti")
-    second = _Sides(open_left, right, scope)
-    found = scored(candidates(second, floor - 0.5)).where(F.col("score") >= floor)
-    promoted = scored(second.by_images())
+    sides = _Sides(left, right, scope)
+    perfect = 100
+    tight = scored(tight_candidates(sides, perfect - 0.5)).where(F.col("score") >= perfect)
+    settled = checkpointed(_best(tight))
+    rest = sides.without(settled)
+    pairs = candidates(rest, floor - 0.5).unionByName(rest.by_images()).distinct()
     # a promoted pair below the floor counts only when no other pair beats it
-    reached = checkpointed(_best(found.unionByName(promoted)))
-    sure = reached.where(F.col("score") >= floor)
+    reached = scored(pairs).where((F.col("score") >= floor) | (F.col("bucket") == "doublon_exact"))
+    reached = checkpointed(_best(reached))
     doubtful = reached.where(F.col("score") < floor)
-    rivals = _rivals(second, doubtful, scope)
-    best_rivals = _best(scored(rivals)).where(F.col("bucket").isin("doublon_exact", "probable_identique"))
-    return settled.unionByName(sure).unionByName(best_rivals)
+    rivals = _best(scored(_rivals(rest, doubtful, scope)))
+    strong = F.col("bucket").isin("doublon_exact", "probable_identique")
+    return settled.unionByName(reached.where(F.col("score") >= floor)).unionByName(rivals.where(strong))
 
 
 def _rivals(sides: _Sides, doubtful: DataFrame, scope: list[str]) -> DataFrame:

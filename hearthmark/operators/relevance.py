@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hearthmark.functions.geo import haversine_m, in_polygon
 from hearthmark.functions.numbers import half_up, number_text, one_decimal, range_fit
 from hearthmark.functions.text import contains_folded, fold, split_keywords
+from hearthmark.operators.once import with_once
 
 # Factor weights, range margins, score without any factor.
 WEIGHTS = {"prix": 30, "surface": 20, "pièces": 15, "type": 15, "mots-clés": 20}
@@ -83,8 +84,8 @@ def score_relevance(rows: DataFrame) -> DataFrame:
     """Add ``relevance`` to rows that carry a listing and ``_criteria``; null criteria score 100."""
     c = F.col("_criteria")
     hay = F.col("_haystack")
-    rows = rows.withColumn(
-        "_haystack", fold(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit(""))))
+    rows = with_once(
+        rows, _haystack=fold(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit(""))))
     )
     banned = F.filter(
         F.arrays_zip(c["keywords_excluded"].alias("word"), c["folded_excluded"].alias("folded")),
@@ -138,7 +139,7 @@ def score_relevance(rows: DataFrame) -> DataFrame:
         ),
         lambda f: f.isNotNull(),
     )
-    rows = rows.withColumns({"_banned": F.try_element_at(banned, F.lit(1))["word"], "_outside": outside, "_factors": factors})
+    rows = with_once(rows, _banned=F.try_element_at(banned, F.lit(1))["word"], _outside=outside, _factors=factors)
     used = F.aggregate("_factors", F.lit(0), lambda total, f: total + f["weight"])
     earned = F.aggregate("_factors", F.lit(0.0), lambda total, f: total + f["contribution"])
     rows = rows.withColumn(

@@ -9,6 +9,7 @@ from hearthmark.functions import urls
 from hearthmark.functions.listing import GENERIC_SOURCE, content_id, property_type
 from hearthmark.functions.numbers import half_up, number_text, parse_number
 from hearthmark.functions.text import blank_to_null
+from hearthmark.operators.once import with_once
 
 # Accepted field names by kind of value.
 TEXT_FIELDS = (
@@ -27,12 +28,12 @@ CANONICAL = (
 
 
 def _value(name: str) -> Column:
-    return F.try_element_at(F.col("fields"), F.lit(name))
+    return F.col(f"_v_{name}")
 
 
 def _kind(name: str) -> Column:
     """Type name of a present value; missing values give null."""
-    return F.schema_of_variant(_value(name))
+    return F.col(f"_k_{name}")
 
 
 def _is_number(kind: Column) -> Column:
@@ -58,12 +59,20 @@ def _bad(name: str) -> Column:
 
 
 def _text(name: str) -> Column:
+    return F.col(f"_t_{name}")
+
+
+def _number(name: str) -> Column:
+    return F.col(f"_n_{name}")
+
+
+def _read_text(name: str) -> Column:
     value = _value(name)
     number = number_text(F.try_variant_get(value, "$", "double"))
     return blank_to_null(F.when(_is_number(_kind(name)), number).otherwise(F.try_variant_get(value, "$", "string")))
 
 
-def _number(name: str) -> Column:
+def _read_number(name: str) -> Column:
     value = _value(name)
     return F.when(_is_number(_kind(name)), F.try_variant_get(value, "$", "double")).when(
         _kind(name) == "STRING", parse_number(F.try_variant_get(value, "$", "string"))
@@ -92,9 +101,15 @@ def normalize_listings(raws: DataFrame, source: str | None = None) -> tuple[Data
         F.array(*[F.when(_bad(n), F.lit(f"{n}: Invalid input")) for n in checked]), lambda p: p.isNotNull()
     )
     passed = [c for c in raws.columns if c not in ("fields", *CANONICAL)]
-    rows = raws.withColumn(
-        "_problems",
-        F.when(F.col("fields").isNull(), F.array(F.lit(": Invalid input"))).otherwise(problems),
+    names = (*NAME_FIELDS, *TEXT_FIELDS, *NUMBER_FIELDS, "currency", "isPro", *LIST_FIELDS)
+    values = {f"_v_{n}": F.try_element_at(F.col("fields"), F.lit(n)) for n in names}
+    rows = with_once(raws, **values, _missing=F.col("fields").isNull())
+    rows = with_once(rows, **{f"_k_{n}": F.schema_of_variant(_value(n)) for n in names})
+    rows = with_once(
+        rows,
+        _problems=F.when(F.col("_missing"), F.array(F.lit(": Invalid input"))).otherwise(problems),
+        **{f"_t_{n}": _read_text(n) for n in TEXT_FIELDS},
+        **{f"_n_{n}": _read_number(n) for n in NUMBER_FIELDS},
     )
     errors = rows.where(F.size("_problems") > 0).select(*passed, F.array_join("_problems", ", ").alias("message"))
 

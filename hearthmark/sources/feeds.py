@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hearthmark.functions import urls
 from hearthmark.functions.listing import source_of_host
 from hearthmark.functions.text import trim_blank
+from hearthmark.operators.once import with_once
 
 
 def _paths(dotted: str) -> list[str]:
@@ -35,8 +36,8 @@ def explode_items(df: DataFrame, payload: str, list_path: str | None = None) ->
     An array gives one row per element, a single value one row, a missing or
     null node (and invalid JSON) none.
     """
-    node = dotted_get(F.try_parse_json(F.col(payload)), list_path or "")
-    rows = df.withColumn("_node", node)
+    parsed = with_once(df, _payload=F.try_parse_json(F.col(payload)))
+    rows = parsed.withColumn("_node", dotted_get(F.col("_payload"), list_path or ""))
     many = F.try_variant_get("_node", "$", "array<variant>")
     items = (
         F.when(F.col("_node").isNull() | F.is_variant_null("_node"), F.array().cast("array<variant>"))
@@ -49,6 +50,7 @@ def explode_items(df: DataFrame, payload: str, list_path: str | None = None) ->
 
 def map_fields(df: DataFrame, item: str = "item", field_map: Mapping[str, str] | None = None) -> DataFrame:
     """Replace an item by a map of target field to value; missing paths leave no entry."""
+    df = with_once(df, **{item: F.col(item)})
     if field_map:
         names = F.array(*[F.lit(n) for n in field_map])
         values = F.array(*[dotted_get(F.col(item), path) for path in field_map.values()])
@@ -57,7 +59,7 @@ def map_fields(df: DataFrame, item: str = "item", field_map: Mapping[str, str] |
         fields = F.when(
             F.schema_of_variant(item).startswith("OBJECT"), F.try_variant_get(item, "$", "map<string,variant>")
         )
-    return df.withColumn("fields", fields).drop(item)
+    return with_once(df, fields=fields).drop(item)
 
 
 def listings_from_urls(df: DataFrame, line: str) -> DataFrame:
