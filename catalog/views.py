@@ -233,6 +233,73 @@ VIEWS: dict[str, str] = {
                       ',"link":', case when doc_id % 4 = 1 then 'null' else concat('"https://www.', case n_chars % 4 when 0 then 'seloger.com' when 1 then 'pap.fr' when 2 then 'LeBonCoin.fr' else 'example.org' end, '/ad/', case when n_chars % 3 = 0 then cast(100000 + doc_id as string) else concat('x', doc_id) end, '/"') end,
                       '}}') as item
         from {documents}""",
+    # listing pages: every document becomes one page in one of several site styles
+    "ad_pages": """
+        select doc_id as page_id,
+               case doc_id % 5
+                 when 0 then concat('https://agence-a.example.com/vente/appartement-t', 1 + doc_id % 6, '-', 1 + doc_id % 6, '-pieces-clermont-ferrand-', 63000 + doc_id % 40, ',VA', 1000 + doc_id)
+                 when 1 then concat('https://agence-b.example.com/maison-', 2 + doc_id % 7, '-pieces-chamalieres-vente-fr_VM', 2000 + doc_id, '.htm')
+                 when 2 then concat('https://agence-c.example.com/annonces/le-puy-en-velay-', 43000 + doc_id % 9, '/ref-', doc_id, '?x=1#top')
+                 when 3 then concat('https://agence-d.example.com/vente/terrain-', lang, '-lezoux-', 63100 + doc_id % 50)
+                 else concat('https://agence-e.example.com/biens/', doc_id) end as url,
+               concat('<!DOCTYPE html><html><head>',
+                 case doc_id % 6 when 0 then concat('<title>Vente maison Bertignat ', 1 + doc_id % 6, ' pièces ', 40 + doc_id % 150, 'm² ', 100000 + doc_id, '€ | Agence</title>')
+                   when 1 then concat('<TITLE lang="fr">Maison à vendre / acheter saint-avensan ', 33400 + doc_id % 99, '</TITLE>')
+                   when 2 then concat('<title>  À Coudes,', chr(10), ' Maison de   village | Site</title>')
+                   when 3 then '<title></title>'
+                   when 4 then concat('<title>', split_part(text, chr(10), 1), '</title>')
+                   else concat('<title>Appartement T2 LYON de 69007 - ', 100 + doc_id % 300, chr(160), lpad(cast(doc_id % 1000 as string), 3, '0'), ' €</title>') end,
+                 case doc_id % 4 when 0 then concat('<meta property="og:title" content="Vente de maison ', 1 + doc_id % 9, ' pièces à Margency ', 95500 + doc_id % 90, ' : ', 50 + doc_id % 200, 'm², prix ', 100 + doc_id % 700, ' 000 €. Réf. : ', doc_id, '">')
+                   when 1 then concat('<meta content="Villa ', lang, '" data-x="1" name="og:title"><meta property="product:price:amount" content="', 200000 + doc_id, ' €">')
+                   when 2 then '<meta property="og:title" content=""><meta property="og:image" content="https://img.example.com/a.jpg">' else '' end,
+                 '<meta name="og:description" content="Ref ', doc_id, '">',
+                 case doc_id % 7
+                   when 0 then concat('<script type="application/ld+json">{{"@type":"Apartment","name":"T2 ', doc_id, '","numberOfRooms":{{"value":"', 1 + doc_id % 5, '"}},"floorSize":{{"@type":"QuantitativeValue","value":', 30 + doc_id % 90, '.5}},"address":{{"addressLocality":"Riom ', 63200 + doc_id % 9, '"}},"geo":{{"latitude":"45,', doc_id % 90, '","longitude":3.1}}}}</script><script type="application/ld+json">{{"@type":["Thing","Offer"],"price":"', 100 + doc_id % 300, ' 000","priceCurrency":"CHF"}}</script>')
+                   when 1 then concat('<script id="x" type="application/ld+json">', chr(10), '{{"@context":"https://schema.org","@graph":[{{"@type":"WebSite","name":"site"}},{{"@type":"SingleFamilyResidence","name":"Maison ', doc_id, '","url":"https://ads.example.com/m/', doc_id, '","description":"d","address":{{"postalCode":"63', 100 + doc_id % 800, '","addressLocality":"Thiers"}},"price":', 90000 + doc_id, '}}]}}</script>')
+                   when 2 then concat('<script type="application/ld+json">[{{"@type":"BreadcrumbList"}},{{"@type":"UnitPriceSpecification","price":{{"minPrice":', 70000 + doc_id, '}},"url":"https://ads.example.com/o/', doc_id, '"}},{{"@type":"Product","name":"Terrain plat"}}]</script>')
+                   when 3 then '<script type="application/ld+json">{{"@type":"House", broken</script>'
+                   when 4 then concat('<script type="application/ld+json">{{"@type":"AggregateOffer","price":null}}</script>')
+                   when 5 then '<script type="application/ld+json">{{"@type":"WebPage","name":"rien"}}</script>' else '' end,
+                 '</head><body><p>Taxe 1 347 € · ',
+                 case doc_id % 5 when 0 then concat('Prix <b>', 100 + doc_id % 800, ' ', lpad(cast(doc_id % 1000 as string), 3, '0'), ' €</b>')
+                   when 1 then concat(100000 + doc_id, '€ honoraires 9 ', lpad(cast(doc_id % 1000 as string), 3, '0'), ' €')
+                   when 2 then concat('PRIX de vente : 7', lpad(cast(doc_id % 100 as string), 2, '0'), ' € puis 2 218000 €') else 'sur demande' end, '</p><div>',
+                 case doc_id % 8 when 0 then concat('Surface habitable : 131,', 10 + doc_id % 80, ' m²') when 1 then concat('terrain 400m2x, ', 20 + doc_id % 99, 'm2.')
+                   when 2 then 'loyer 650 €/mois' when 3 then 'bien VENDU' when 4 then 'Vendue, sous offre' when 5 then concat('charges 120 € CC / mois, ', 1 + doc_id % 4, ' PIÈCES') else '' end,
+                 '</div><p>', text, '</p><a href="/vente/bien-', doc_id, '">x</a><a href=', chr(39), 'https://www.example.org/vente/bien-', doc_id % 50, chr(39), '>y</a><a HREF="page/', doc_id % 3, '">z</a></body></html>') as html
+        from {documents}""",
+    # sitemaps: one document per page, every fifth an index over the next four
+    "sitemap_docs": """
+        select concat('https://maps.example.com/sm-', page_id, '.xml') as url,
+               case when page_id % 5 = 0 then concat('<?xml version="1.0"?><sitemapindex xmlns="x"><sitemap><loc> https://maps.example.com/sm-', page_id + 1, '.xml </loc></sitemap><sitemap><loc>https://maps.example.com/sm-', page_id + 2,
+                        '.xml</loc></sitemap><sitemap><loc>https://maps.example.com/sm-', page_id + 3, '.xml</loc></sitemap><sitemap><loc>https://maps.example.com/missing.xml</loc></sitemap></sitemapindex>')
+                    when page_id % 5 = 4 then concat('<urlset><url><LOC>', url, '</LOC></url><url><loc>https://maps.example.com/contact</loc></url></urlset>')
+                    else concat('<urlset><url><loc>https://ads.example.com/vente/bien-63', 100 + page_id % 300, '/', page_id, '</loc></url><url><loc>https://ads.example.com/vente/bien-03', 100 + page_id % 300, '/', page_id % 7,
+                        '</loc></url><url><loc>https://ads.example.com/contact</loc></url></urlset>') end as body
+        from {pages}""",
+    "site_docs": """
+        select url, body from {sitemap_docs} union all select url, html as body from (select distinct url, html from {pages}) p""",
+    "site_roots": """
+        select page_id as connector, concat('https://maps.example.com/sm-', page_id, '.xml') as sitemap_url from {pages}""",
+    "api_rows": """
+        select cast(doc_id % 12 as int) as connector, cast(doc_id as int) as pos,
+               concat('https://agence-e.example.com/biens/', doc_id) as link,
+               concat('{{"id":', doc_id, case when doc_id % 9 <> 4 then concat(',"link":"https://agence-e.example.com/biens/', doc_id, '"') else '' end,
+                      ',"title":{{"rendered":"', case doc_id % 3 when 0 then 'À Coudes, Maison 4 pièces' when 1 then 'Appartement 3 pieces Vic' else 'Terrain' end, '"}},"content":{{"rendered":"<p>', lang, '</p>"}},"types":[',
+                      doc_id % 4, ',', doc_id % 3 + 1, '],"places":[', 10 + doc_id % 8, '],"states":[', 20 + doc_id % 5, '],"sizes":[', case when doc_id % 2 = 0 then cast(30 + doc_id % 4 as string) else '' end, ']}}') as item
+        from {documents}""",
+    "api_terms": """
+        select c.c_custkey % 12 as connector, case n.n_nationkey % 4 when 0 then 'types' when 1 then 'places' when 2 then 'states' else 'sizes' end as taxonomy,
+               cast(case n.n_nationkey % 4 when 0 then 1 + n.n_nationkey / 4 when 1 then 10 + (n.n_nationkey - 1) / 4 when 2 then 20 + (n.n_nationkey - 2) / 4 else 30 + (n.n_nationkey - 3) / 4 end as bigint) as term_id,
+               case n.n_nationkey % 4 when 0 then case n.n_nationkey % 3 when 0 then 'Maisons' when 1 then '' else 'Terrains' end
+                 when 1 then concat('Coudes - ', 63100 + n.n_nationkey) when 2 then case n.n_nationkey % 3 when 0 then 'Vendu' when 1 then 'A vendre' else 'Archive' end
+                 else concat(n.n_nationkey, ' pièces et +') end as name
+        from (select distinct c_custkey % 12 as c_custkey from {customer}) c, {nation} n""",
+    "geo_responses": """
+        select doc_id, concat('{{"type":"FeatureCollection","features":[', case doc_id % 5 when 0 then '' when 1 then '{{"geometry":{{"coordinates":["4.8",45.7]}}}}'
+               else concat('{{"geometry":{{"coordinates":[4.', 100 + doc_id % 900, ',45.', 100 + n_chars % 900, ']}},"properties":{{"label":"', doc_id, ' rue X","postcode":"69', 100 + doc_id % 800, '"',
+                    case when doc_id % 3 = 0 then ',"city":"Lyon","score":0.5' else '' end, '}}}},{{"geometry":{{"coordinates":[1.5,2.5]}}}}') end, ']}}') as body
+        from {documents}""",
     "communes": """
         select cast(63000 + c_custkey % 40 as string) as postal_code,
                concat('C', c_custkey) as code,
