@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("normalisation", "analytics", "joins", "matching", "ingestion", "extraction")
+MODULES = ("normalisation", "analytics", "joins", "matching", "ingestion", "extraction", "streams")
 
 
 def _registered():

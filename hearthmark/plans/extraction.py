@@ -96,7 +96,8 @@ class Extracted:
 
 
 def _warning(rows: DataFrame, text: str) -> DataFrame:
-    return rows.select("url", F.concat(F.lit(f"{text} : "), F.col("url")).alias("message"))
+    kept = [c for c in rows.columns if c in ("connector_id", "url")]
+    return rows.select(*kept, F.concat(F.lit(f"{text} : "), F.col("url")).alias("message"))
 
 
 def _nothing(pages: DataFrame) -> DataFrame:
