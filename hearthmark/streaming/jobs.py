@@ -21,7 +21,7 @@ from hearthmark.plans.ingest import State, apply_plan, last_per_key, plan_ingest
 def _earlier(spark: SparkSession, path: str, batch: int, since: int = 0) -> DataFrame | None:
     """Rows that batches ``since`` to ``batch - 1`` wrote; null before the first output."""
     try:
-        rows = spark.read.option("recursiveFileLookup", "false").parquet(path)
+        rows = spark.read.parquet(path)
     except AnalysisException:
         return None
     return rows.where((F.col("batch") < batch) & (F.col("batch") >= since))
