@@ -294,7 +294,7 @@ VIEWS: dict[str, str] = {
                case n.n_nationkey % 4 when 0 then case n.n_nationkey % 3 when 0 then 'Maisons' when 1 then '' else 'Terrains' end
                  when 1 then concat('Coudes - ', 63100 + n.n_nationkey) when 2 then case n.n_nationkey % 3 when 0 then 'Vendu' when 1 then 'A vendre' else 'Archive' end
                  else concat(n.n_nationkey, ' pièces et +') end as name
-        from (select distinct c_custkey % 12 as c_custkey from {customer}) c, {nation} n""",
+        from (select distinct c_custkey % 12 as c_custkey, c_nationkey from {customer}) c join {nation} n on n.n_nationkey = c.c_nationkey""",
     "geo_responses": """
         select doc_id, concat('{{"type":"FeatureCollection","features":[', case doc_id % 5 when 0 then '' when 1 then '{{"geometry":{{"coordinates":["4.8",45.7]}}}}'
                else concat('{{"geometry":{{"coordinates":[4.', 100 + doc_id % 900, ',45.', 100 + n_chars % 900, ']}},"properties":{{"label":"', doc_id, ' rue X","postcode":"69', 100 + doc_id % 800, '"',

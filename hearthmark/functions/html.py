@@ -12,6 +12,9 @@ from hearthmark.functions.numbers import parse_number
 from hearthmark.functions.text import WHITESPACE, blank_to_null, capitalise, squash, trim_blank
 
 WS = WHITESPACE
+BLANKS = WHITESPACE[1:-1]
+# a plain class, not a group of alternatives: those recurse once per character
+NAME_CHARS = rf"[\p{{L}}{BLANKS}'’-]"
 
 # Money, surface, room, place, status and link patterns.
 AMOUNT = rf"(\d[\d.\x20\xA0\x{{202F}}]{{3,}}){WS}*€"
@@ -21,8 +24,8 @@ SURFACE = rf"(\d+(?:[.,]\d+)?){WS}*m(?:²|2)(?![A-Za-z0-9_])"
 LABELLED_SURFACE = rf"surface[^0-9]{{0,40}}?{SURFACE}"
 ROOMS = rf"(?iu)(\d+){WS}*pi[èe]ces?"
 TITLE_TAG = r"(?is)<title[^>]*>(.*?)</title>"
-PLACE_IN_TEXT = rf"(\p{{L}}(?:\p{{L}}|{WS}|['’-])*?){WS}+(\d{{5}})(?!\d)"
-SALE_TITLE_CITY = rf"(?iu)vente{WS}+\p{{L}}+{WS}+(\p{{L}}(?:\p{{L}}|{WS}|['’-])*?){WS}+\d"
+PLACE_IN_TEXT = rf"(\p{{L}}{NAME_CHARS}*?){WS}+(\d{{5}})(?!\d)"
+SALE_TITLE_CITY = rf"(?iu)vente{WS}+\p{{L}}+{WS}+(\p{{L}}{NAME_CHARS}*?){WS}+\d"
 TITLE_CITY = rf"(?iu)^à{WS}+([^,]+),"
 SLUG_PLACE = r"^(.+)-(\d{5})$"
 DEPARTMENT = r"(?<!\d)(\d{5})(?!\d)"
@@ -32,10 +35,10 @@ SOLD_PAGE = r"(?i)(?<![A-Za-z0-9_])vendue?(?![A-Za-z0-9_])"
 STILL_OFFERED = "(?i)en vente|disponible|sous (?:compromis|offre)"
 RENTAL_PAGE = (
     r"(?i)(?<![A-Za-z0-9_])(?:loyer|mensuel)(?![A-Za-z0-9_])"
-    rf"|\d(?:\d|{WS})*€{WS}*(?:cc|hc|charges comprises)?{WS}*/{WS}*mois"
+    rf"|\d[\d{BLANKS}]*€{WS}*(?:cc|hc|charges comprises)?{WS}*/{WS}*mois"
 )
 HREF = r"""(?i)href=["']([^"']+)["']"""
-LOC = rf"(?i)<loc>{WS}*([^<{WS[1:]}+){WS}*</loc>"
+LOC = rf"(?i)<loc>{WS}*([^<{BLANKS}]+){WS}*</loc>"
 SITEMAP_INDEX = rf"(?i)<sitemapindex(?:{WS}|>)"
 CAPTURE_AMOUNT = rf"([0-9][0-9 .\xA0]{{3,}}){WS}*€"
 

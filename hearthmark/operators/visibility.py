@@ -71,11 +71,10 @@ def shared_connectors(connectors: DataFrame, searches: DataFrame) -> DataFrame:
     owners = public.select("user_id").distinct()
     sources = public.select(F.explode("source_ids").alias("source_id")).distinct()
     owned = connectors.join(owners, "user_id", "left_semi")
-    any_source = sources.agg((F.count(F.lit(1)) > 0).alias("_named"))
+    named = sources.agg(F.count(F.lit(1)) > 0).scalar()
     flagged = owned.join(sources.withColumn("_listed", F.lit(True)), "source_id", "left")
-    flagged = flagged.withColumn("_one", F.lit(1)).join(any_source.withColumn("_one", F.lit(1)), "_one").drop("_one")
     config = F.try_parse_json("config")
-    return flagged.where(F.coalesce("_listed", F.lit(False)) | ~F.col("_named")).select(
+    return flagged.where(F.coalesce("_listed", F.lit(False)) | ~named).select(
         "connector_id",
         "source_id",
         "label",
