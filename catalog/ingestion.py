@@ -10,6 +10,7 @@ from catalog.matching import BEST_SQL, with_hashes
 from catalog.registry import fnv_sql, fold_sql, half_up_sql, number_text_sql, parse_number_sql, register, squash_sql
 from hearthmark.functions import listing, urls
 from hearthmark.operators import market, runs, visibility
+from hearthmark.operators.matching import canonical_edges
 from hearthmark.plans import ingest, normalise
 from hearthmark.sources import feeds, tables, transactions
 
@@ -292,7 +293,7 @@ def state_of(t):
     versions = listings.select(
         F.col("id").alias("listing_id"), F.col("last_seen_at").alias("captured_at"), "price", "title", F.col("fingerprint").alias("content_hash")
     )
-    edges = t("edges").select("a", "b", "score", "bucket")
+    edges = canonical_edges(t("edges"), "seq").select("a", "b", "score", "bucket")
     return ingest.State(listings, versions, edges, t("notifications").select("listing_id", "user_id", F.col("event_type").alias("type"), "created_at"))
 
 
@@ -329,7 +330,18 @@ register(
 )
 register(
     "PIPE-2.edges",
-    lambda t: _applied(t).edges.groupBy("bucket").agg(F.count(F.lit(1)).alias("edges")),
+    lambda t: _applied(t).edges.select("a", "b", "score", "bucket"),
+    "with "
+    + BEST_SQL
+    + """, stored as (select a, b, score, bucket from (select least(a, b) as a, greatest(a, b) as b, score, bucket,
+              row_number() over (partition by least(a, b), greatest(a, b) order by seq desc) as rn from edges where a <> b) x where rn = 1),
+           fresh_edges as (select least(id, with_id) as a, greatest(id, with_id) as b, score, bucket from best)
+         select a, b, score, bucket from fresh_edges
+         union all select a, b, score, bucket from stored s where not exists (select 1 from fresh_edges f where f.a = s.a and f.b = s.b)""",
+    "listings",
+    "incoming",
+    "existing",
+    "edges",
 )
 
 

@@ -10,11 +10,15 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hearthmark.sources.tables import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
+TEXT_TABLES = ("documents", "pages")
+
 VIEWS: dict[str, str] = {
     # 16 hex digits from the signs of the 64 embedding floats
     "phashes": {
@@ -322,7 +326,8 @@ def _needs(name: str, dialect: str) -> list[str]:
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a view over it as a DataFrame."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(table) if name in TEXT_TABLES else table
     parts = {dep: load(spark, sf_dir, dep) for dep in _needs(name, "spark")}
     return spark.sql(_sql(name, "spark"), **parts)
 

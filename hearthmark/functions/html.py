@@ -24,7 +24,8 @@ SURFACE = rf"(\d+(?:[.,]\d+)?){WS}*m(?:²|2)(?![A-Za-z0-9_])"
 LABELLED_SURFACE = rf"surface[^0-9]{{0,40}}?{SURFACE}"
 ROOMS = rf"(?iu)(\d+){WS}*pi[èe]ces?"
 TITLE_TAG = r"(?is)<title[^>]*>(.*?)</title>"
-PLACE_IN_TEXT = rf"(\p{{L}}{NAME_CHARS}*?){WS}+(\d{{5}})(?!\d)"
+# anchored at the start of a run of name characters, so a long text is scanned once
+PLACE_IN_TEXT = rf"(?<!{NAME_CHARS})[{BLANKS}'’-]*+(\p{{L}}{NAME_CHARS}*?){WS}+(\d{{5}})(?!\d)"
 SALE_TITLE_CITY = rf"(?iu)vente{WS}+\p{{L}}+{WS}+(\p{{L}}{NAME_CHARS}*?){WS}+\d"
 TITLE_CITY = rf"(?iu)^à{WS}+([^,]+),"
 SLUG_PLACE = r"^(.+)-(\d{5})$"

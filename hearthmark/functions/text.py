@@ -46,7 +46,7 @@ def trim_blank(text: Column) -> Column:
 
 def squash(text: Column) -> Column:
     """One blank between words, none at the ends."""
-    return trim_blank(F.regexp_replace(text, f"{WHITESPACE}+", " "))
+    return F.trim(F.regexp_replace(text, f"{WHITESPACE}+", " "))
 
 
 def blank_to_null(text: Column) -> Column:

@@ -515,10 +515,13 @@ def _blocked_best(left: DataFrame, right: DataFrame, scope: list[str], scored, f
     # a promoted pair below the floor counts only when no other pair beats it
     reached = scored(pairs).where((F.col("score") >= floor) | (F.col("bucket") == "doublon_exact"))
     reached = checkpointed(_best(reached))
+    sure = settled.unionByName(reached.where(F.col("score") >= floor))
     doubtful = reached.where(F.col("score") < floor)
+    if doubtful.isEmpty():
+        return sure
     rivals = _best(scored(_rivals(rest, doubtful, scope)))
     strong = F.col("bucket").isin("doublon_exact", "probable_identique")
-    return settled.unionByName(reached.where(F.col("score") >= floor)).unionByName(rivals.where(strong))
+    return sure.unionByName(rivals.where(strong))
 
 
 def _rivals(sides: _Sides, doubtful: DataFrame, scope: list[str]) -> DataFrame:
