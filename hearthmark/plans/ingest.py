@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,15 +16,35 @@ from hearthmark.operators.matching import best_matches, canonical_edges
 from hearthmark.operators.relevance import prepare_searches, score_relevance
 from hearthmark.session import checkpointed
 
-# Fixed value: relevance from which a listing is worth an alert.
+# Relevance from which a listing is worth an alert; alert titles.
 MIN_RELEVANCE = 50
+TITLES = {
+    "new_listing": "Nouvelle annonce",
+    "price_drop": "Baisse de prix",
+    "recycled": "Annonce recyclée probable",
+    "important_change": "Modification importante",
+    "probable_duplicate": "Doublon probable",
+}
 
 
-@dataclass
 class Plan:
-    upserts: DataFrame
-    similarities: DataFrame
-    notifications: DataFrame
+    """Upserts of a batch; matching runs when similarities or notifications are first asked for."""
+
+    def __init__(self, upserts: DataFrame, judge: Callable[[], tuple[DataFrame, DataFrame]]):
+        self.upserts = upserts
+        self._judge = judge
+
+    @cached_property
+    def _judged(self) -> tuple[DataFrame, DataFrame]:
+        return self._judge()
+
+    @property
+    def similarities(self) -> DataFrame:
+        return self._judged[0]
+
+    @property
+    def notifications(self) -> DataFrame:
+        return self._judged[1]
 
 
 def last_per_key(incoming: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
@@ -38,10 +59,10 @@ def with_fingerprint(listings: DataFrame) -> DataFrame:
     return listings.withColumn("fingerprint", fingerprint(*parts))
 
 
-def _alert(kind: str | Column, title: str, body: Column, payload: Column) -> list[Column]:
+def _alert(kind: str, body: Column, payload: Column) -> list[Column]:
     return [
-        (F.lit(kind) if isinstance(kind, str) else kind).alias("type"),
-        F.lit(title).alias("title"),
+        F.lit(kind).alias("type"),
+        F.lit(TITLES[kind]).alias("title"),
         body.alias("body"),
         F.concat_ws(":", "source_id", "external_id").alias("subject_key"),
         F.to_json(payload).alias("payload"),
@@ -83,12 +104,23 @@ def plan_ingestion(
         .join(stored, key, "left")
         .withColumn("kind", F.when(F.col("matched_id").isNull(), "insert").otherwise("update"))
     )
-    upserts = planned.drop("_before")
-    relevant = ~F.col("excluded") & (F.col("relevance") >= min_relevance)
-    shown = F.coalesce("title", F.lit("Annonce"))
     kept = ["id", *tenant, *(["search_id"] if "search_id" in incoming.columns else [])]
 
-    # known listings: a price drop first, else any notable change
+    def judge() -> tuple[DataFrame, DataFrame]:
+        alerts = _update_alerts(planned, kept, price_drop_pct, min_relevance)
+        similarities, more = _insert_alerts(planned, existing, tenant, kept, min_relevance, probable, mode)
+        return similarities, alerts.unionByName(more)
+
+    return Plan(planned.drop("_before"), judge)
+
+
+def _relevant(min_relevance: int) -> Column:
+    return ~F.col("excluded") & (F.col("relevance") >= min_relevance)
+
+
+def _update_alerts(planned: DataFrame, kept: list[str], price_drop_pct: float, min_relevance: int) -> DataFrame:
+    """Known listings: a price drop first, else any notable change of a relevant one."""
+    shown = F.coalesce("title", F.lit("Annonce"))
     before = {f: F.col("_before")[f] for f in ("price", "fingerprint", "status")} | {"media_count": F.lit(None).cast("int")}
     after = {
         "price": F.col("price"),
@@ -110,24 +142,28 @@ def plan_ingestion(
         *kept,
         *_alert(
             "price_drop",
-            "Baisse de prix",
             F.concat(
                 shown, F.format_string(" : %.1f", "_drop.delta_pct"), F.lit(" % ("), number_text(F.col("_drop.delta_abs")), F.lit(" €)")
             ),
             F.struct("_drop.delta_pct", "_drop.delta_abs", F.col("price").alias("new_price")),
         ),
     )
-    changes = updates.where(~F.col("_drop.dropped") & (F.col("_change") != "none") & relevant).select(
+    changes = updates.where(~F.col("_drop.dropped") & (F.col("_change") != "none") & _relevant(min_relevance)).select(
         *kept,
         *_alert(
             "important_change",
-            "Modification importante",
             F.concat(shown, F.lit(" : "), F.col("_detail")),
             F.struct(F.col("_change").alias("change"), F.col("_detail").alias("detail")),
         ),
     )
+    return drops.unionByName(changes)
+
 
-    # new listings: compared with everything stored in their tenant
+def _insert_alerts(
+    planned: DataFrame, existing: DataFrame, tenant: list[str], kept: list[str], min_relevance: int, probable: int, mode: str
+) -> tuple[DataFrame, DataFrame]:
+    """New listings: edges to their best stored match and the alerts that follow."""
+    shown = F.coalesce("title", F.lit("Annonce"))
     inserts = planned.where(F.col("kind") == "insert")
     matches = checkpointed(best_matches(inserts, existing, scope=tenant, mode=mode))
     twins = existing.select(F.col("id").alias("with_id"), F.col("external_id").alias("_twin"), F.coalesce("disappeared", F.lit(False)).alias("_gone"))
@@ -143,7 +179,6 @@ def plan_ingestion(
         *kept,
         *_alert(
             "recycled",
-            "Annonce recyclée probable",
             F.col("_again.reason"),
             F.struct("with_id", "score", F.col("_again.confidence").alias("confidence")),
         ),
@@ -152,24 +187,19 @@ def plan_ingestion(
         *kept,
         *_alert(
             "probable_duplicate",
-            "Doublon probable",
             F.concat(F.lit("Proche d'une annonce déjà suivie ("), F.col("score").cast("string"), F.lit("/100).")),
             F.struct("with_id", "score"),
         ),
     )
-    news = inserts.where(relevant).join(matches.select("id"), "id", "left_anti").select(
+    news = inserts.where(_relevant(min_relevance)).join(matches.select("id"), "id", "left_anti").select(
         *kept,
         *_alert(
             "new_listing",
-            "Nouvelle annonce",
             F.concat(shown, F.coalesce(F.concat(F.lit(" — "), number_text(F.col("price")), F.lit(" €")), F.lit(""))),
             F.struct("relevance"),
         ),
     )
-    notifications = drops
-    for part in (changes, recycled, doubles, news):
-        notifications = notifications.unionByName(part)
-    return Plan(upserts, similarities, notifications)
+    return similarities, recycled.unionByName(doubles).unionByName(news)
 
 
 @dataclass
