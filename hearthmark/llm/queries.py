@@ -27,8 +27,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_bytes("byte_bpe_50k.tiktoken"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hearthmark.llm import quality
+
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hearthmark.llm import secrets
+
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
+    "op3_quality": op3_quality,
+    "op4_secrets": op4_secrets,
 }
 
 ORACLES: dict[str, str] = {}
