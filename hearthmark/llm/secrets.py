@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -234,10 +234,14 @@ def scan(df: DataFrame, text: str = "text", spans: str = "spans", redacted: str
     return df.select(*kept).mapInArrow(run, schema)
 
 
+def _count(spans, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind))
+
+
 def digests(df: DataFrame) -> DataFrame:
     """Counts and hash of the base spans and the list of all spans, per row of (doc_id, text)."""
     found = scan(df.select("doc_id", "text"), spans="_spans")
     base = F.filter("_spans", lambda x: ~x["nested"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [_count(base, k).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
