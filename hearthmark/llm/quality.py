@@ -50,7 +50,7 @@ class Rules:
 
     min_words: int = 50
     max_repeat_share: float = 0.5
-    #: a line without a sentence end fails if it has so many words at least
+    #: a line that neither ends like a sentence nor holds one fails if it has so many words at least
     unended_words: int = 12
     max_separator_share: float = 0.15
     max_symbol_share: float = 0.1
@@ -140,6 +140,7 @@ class Measures:
         letter = upper | ((body >= 97) & (body <= 122)) | ~char | (body >= 0xC0)
         letters = _between(letter & char, s, e)
         chars = np.maximum(self.line_chars, 1)
+        ended |= _between((body == 46) | (body == 33) | (body == 63), s, e) > 0
         failed = ~ended & (words >= rules.unended_words)
         failed |= _between(_SEPARATOR[body], s, e) > rules.max_separator_share * np.maximum(words, 1)
         failed |= _between(symbol, s, e) > rules.max_symbol_share * chars
