@@ -27,6 +27,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_bytes("byte_bpe_50k.tiktoken"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hearthmark.llm import pii
+
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthmark.llm import quality
 
@@ -39,10 +45,18 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hearthmark.llm import sharding
+
+    return sharding.placement(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
+    "op2_pii": op2_pii,
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLES: dict[str, str] = {}
