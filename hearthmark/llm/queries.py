@@ -45,6 +45,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hearthmark.llm import substrings
+
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthmark.llm import sharding
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op2_pii": op2_pii,
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
+    "op5_substrings": op5_substrings,
     "op9_sharding": op9_sharding,
 }
 
