@@ -51,6 +51,12 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hearthmark.llm import jaccard
+
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthmark.llm import sharding
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
     "op5_substrings": op5_substrings,
+    "op6_jaccard": op6_jaccard,
     "op9_sharding": op9_sharding,
 }
 
