@@ -57,6 +57,12 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hearthmark.llm import tokenfiles
+
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), vocabulary_bytes("byte_bpe_50k.json"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthmark.llm import sharding
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op4_secrets": op4_secrets,
     "op5_substrings": op5_substrings,
     "op6_jaccard": op6_jaccard,
+    "op8_token_files": op8_token_files,
     "op9_sharding": op9_sharding,
 }
 
