@@ -69,6 +69,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placement(table(spark, sf_dir, "documents"))
 
 
+def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hearthmark.llm import scoring
+
+    return scoring.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op6_jaccard": op6_jaccard,
     "op8_token_files": op8_token_files,
     "op9_sharding": op9_sharding,
+    "op10_scoring": op10_scoring,
 }
 
 ORACLES: dict[str, str] = {}
