@@ -57,6 +57,12 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
 
+def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hearthmark.llm import leaks
+
+    return leaks.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthmark.llm import tokenfiles
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op4_secrets": op4_secrets,
     "op5_substrings": op5_substrings,
     "op6_jaccard": op6_jaccard,
+    "op7_leaks": op7_leaks,
     "op8_token_files": op8_token_files,
     "op9_sharding": op9_sharding,
     "op10_scoring": op10_scoring,

@@ -68,3 +68,19 @@ def possible(df: DataFrame, key: str, bits: Callable[[], np.ndarray]) -> DataFra
                 yield pa.RecordBatch.from_arrays(batch.filter(pa.array(chosen)).columns[:-1], names=schema.names)
 
     return df.withColumn("_slot", slot(key)).mapInArrow(run, schema)
+
+
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key is not among the keys; rows without a key stay.
+
+    Only the few rows that may be among the keys are shuffled.
+    """
+    bits, schema = field(keys, key), df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.filter(pa.array(~passing(batch.column(batch.num_columns - 1), bits())))
+            yield pa.RecordBatch.from_arrays(rest.columns[:-1], names=schema.names)
+
+    clear = df.withColumn("_slot", slot(key)).mapInArrow(run, schema)
+    return clear.unionByName(possible(df, key, bits).join(keys.select(key), key, "left_anti").select(df.columns))
