@@ -136,25 +136,31 @@ def disclosing_terms(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataF
     """Terms ``(term, action, ratio)`` that reveal an entity of ``docs(_text, _base)``."""
     contexts = checkpointed(_contexts(docs, rules))
     near = contexts.select("doc", "entity", F.xxhash64("context").alias("c"), F.explode(_terms(F.col("context"))).alias("term"))
+    with_entity = contexts.groupBy("entity").agg(F.countDistinct("doc").alias("of_entity"))
+    texts = float(docs.agg(F.countDistinct(F.xxhash64("_text"))).first()[0])
+
+    def revealed(of_term: Column) -> Column:
+        return F.log(F.lit(texts) * F.col("both") / (F.col("of_entity") * of_term)) / F.log(F.lit(texts) / F.col("of_entity"))
+
+    # the texts that have a term near any entity are a part of those that have it, which bounds what it can reveal
+    near_any = near.groupBy("term").agg(F.countDistinct("doc").alias("near_any"))
     pairs = checkpointed(
         near.groupBy("entity", "term")
         .agg(F.countDistinct("c").alias("contexts"), F.countDistinct("doc").alias("both"))
         .where(F.col("contexts") >= rules.min_contexts)
+        .join(with_entity.where(F.col("of_entity") < F.lit(texts)), "entity")
+        .join(near_any, "term")
+        .where(revealed(F.col("near_any")) >= rules.generalise_at)
     )
     candidates = checkpointed(pairs.select("term").distinct())
     if candidates.count() <= rules.broadcast_terms:
         candidates = F.broadcast(candidates)
     words = docs.select(F.xxhash64("_text").alias("doc"), F.explode(_terms(F.col("_text"))).alias("term"))
     with_term = words.join(candidates, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-    with_entity = contexts.groupBy("entity").agg(F.countDistinct("doc").alias("of_entity"))
-    texts = docs.agg(F.countDistinct(F.xxhash64("_text"))).first()[0]
-    ratio = F.log(F.lit(float(texts)) * F.col("both") / (F.col("of_entity") * F.col("of_term"))) / F.log(F.lit(float(texts)) / F.col("of_entity"))
     return (
         pairs.join(with_term, "term")
-        .join(with_entity, "entity")
-        .where(F.col("of_entity") < F.lit(texts))
         .groupBy("term")
-        .agg(F.max(ratio).alias("ratio"))
+        .agg(F.max(revealed(F.col("of_term"))).alias("ratio"))
         .where(F.col("ratio") >= rules.generalise_at)
         .withColumn("action", F.when(F.col("ratio") >= rules.remove_at, "remove").otherwise("generalise"))
     )
