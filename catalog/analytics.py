@@ -112,7 +112,7 @@ register(
     "FLT-6.queue",
     lambda t: text_of(alerts.dispatch_queue(t("notifications")), "created_at").select("notification_id", "user_id", "created_at"),
     """select notification_id, user_id, cast(created_at as varchar) as created_at from notifications
-       where dispatched_at is null order by created_at, notification_id limit 200""",
+       where dispatched_at is null order by created_at, notification_id""",
     "notifications",
 )
 
@@ -541,17 +541,33 @@ register(
        select cur.listing_id, status, coalesce(tags, '') as tags from cur left join tags using (listing_id)""",
     "qualification_log",
 )
+def _read_log(t):
+    """Log entries of notifications under their owners, and sweeps of all forty users."""
+    log = t("read_log").withColumn("user_id", F.col("user_id") + 10 * (F.col("seq") % 4)).withColumn("seq", F.unix_micros(F.col("at").cast("timestamp")))
+    owners = t("notifications").select("notification_id", F.col("user_id").alias("_owner"))
+    own = log.where("action <> 'read_all'").join(owners, "notification_id").withColumn("user_id", F.col("_owner")).drop("_owner")
+    sweeps = log.where("action = 'read_all'").withColumn("notification_id", F.lit(None).cast("bigint"))
+    return own.unionByName(sweeps)
+
+
 register(
     "CDC-2",
-    lambda t: text_of(alerts.fold_read_state(t("read_log")), "read_at"),
-    """with state as (select user_id, notification_id, min(seq) as first_seq, max(seq) filter (action = 'unread') as unread_seq
-           from read_log where action <> 'read_all' group by 1, 2),
-       hits as (select s.user_id, s.notification_id, l.seq, l.at from state s join read_log l
-           on l.user_id = s.user_id and ((l.action = 'read' and l.notification_id = s.notification_id and l.seq > coalesce(s.unread_seq, -1))
-             or (l.action = 'read_all' and l.seq > greatest(s.first_seq, coalesce(s.unread_seq, -1)))))
-       select s.user_id, s.notification_id, cast(arg_min(h.at, h.seq) as varchar) as read_at
-       from state s left join hits h on h.user_id = s.user_id and h.notification_id = s.notification_id group by 1, 2""",
+    lambda t: text_of(alerts.fold_read_state(_read_log(t), notifications=t("notifications")), "read_at"),
+    """with log as (select epoch_us(r.at) as seq, r.user_id + 10 * (r.seq % 4) as user_id, r.notification_id, r.at as time_, r.action from read_log r),
+       acts as (select l.seq, l.time_, l.action, n.user_id, n.notification_id from log l join notifications n on l.notification_id = n.notification_id and l.action <> 'read_all'
+                union all select seq, time_, action, user_id, null from log where action = 'read_all'),
+       state as (select n.user_id, n.notification_id, n.created_at, n.read_at, max(a.seq) filter (a.action = 'unread') as unread_seq
+           from notifications n left join acts a on a.user_id = n.user_id and a.notification_id = n.notification_id group by 1, 2, 3, 4),
+       own as (select s.user_id, s.notification_id, a.seq, a.time_ from state s join acts a
+           on a.user_id = s.user_id and a.notification_id = s.notification_id and a.action = 'read' and a.seq > coalesce(s.unread_seq, -1)),
+       swept as (select s.user_id, s.notification_id, min(a.seq) as seq from state s join acts a on a.user_id = s.user_id and a.action = 'read_all'
+           and a.seq > coalesce(s.unread_seq, -1) and a.time_ >= s.created_at group by 1, 2),
+       hits as (select * from own union all select w.user_id, w.notification_id, w.seq, a.time_ from swept w join acts a on a.seq = w.seq)
+       select s.user_id, s.notification_id, cast(case when s.unread_seq is null and s.read_at is not null then s.read_at else f.time_ end as varchar) as read_at
+       from state s left join (select user_id, notification_id, arg_min(time_, seq) as time_ from hits group by 1, 2) f
+         on f.user_id = s.user_id and f.notification_id = s.notification_id""",
     "read_log",
+    "notifications",
 )
 
 

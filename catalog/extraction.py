@@ -73,7 +73,7 @@ DETAIL = "/(vente|fr|en|de|es)/"
 
 
 def _discovered(t):
-    return extraction.sitemap_urls(t("site_docs"), t("site_roots"), "/vente/", max_children=2)
+    return extraction.sitemap_urls(t("site_docs"), t("site_roots"), "/vente/")
 
 
 _SITEMAP_SQL = """
@@ -89,7 +89,7 @@ _SITEMAP_SQL = """
 register(
     "EXT-1",
     lambda t: _discovered(t).select("connector", "url", (F.col("position._parent") * 1000 + F.col("position._at")).cast("bigint").alias("ord")),
-    "with " + _SITEMAP_SQL.format(children=2, detail="/vente/") + " select connector, url, cast(ord as bigint) as ord from direct",
+    "with " + _SITEMAP_SQL.format(children=1000, detail="/vente/") + " select connector, url, cast(ord as bigint) as ord from direct",
     "site_roots",
     "sitemap_docs",
 )

@@ -75,13 +75,13 @@ register(
     .select(
         "page_id",
         F.coalesce(
-            urls.external_id(F.col("url")), listing.content_id(F.substring("html", 1, 40), F.col("url"), F.col("page_id").cast("double"))
+            urls.external_id(F.col("url")), listing.content_id(F.col("html"), F.col("url"), F.col("page_id").cast("double"))
         ).alias("external_id"),
     ),
     f"""select page_id, coalesce(nullif(regexp_extract(url, '(\\d{{5,}})', 1), ''),
                case when regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') then
                  regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) || coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), ''), '/'), '/$', '') end,
-               'imp-' || {fnv_sql("substr(html, 1, 40) || '|' || url || '|' || page_id")}) as external_id
+               'imp-' || {fnv_sql("html || '|' || url || '|' || page_id")}) as external_id
         from (select page_id, url, html from pages union all select id, title, description from listings) p""",
     "listings",
 )
@@ -158,9 +158,9 @@ register(
 )
 register(
     "SRC-4",
-    lambda t: tables.scan_for_batch(t("existing"), t("incoming").where("price > 150000")).select("id", "user_id", "source_id", "price"),
+    lambda t: tables.scan_for_batch(t("existing"), t("incoming")).select("id", "user_id", "source_id", "price"),
     """select id, user_id, source_id, price from existing e where exists (
-         select 1 from incoming i where i.price > 150000 and i.user_id = e.user_id and i.source_id = e.source_id)""",
+         select 1 from incoming i where i.user_id = e.user_id and i.source_id = e.source_id)""",
     "existing",
     "incoming",
 )

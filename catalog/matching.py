@@ -265,17 +265,23 @@ register(
          row_number() over (partition by least(a, b), greatest(a, b) order by seq desc) as rn from edges where a <> b) x where rn = 1""",
     "edges",
 )
+def _grays(t):
+    """Luminance rows from the vectors: the right number of values, too few, or none at all."""
+    gray = F.concat(F.col("embedding"), F.slice("embedding", F.lit(1), (F.lit(8) - F.col("vec_id") % 3).cast("int")))
+    return t("embeddings").select("vec_id", F.when(F.col("vec_id") % 10 != 9, gray).alias("gray"))
+
+
 register(
     "SIM-10",
-    lambda t: t("embeddings").select(
-        "vec_id",
-        images.dhash(F.concat(F.col("embedding"), F.slice("embedding", 1, 8))).alias("phash"),
-        (F.size("embedding") + 8 == 72).alias("valid"),
-    ),
-    """select vec_id, lower(printf('%016x', list_reduce(list_prepend(0::ubigint, list_transform(range(0, 64),
-              lambda i: cast(case when g[9 * (i // 8) + i % 8 + 1] < g[9 * (i // 8) + i % 8 + 2] then 1 else 0 end as ubigint))), lambda x, y: x * 2 + y))) as phash,
-              len(g) = 72 as valid
-       from (select vec_id, list_concat(embedding, embedding[1:8]) as g from embeddings) e""",
+    lambda t: _grays(t).select("vec_id", images.dhash(F.col("gray")).alias("phash")),
+    """select vec_id, case when len(g) = 72 then lower(printf('%016x', list_reduce(list_prepend(0::ubigint, list_transform(range(0, 64),
+              lambda i: cast(case when g[9 * (i // 8) + i % 8 + 1] < g[9 * (i // 8) + i % 8 + 2] then 1 else 0 end as ubigint))), lambda x, y: x * 2 + y))) end as phash
+       from (select vec_id, case when vec_id % 10 = 9 then null else list_concat(embedding, embedding[1:8 - vec_id % 3]) end as g from embeddings) e""",
+)
+register(
+    "SIM-10.errors",
+    lambda t: _grays(t).select("vec_id", images.dhash_error(F.col("gray")).alias("message")).where("message is not null"),
+    f"select vec_id, '{images.GRAY_ERROR}' as message from embeddings where vec_id % 10 = 9 or vec_id % 3 <> 0",
 )
 
 
@@ -306,7 +312,7 @@ register(
 
 
 def _summaries(t):
-    edges = t("edges").where("score >= 97").select("a", "b", "score", "bucket")
+    edges = t("edges").select("a", "b", "score", "bucket")
     return clusters.build_clusters(edges)[1].orderBy(F.desc("max_score"), "component")
 
 
@@ -314,8 +320,10 @@ register(
     "AGG-6",
     _summaries,
     "with recursive "
-    + CLUSTER_SQL.replace("score >= 78", "score >= 97")
-    + """ select component, max(members) as members, max(score) as max_score, 'doublon_exact' as kind
+    + CLUSTER_SQL
+    + """ select component, max(members) as members, max(score) as max_score,
+                 case max(case bucket when 'doublon_exact' then 3 when 'probable_identique' then 2 else 1 end) when 3 then 'doublon_exact'
+                   when 2 then 'probable_identique' else 'similaire' end as kind
           from kept join member on node = a join (select component, count(*) as members from member group by 1) n using (component) group by 1""",
     "edges",
 )

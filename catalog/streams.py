@@ -17,7 +17,7 @@ from hearthmark.streaming import jobs
 
 
 def as_stream(df, order: str, parts: int = 3):
-    """Write the rows in ``parts`` consecutive files and read them back one file per micro-batch."""
+    """Write the rows in ``parts`` consecutive steps of two files each and read them back one step per micro-batch."""
     spark = df.sparkSession
     folder = shared_folder(spark)
     low, high = df.agg(F.min(order), F.max(order)).first()
@@ -25,8 +25,9 @@ def as_stream(df, order: str, parts: int = 3):
     for part in range(parts):
         below = F.lit(True) if part == parts - 1 else F.col(order) < F.lit(low + width * (part + 1))
         rows = df.where((F.col(order) >= F.lit(low + width * part)) & below)
-        rows.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        dealt = rows.repartition(2).write.mode("append")
+        dealt.parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(folder)
 
 
 def _finished(query):

@@ -6,8 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Luminance values of a 9x8 image, and what is said about any other number of them.
+GRAY_VALUES = 72
+GRAY_ERROR = "dHashFromGray9x8 attend 72 valeurs (9×8)."
+
+
+def dhash_error(gray: Column) -> Column:
+    """Message for an array that has no hash, null for others."""
+    return F.when(gray.isNull() | (F.size(gray) != GRAY_VALUES), F.lit(GRAY_ERROR))
+
+
 def dhash(gray: Column) -> Column:
-    """16 hex digits from a 9x8 luminance array: is each pixel darker than its right one?"""
+    """16 hex digits from a 9x8 luminance array: is each pixel darker than its right one?
+
+    Null for an array of any other size (see :func:`dhash_error`).
+    """
     bits = F.transform(
         F.sequence(F.lit(0), F.lit(63)),
         lambda i: F.when(
@@ -16,7 +29,7 @@ def dhash(gray: Column) -> Column:
             F.lit("1"),
         ).otherwise(F.lit("0")),
     )
-    return F.lpad(F.lower(F.conv(F.array_join(bits, ""), 2, 16)), 16, "0")
+    return F.when(dhash_error(gray).isNull(), F.lpad(F.lower(F.conv(F.array_join(bits, ""), 2, 16)), 16, "0"))
 
 
 def _digits(code: Column) -> Column:

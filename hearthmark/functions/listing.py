@@ -61,8 +61,25 @@ def source_of_host(host: Column) -> Column:
     return rule.otherwise(F.lit(GENERIC_SOURCE))
 
 
+#: UTF-16 units that are hashed at once.
+FNV_UNITS = 1 << 22
+
+
 def _fnv1a(texts: pd.Series) -> pd.Series:
-    """FNV-1a of a batch: one vector step per character position over all texts that reach it."""
+    """FNV-1a of a batch, in pieces of bounded size; a longer text is a piece of its own."""
+    parts, begin, held = [], 0, 0
+    for k, text in enumerate(texts):
+        size = len(text) if isinstance(text, str) else 0
+        if held and held + size > FNV_UNITS:
+            parts.append(_fnv1a_piece(texts.iloc[begin:k]))
+            begin, held = k, 0
+        held += size
+    parts.append(_fnv1a_piece(texts.iloc[begin:]))
+    return pd.concat(parts)
+
+
+def _fnv1a_piece(texts: pd.Series) -> pd.Series:
+    """One vector step per character position over all texts that reach it."""
     present = texts.notna().to_numpy()
     units = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), dtype="<u2") for t in texts[present]]
     lengths = np.array([len(u) for u in units], dtype=np.int64)

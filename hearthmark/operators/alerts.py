@@ -7,18 +7,15 @@ from pyspark.sql import functions as F
 
 from hearthmark.operators.ordered import with_last_known
 
-# Fixed value: notifications handled per dispatch.
-DISPATCH_BATCH = 200
-
 
 def unread(notifications: DataFrame) -> DataFrame:
     return notifications.where(F.col("read_at").isNull())
 
 
-def dispatch_queue(notifications: DataFrame, limit: int = DISPATCH_BATCH) -> DataFrame:
-    """Oldest notifications that never left."""
-    waiting = notifications.where(F.col("dispatched_at").isNull())
-    return waiting.orderBy("created_at", "notification_id").limit(limit)
+def dispatch_queue(notifications: DataFrame, limit: int | None = None) -> DataFrame:
+    """Notifications that never left, oldest first; the first ``limit`` of them if one is given."""
+    waiting = notifications.where(F.col("dispatched_at").isNull()).orderBy("created_at", "notification_id")
+    return waiting if limit is None else waiting.limit(limit)
 
 
 def delivery_outcomes(
@@ -86,17 +83,33 @@ def stamp_dispatched(outcomes: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def fold_read_state(log: DataFrame, slice_rows: int = 100_000) -> DataFrame:
+def _before_log(notifications: DataFrame, log: DataFrame) -> DataFrame:
+    """Last log entry of the user before each notification was created."""
+    nothing = F.lit(None).cast("bigint")
+    entries = log.select("user_id", nothing.alias("notification_id"), "at", "seq", F.lit(1).alias("_kind"))
+    born = notifications.select("user_id", "notification_id", F.col("created_at").alias("at"), nothing.alias("seq"), F.lit(0).alias("_kind"))
+    known = with_last_known(entries.unionByName(born), ["user_id"], ["at", "_kind", "seq"], "seq", F.date_trunc("day", "at"), "_born")
+    return known.where("_kind = 0").select("user_id", "notification_id", "_born")
+
+
+def fold_read_state(log: DataFrame, slice_rows: int = 100_000, notifications: DataFrame | None = None) -> DataFrame:
     """Current read time per (user, notification) after a log of read actions.
 
     The first read after the latest ``unread`` counts; ``read_all`` reads every
-    notification of the user that exists by then.
+    notification of the user that exists by then. With ``notifications(user_id,
+    notification_id, created_at, read_at)`` these are the notifications that
+    exist, each from its creation on; an earlier read time stays until an
+    ``unread``. Without, only those exist that the log names.
     """
     keys = ["user_id", "notification_id"]
     own = log.where(F.col("action") != "read_all")
     state = own.groupBy(*keys).agg(
         F.min("seq").alias("_first"), F.max(F.when(F.col("action") == "unread", F.col("seq"))).alias("_unread")
     )
+    if notifications is not None:
+        born = _before_log(notifications, log)
+        earliest = F.lit(-(2**62))
+        state = born.join(state.drop("_first"), keys, "left").select(*keys, F.coalesce(F.col("_born") + 1, earliest).alias("_first"), "_unread")
     reads = (
         own.where(F.col("action") == "read")
         .join(state, keys)
@@ -117,8 +130,13 @@ def fold_read_state(log: DataFrame, slice_rows: int = 100_000) -> DataFrame:
     swept = with_last_known(
         timeline, ["user_id"], ["_back", "_is_barrier"], "_all", F.floor(F.col("_back") / slice_rows), "_swept"
     ).where(F.col("notification_id").isNotNull())
+    folded = swept.select(*keys, "_swept").join(reads, keys, "left").select(*keys, F.least("_read", "_swept")["at"].alias("read_at"))
+    if notifications is None:
+        return folded
+    untouched = state.where(F.col("_unread").isNull()).select(*keys, F.lit(True).alias("_kept"))
+    had = notifications.where(F.col("read_at").isNotNull()).select(*keys, F.col("read_at").alias("_had"))
     return (
-        swept.select(*keys, "_swept")
-        .join(reads, keys, "left")
-        .select(*keys, F.least("_read", "_swept")["at"].alias("read_at"))
+        folded.join(had, keys, "left")
+        .join(untouched, keys, "left")
+        .select(*keys, F.coalesce(F.when(F.col("_kept"), F.col("_had")), F.col("read_at")).alias("read_at"))
     )

@@ -460,8 +460,9 @@ def _profiles(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
 
 
 def _best(scored: DataFrame) -> DataFrame:
-    """Highest score per probe row, lowest partner id on ties."""
-    return scored.groupBy("a").agg(F.max_by(F.struct("b", "score", "bucket"), F.struct(F.col("score"), -F.col("_order"))).alias("_m")).select("a", "_m.*")
+    """Highest score per probe row, lowest partner id on ties; ids may be numbers or texts."""
+    top = scored.groupBy("a", "score").agg(F.min_by(F.struct("b", "score", "bucket"), "_order").alias("_m"))
+    return top.groupBy("a").agg(F.max_by("_m", "score").alias("_m")).select("a", "_m.*")
 
 
 def best_matches(

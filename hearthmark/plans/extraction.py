@@ -15,20 +15,18 @@ from hearthmark.functions.numbers import parse_number
 from hearthmark.functions.text import blank_to_null, capitalise, trim_blank
 from hearthmark.operators.once import with_once
 
-# Sub-sitemaps followed, pages crawled, listings per connector.
-MAX_CHILDREN, MAX_PAGES, MAX_LISTINGS = 30, 20, 200
-
 RAW_FIELDS = "id url title description type rooms city postalCode price surface currency lat lng".split()
 
 
 # ---------------------------------------------------------------- discovery
 
 
-def sitemap_urls(docs: DataFrame, roots: DataFrame, detail: str, max_children: int = MAX_CHILDREN) -> DataFrame:
+def sitemap_urls(docs: DataFrame, roots: DataFrame, detail: str, max_children: int | None = None) -> DataFrame:
     """Detail URLs of each connector's sitemap, an index being followed one level.
 
     ``docs(url, body)`` are fetched documents, ``roots(connector, sitemap_url)``
-    the entry points. The result keeps the first position of every URL.
+    the entry points. The result keeps the first position of every URL. All
+    children of an index are followed unless ``max_children`` is given.
     """
     located = roots.join(docs.select(F.col("url").alias("sitemap_url"), "body"), "sitemap_url").select(
         "connector",
@@ -36,7 +34,8 @@ def sitemap_urls(docs: DataFrame, roots: DataFrame, detail: str, max_children: i
         F.posexplode(F.regexp_extract_all("body", F.lit(page.LOC), F.lit(1))).alias("_at", "url"),
     )
     flat = located.where(~F.col("_index")).select("connector", F.lit(0).alias("_parent"), "_at", "url")
-    children = located.where(F.col("_index") & (F.col("_at") < max_children))
+    within = F.lit(True) if max_children is None else F.col("_at") < max_children
+    children = located.where(F.col("_index") & within)
     nested = children.select("connector", F.col("_at").alias("_parent"), "url").join(docs, "url").select(
         "connector", "_parent", F.posexplode(F.regexp_extract_all("body", F.lit(page.LOC), F.lit(1))).alias("_at", "url")
     )
@@ -45,16 +44,16 @@ def sitemap_urls(docs: DataFrame, roots: DataFrame, detail: str, max_children: i
 
 
 def harvest_links(
-    docs: DataFrame, roots: DataFrame, detail: str, seed: str | None = None, max_pages: int = MAX_PAGES, base: str | None = None
+    docs: DataFrame, roots: DataFrame, detail: str, seed: str | None = None, max_pages: int | None = None, base: str | None = None
 ) -> DataFrame:
-    """Detail links on the pages that a sitemap lists (the first ``max_pages`` that pass ``seed``)."""
+    """Detail links on the pages that a sitemap lists (all that pass ``seed``, or the first ``max_pages`` of them)."""
     locs = F.regexp_extract_all("body", F.lit(page.LOC), F.lit(1))
     if seed is not None:
         locs = F.filter(locs, lambda u: u.rlike(seed))
     listed = roots.join(docs.select(F.col("url").alias("sitemap_url"), "body"), "sitemap_url").select(
         "connector",
         (F.lit(base) if base else urls.origin(F.col("sitemap_url"))).alias("_base"),
-        F.posexplode(F.slice(locs, 1, max_pages)).alias("_parent", "url"),
+        F.posexplode(locs if max_pages is None else F.slice(locs, 1, max_pages)).alias("_parent", "url"),
     )
     links = listed.join(docs, "url").select(
         "connector", "_base", "_parent", F.posexplode(F.regexp_extract_all("body", F.lit(page.HREF), F.lit(1))).alias("_at", "_href")
@@ -69,19 +68,23 @@ def discover(
     detail: str,
     seed: str | None = None,
     departments: list[str] | None = None,
-    max_pages: int = MAX_PAGES,
+    max_pages: int | None = None,
     base: str | None = None,
+    max_children: int | None = None,
 ) -> DataFrame:
     """Sitemap URLs, or harvested links for connectors whose sitemap names no detail page."""
-    direct = sitemap_urls(docs, roots, detail)
+    direct = sitemap_urls(docs, roots, detail, max_children)
     without = roots.join(direct.select("connector").distinct(), "connector", "left_anti")
     found = direct.unionByName(harvest_links(docs, without, detail, seed, max_pages, base))
     return found.where(page.in_departments(F.col("url"), departments))
 
 
-def first_listings(found: DataFrame, limit: int | None = None, max_listings: int = MAX_LISTINGS) -> DataFrame:
-    """The first URLs of each connector up to its cap (part of the collection contract)."""
-    cap = min(max_listings, limit) if limit is not None else max_listings
+def first_listings(found: DataFrame, limit: int | None = None, max_listings: int | None = None) -> DataFrame:
+    """The first URLs of each connector up to the smaller of the given caps; all of them without a cap."""
+    caps = [c for c in (limit, max_listings) if c is not None]
+    if not caps:
+        return found
+    cap = min(caps)
     order = Window.partitionBy("connector").orderBy("position", "url")
     return found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= cap).drop("_rank")
 
@@ -212,7 +215,6 @@ TYPE_NAMES = (
     ("(?i)(?:single.?family)?house|residence|villa", "maison"),
     ("(?i)land|terrain", "terrain"),
 )
-GRAPH_LEVELS, WRAPPED_LEVELS = 4, 3
 
 
 def _variants(node: Column, path: str) -> Column:
@@ -252,10 +254,17 @@ def json_ld_objects(pages: DataFrame) -> DataFrame:
     """Add ``objects``: every typed JSON-LD object of a page in document order."""
     blocks = F.regexp_extract_all("html", F.lit(LD_SCRIPT), F.lit(1))
     nodes = F.filter(F.transform(blocks, lambda b: F.try_parse_json(trim_blank(b))), lambda n: n.isNotNull())
-    rows = with_once(pages, _nodes=F.transform(nodes, lambda n: F.struct(n.alias("node"), F.lit(False).alias("done"))))
-    for _ in range(GRAPH_LEVELS):
-        rows = with_once(rows, _nodes=F.flatten(F.transform("_nodes", _unfold)))
-    kind = F.filter("_nodes", lambda e: e["done"] & F.try_variant_get(e["node"], "$['@type']", "variant").isNotNull())
+    entries = F.transform(nodes, lambda n: F.struct(n.alias("node"), F.lit(False).alias("done")))
+    # every step opens a list, and a text has no more nested lists than opening brackets
+    lists = F.aggregate(blocks, F.lit(1), lambda n, b: n + F.length(b) - F.length(F.replace(b, F.lit("["), F.lit(""))))
+    rows = with_once(pages, _nodes=entries, _steps=lists)
+
+    def step(found: Column, _: Column) -> Column:
+        return F.when(F.forall(found, lambda e: e["done"]), found).otherwise(F.flatten(F.transform(found, _unfold)))
+
+    rows = with_once(rows, _nodes=F.aggregate(F.sequence(F.lit(0), F.col("_steps")), F.col("_nodes"), step)).drop("_steps")
+    named = lambda e: _member(e["node"], "$['@type']").isNotNull() & ~F.equal_null(_string(e["node"], "$['@type']"), F.lit(""))
+    kind = F.filter("_nodes", lambda e: e["done"] & named(e))
     return with_once(rows, objects=F.transform(kind, lambda e: e["node"])).drop("_nodes")
 
 
@@ -279,6 +288,13 @@ def _unwrapped(value: Column) -> Column:
     return F.when(_is(value, "OBJECT"), content).otherwise(value)
 
 
+def _innermost(value: Column) -> Column:
+    """Unwrap as often as the value has objects."""
+    text = F.coalesce(F.to_json(value), F.lit(""))
+    objects = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+    return F.aggregate(F.sequence(F.lit(0), objects), value, lambda inner, _: _unwrapped(inner))
+
+
 def _amount(value: Column) -> Column:
     kind = F.schema_of_variant(value)
     return F.when(kind == "STRING", parse_number(F.try_variant_get(value, "$", "string"))).when(
@@ -302,8 +318,7 @@ def json_ld_pages(pages: DataFrame, config: Mapping) -> Extracted:
         "_lng": _member(place, "$.geo.longitude"),
     }
     good = with_once(good, _locality=_string(place, "$.address.addressLocality"), **amounts)
-    for _ in range(WRAPPED_LEVELS):
-        good = with_once(good, **{n: _unwrapped(F.col(n)) for n in amounts})
+    good = with_once(good, **{n: _innermost(F.col(n)) for n in amounts})
     name = _string(place, "$.name")
     first_named = F.try_element_at(
         F.filter(

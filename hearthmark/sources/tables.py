@@ -13,16 +13,6 @@ def scan_for_batch(listings: DataFrame, incoming: DataFrame, tenant: str = "user
     return listings.join(incoming.select(tenant, source).distinct(), [tenant, source], "left_semi")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out a table of fewer files than cores before CPU-heavy text work.
-
-    Such a table may be one row group, which no split can divide. Tables with
-    enough files are left as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, a machine-local one only for local sessions."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -12,18 +12,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from hearthmark.operators.history import price_change_points
 from hearthmark.plans.ingest import State, apply_plan, last_per_key, plan_ingestion
 
 
 def _earlier(spark: SparkSession, path: str, batch: int, since: int = 0) -> DataFrame | None:
-    """Rows that batches ``since`` to ``batch - 1`` wrote; null before the first output."""
-    try:
-        rows = spark.read.parquet(path)
-    except AnalysisException:
+    """Rows that batches ``since`` to ``batch - 1`` wrote; null before the first output.
+
+    Only a missing folder means that there is none; whatever else is wrong with it is an error.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return None
+    rows = spark.read.parquet(path)
     return rows.where((F.col("batch") < batch) & (F.col("batch") >= since))
 
 

@@ -9,8 +9,9 @@ from hearthmark.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "hearthmark-tests", **{"spark.sql.shuffle.partitions": "4"})
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("shared"))
+    session = local_session(8, "hearthmark-tests", **{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": folder})
     yield session
     session.stop()
 

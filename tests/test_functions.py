@@ -205,3 +205,32 @@ def test_urls(one):
         "https://x.fr/a/b.html?p=2",
         "https://x.fr/a/b.html?q=1#t",
     ]
+
+
+def test_links_with_dots(one):
+    from hearthmark.functions import urls
+
+    base = F.lit("https://a.fr/x/y/page.html?q=1")
+    links = ["../z", "./z", "../../../z?a=../b", "/k/./l/../m", "z/..", "plain", "//b.fr/c/../d", "#top"]
+    assert one(*[urls.resolve(F.lit(h), base) for h in links]) == (
+        "https://a.fr/x/z",
+        "https://a.fr/x/y/z",
+        "https://a.fr/z?a=../b",
+        "https://a.fr/k/m",
+        "https://a.fr/x/y/",
+        "https://a.fr/x/y/plain",
+        "https://b.fr/d",
+        "https://a.fr/x/y/page.html?q=1#top",
+    )
+
+
+def test_fingerprints_in_pieces(monkeypatch):
+    import pandas as pd
+
+    from hearthmark.functions import listing
+
+    texts = pd.Series(["abc", None, "", "x" * 50, "é😀", "abc"] * 4)
+    whole = listing._fnv1a(texts).tolist()
+    monkeypatch.setattr(listing, "FNV_UNITS", 7)
+    assert listing._fnv1a(texts).tolist() == whole
+    assert whole[0] == "1a47e90b" and whole[1] is None

@@ -177,3 +177,27 @@ def test_components_equal_union_find(spark, seed):
 def test_canonical_edges_keep_the_last_write(spark):
     edges = spark.createDataFrame([(2, 1, 10, 1), (1, 2, 20, 2), (3, 3, 9, 3)], "a int, b int, score int, seq int")
     assert [tuple(r) for r in matching.canonical_edges(edges, "seq").select("a", "b", "score").collect()] == [(1, 2, 20)]
+
+
+def test_read_all_reaches_notifications_without_an_action(spark):
+    notes = spark.createDataFrame(
+        [(1, 7, 10, None), (1, 8, 50, None), (1, 9, 10, 5), (2, 7, 10, None), (1, 6, 10, 4)],
+        "user_id int, notification_id long, created long, had long",
+    ).select("user_id", "notification_id", F.timestamp_seconds("created").alias("created_at"), F.timestamp_seconds("had").alias("read_at"))
+    log = spark.createDataFrame(
+        [(1, 1, None, "read_all", 20), (2, 1, 6, "unread", 30)], "seq long, user_id int, notification_id long, action string, t long"
+    ).select("seq", "user_id", "notification_id", "action", F.timestamp_seconds("t").alias("at"))
+    rows = alerts.fold_read_state(log, notifications=notes).withColumn("s", F.unix_seconds("read_at")).collect()
+    assert {(r["user_id"], r["notification_id"]): r["s"] for r in rows} == {(1, 7): 20, (1, 8): None, (1, 9): 5, (2, 7): None, (1, 6): None}
+
+
+def test_image_hash_needs_all_values(one):
+    from hearthmark.functions import images
+
+    good, short, error, fine = one(
+        images.dhash(F.sequence(F.lit(1), F.lit(72))),
+        images.dhash(F.array(F.lit(1), F.lit(2), F.lit(3))),
+        images.dhash_error(F.lit(None).cast("array<int>")),
+        images.dhash_error(F.sequence(F.lit(1), F.lit(72))),
+    )
+    assert (good, short, fine) == ("f" * 16, None, None) and error == images.GRAY_ERROR
