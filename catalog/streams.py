@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.analytics import NOW, now, text_of
+from catalog.extraction import _PAGE_SQL as PAGE_SQL
+from catalog.extraction import _SOLD_SQL as SOLD_SQL
+from catalog.extraction import KEY_SQL, SLUG_SQL, URL_CODE, text_code_sql
 from catalog.ingestion import state_of, stored_listings
 from catalog.joins import searches_of
 from catalog.matching import with_hashes
@@ -92,27 +95,65 @@ register(
     "existing",
 )
 
-CONFIGS = {"sitemap_html": {"saleOnly": True}, "netty": {}}
+def _fetched(t):
+    return t("ad_pages").select((F.col("page_id") % 100 + 1).alias("connector_id"), "url", "html")
+
+
+def _collected(t):
+    return collect.collect_pages(searches_of(t), t("connectors"), _fetched(t))
 
 
 def _collection_runs(t):
-    pages = t("ad_pages").select((F.col("page_id") % 100 + 1).alias("connector_id"), "url", "html")
-    searches = searches_of(t)
-    _, rows = collect.run_searches(searches, t("connectors"), pages, stored_listings(t).drop("phash"), now(), CONFIGS)
-    return rows.select("search_id", "outcome", "status", "fetched", "warnings", (F.col("added") <= F.col("fetched")).alias("bounded"))
+    done = collect.run_searches(searches_of(t), t("connectors"), _fetched(t), stored_listings(t).drop("phash"), now())
+    return done.runs.select("search_id", "outcome", "status", "fetched", "added", "updated", "warnings")
+
+
+def _department_sql(x: str) -> str:
+    return f"substr(nullif(regexp_extract(coalesce({x}, ''), '(^|[^0-9])(\\d{{5}})([^0-9]|$)', 2), ''), 1, 2)"
 
 
+_IN_SCOPE = "({0} is null or {0} = department or {0} = '63')"
+COLLECT_SQL = f"""with {PAGE_SQL}, {SLUG_SQL},
+    chosen as (select s.search_id, s.user_id, c.connector_id, c.source_id, coalesce(c.config ->> '$.kind', 'json_api') as kind, c.config ->> '$.departments[0]' as department
+        from searches s join connectors c on c.user_id = s.user_id
+        where c.enabled and c.mode = 'authorized_api' and (len({LIST_SQL.format('s.source_ids')}) = 0 or list_contains({LIST_SQL.format('s.source_ids')}, c.source_id))),
+    found as (select page_id % 100 + 1 as connector_id, 'sitemap_html' as kind, {KEY_SQL} as external_id, {_department_sql('url')} as d1,
+            {_department_sql(f"coalesce({text_code_sql('title')}, {URL_CODE})")} as d2 from base
+        union all select page_id % 100 + 1, 'netty', coalesce(ref, url), null, null from base join slug using (page_id, url) where not {SOLD_SQL}),
+    kept as (select search_id, user_id, source_id, connector_id, trim(external_id) as external_id from chosen join found using (connector_id, kind)
+        where department is null or ({_IN_SCOPE.format('d1')} and {_IN_SCOPE.format('d2')}))"""
+
 register(
     "PIPE-3",
     _collection_runs,
-    f"""with chosen as (select s.search_id, c.connector_id, coalesce(c.config ->> '$.kind', 'json_api') as kind from searches s join connectors c on c.user_id = s.user_id
-          where c.enabled and c.mode = 'authorized_api' and (len({LIST_SQL.format('s.source_ids')}) = 0 or list_contains({LIST_SQL.format('s.source_ids')}, c.source_id))),
-        kept as (select page_id % 100 + 1 as connector_id, kind from ad_pages, (select unnest(['sitemap_html', 'netty']) as kind) k
-          where case kind when 'sitemap_html' then page_id % 8 not in (2, 5) else page_id % 8 not in (3) end),
-        n as (select search_id, count(*) as fetched from chosen join kept using (connector_id, kind) group by 1)
+    COLLECT_SQL
+    + """, n as (select search_id, count(*) as fetched from kept group by 1),
+        keys as (select user_id, source_id, external_id, max(search_id) as search_id from kept group by 1, 2, 3),
+        planned as (select k.search_id, count(*) filter (e.id is null) as added, count(*) filter (e.id is not null) as updated
+            from keys k left join existing e on e.user_id = k.user_id and e.source_id = k.source_id and e.external_id = k.external_id group by 1)
         select s.search_id, case when s.search_id not in (select search_id from chosen) then 'no-connector' when coalesce(fetched, 0) = 0 then 'no-data' else 'ok' end as outcome,
-               'success' as status, coalesce(fetched, 0) as fetched, cast(0 as bigint) as warnings, true as bounded
-        from searches s left join n using (search_id)""",
+               'success' as status, coalesce(fetched, 0) as fetched, coalesce(added, 0) as added, coalesce(updated, 0) as updated, cast(0 as bigint) as warnings
+        from searches s left join n using (search_id) left join planned using (search_id)""",
+    "searches",
+    "connectors",
+    "ad_pages",
+    "existing",
+)
+register(
+    "PIPE-3.listings",
+    lambda t: _collected(t).listings.select("search_id", "connector_id", "source_id", "external_id"),
+    COLLECT_SQL + " select search_id, connector_id, source_id, external_id from kept",
+    "searches",
+    "connectors",
+    "ad_pages",
+)
+register(
+    "PIPE-3.events",
+    lambda t: _collected(t).events.select("search_id", "level", "step", "message"),
+    COLLECT_SQL
+    + f""" select c.search_id, 'info' as level, 'collect' as step, 'Connecteur ' || c.source_id || ' : ' || count(k.external_id) || ' annonce(s) récupérée(s).' as message
+        from chosen c left join kept k on k.search_id = c.search_id and k.connector_id = c.connector_id group by c.search_id, c.connector_id, c.source_id
+        union all select search_id, 'info', 'collect', '{collect.NO_CONNECTOR}' from searches where search_id not in (select search_id from chosen)""",
     "searches",
     "connectors",
     "ad_pages",

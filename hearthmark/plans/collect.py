@@ -2,54 +2,169 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from hearthmark.functions import html as page
+from hearthmark.operators.once import with_once
 from hearthmark.operators.runs import plan_counters
 from hearthmark.operators.visibility import connectors_for_searches
-from hearthmark.plans.extraction import as_fields, extract_pages
+from hearthmark.plans.extraction import STRATEGIES, api_items, as_fields, extract_pages
 from hearthmark.plans.ingest import Plan, last_per_key, plan_ingestion
 from hearthmark.plans.normalise import normalize_listings
+from hearthmark.sources.feeds import explode_items, map_fields
+
+# Kinds that read items instead of pages, kinds that can leave out rentals, and texts of the run log.
+JSON_API, TERM_API = "json_api", "wordpress_rest"
+SALE_ONLY_KINDS = ("sitemap_html",)
+UNKNOWN_KIND = "Type de connecteur de site inconnu : « %s »."
+NO_CONNECTOR = "Aucun connecteur autorisé configuré — pas de collecte automatique."
+COLLECTED = "Connecteur %s : %d annonce(s) récupérée(s)."
 
 
 @dataclass
 class Collected:
-    """Canonical listings per search, and warnings of the connectors."""
+    """Canonical listings and warnings per search, and the log events of the runs."""
 
     listings: DataFrame
     warnings: DataFrame
+    events: DataFrame
+
+
+def connector_settings(connectors: DataFrame) -> DataFrame:
+    """The options that a run reads from each connector's own configuration."""
+    rows = with_once(connectors, _config=F.try_parse_json("config"))
+
+    def option(name: str, kind: str) -> Column:
+        return F.try_variant_get("_config", f"$.{name}", kind)
+
+    named = F.schema_of_variant(F.try_variant_get("_config", "$.kind", "variant")) == "STRING"
+    return rows.select(
+        "connector_id",
+        "source_id",
+        F.when(named, option("kind", "string")).otherwise(F.lit(JSON_API)).alias("_kind"),
+        F.nullif(F.coalesce(option("departments", "array<string>"), F.array().cast("array<string>")), F.array().cast("array<string>")).alias("_departments"),
+        option("maxListings", "int").alias("_most"),
+        F.coalesce(option("saleOnly", "boolean"), F.lit(False)).alias("_sale_only"),
+        F.coalesce(option("listPath", "string"), F.lit("")).alias("_list_path"),
+        option("map", "map<string,string>").alias("_map"),
+        F.coalesce(option("taxonomies", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("_taxonomies"),
+    )
+
+
+def _inside(text: Column) -> Column:
+    """Whether a text names no department or one of the connector's own."""
+    code = page.department(text)
+    return F.col("_departments").isNull() | code.isNull() | F.array_contains("_departments", code)
+
+
+def _within_limits(pages: DataFrame) -> DataFrame:
+    """Pages of the wanted departments; of connectors that name a maximum the first ones."""
+    rows = pages.where(_inside(F.col("url")))
+    place = [F.col("position")] if "position" in pages.columns else []
+    order = Window.partitionBy("connector_id").orderBy(*place, "url")
+    # only addresses are sorted, the bodies stay where they are
+    listed = rows.where(F.col("_most").isNotNull()).select("connector_id", "url", "_most", *place)
+    first = listed.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.col("_most"))
+    capped = rows.where(F.col("_most").isNotNull()).join(first.select("connector_id", "url"), ["connector_id", "url"], "left_semi")
+    return rows.where(F.col("_most").isNull()).unionByName(capped)
+
+
+_OWN = ["connector_id", "source_id", "_departments"]
+
+
+def _from_pages(pages: DataFrame, settings: DataFrame) -> list[tuple[DataFrame, DataFrame | None]]:
+    """Raw rows and warnings of every page strategy, by each connector's own options."""
+    sourced = _within_limits(pages.join(settings, "connector_id"))
+    found = []
+    for kind in STRATEGIES:
+        for sale_only in (False, True) if kind in SALE_ONLY_KINDS else (False,):
+            wanted = F.col("_kind") == kind
+            if kind in SALE_ONLY_KINDS:
+                wanted &= F.col("_sale_only") == sale_only
+            own = sourced.where(wanted).select(*_OWN, "url", "html")
+            extracted = extract_pages(own, kind, {"saleOnly": sale_only})
+            warned = extracted.warnings if "connector_id" in extracted.warnings.columns else None
+            found.append((as_fields(extracted.raws), warned))
+    return found
+
+
+def _from_payloads(payloads: DataFrame, settings: DataFrame) -> DataFrame:
+    """Raw rows of the JSON answers, by each connector's list path and field map."""
+    rows = payloads.join(settings.where(F.col("_kind") == JSON_API).select(*_OWN, "_list_path", "_map"), "connector_id")
+    items = explode_items(rows, "payload", F.col("_list_path"))
+    return map_fields(items, "item", F.col("_map")).select(*_OWN, "fields")
+
+
+def _from_terms(payloads: DataFrame, terms: DataFrame, settings: DataFrame) -> DataFrame:
+    """Raw rows of API items whose fields are terms, by each connector's taxonomies."""
+    own = settings.where(F.col("_kind") == TERM_API)
+    rows = payloads.join(own.select("connector_id", "_most", "_taxonomies"), "connector_id")
+    items = explode_items(rows, "payload").where(F.col("_most").isNull() | (F.col("pos") < F.col("_most")))
+    raws = api_items(items.drop("_most").withColumnRenamed("connector_id", "connector"), terms, "_taxonomies")
+    named = as_fields(raws).withColumnRenamed("connector", "connector_id").join(own.select(*_OWN), "connector_id")
+    return named.select(*_OWN, "fields")
 
 
 def collect_pages(
-    searches: DataFrame, connectors: DataFrame, pages: DataFrame, configs: Mapping[str, Mapping] | None = None
+    searches: DataFrame,
+    connectors: DataFrame,
+    pages: DataFrame,
+    payloads: DataFrame | None = None,
+    terms: DataFrame | None = None,
 ) -> Collected:
-    """Extract and normalise the fetched pages of all usable connectors.
+    """Extract and normalise what was fetched for all usable connectors.
 
-    ``pages(connector_id, url, html)``; the connector's ``config.kind`` picks the
-    strategy and ``configs`` holds the options of each strategy. Extraction
-    runs once per page; the result is then joined to every search that uses
-    the connector.
+    ``pages(connector_id, url, html[, position])`` serve the kinds that read
+    pages, ``payloads(connector_id, payload)`` the JSON answers of the others and
+    ``terms(connector, taxonomy, term_id, name)`` their term names. Every
+    connector's configuration picks its kind and options; an unknown kind is a
+    warning. Extraction runs once per connector; the result is then joined to
+    every search that uses it.
     """
-    configs = configs or {}
     chosen = connectors_for_searches(connectors, searches)
-    kind = F.coalesce(F.try_variant_get(F.try_parse_json("config"), "$.kind", "string"), F.lit("json_api"))
-    used = chosen.select("connector_id", "source_id", kind.alias("_kind")).dropDuplicates(["connector_id"])
-    sourced = pages.join(used, "connector_id")
-    listings, warnings = None, None
-    for name in configs:
-        extracted = extract_pages(sourced.where(F.col("_kind") == name).drop("_kind"), name, configs[name])
-        good, errors = normalize_listings(as_fields(extracted.raws.withColumnRenamed("source_id", "_source")), source="_source")
-        good = good.drop("_source")
-        messages = errors.select("connector_id", "message")
-        if "connector_id" in extracted.warnings.columns:
-            messages = messages.unionByName(extracted.warnings.select("connector_id", "message"))
-        listings = good if listings is None else listings.unionByName(good)
-        warnings = messages if warnings is None else warnings.unionByName(messages)
+    settings = connector_settings(chosen.dropDuplicates(["connector_id"]))
+    parts = _from_pages(pages, settings)
+    if payloads is not None:
+        parts.append((_from_payloads(payloads, settings), None))
+        if terms is not None:
+            parts.append((_from_terms(payloads, terms, settings), None))
+    unknown = settings.where(~F.col("_kind").isin(*STRATEGIES, JSON_API, TERM_API))
+    warnings = unknown.select("connector_id", F.format_string(UNKNOWN_KIND, "_kind").alias("message"))
+    raws = None
+    for fields, warned in parts:
+        rows = fields.select(*_OWN, "fields")
+        raws = rows if raws is None else raws.unionByName(rows)
+        if warned is not None:
+            warnings = warnings.unionByName(warned.select("connector_id", "message"))
+    code = F.try_variant_get(F.try_element_at("fields", F.lit("postalCode")), "$", "string")
+    scoped = raws.where(_inside(code)).drop("_departments").withColumnRenamed("source_id", "_source")
+    good, errors = normalize_listings(scoped, source="_source")
+    warnings = warnings.unionByName(errors.select("connector_id", "message"))
     per_search = chosen.select("search_id", "user_id", "connector_id")
-    return Collected(listings.join(per_search, "connector_id"), warnings.join(per_search, "connector_id"))
+    listings = good.drop("_source").join(per_search, "connector_id")
+    warned = warnings.join(per_search, "connector_id")
+    return Collected(listings, warned, _events(searches, chosen, listings, warned))
+
+
+def _events(searches: DataFrame, chosen: DataFrame, listings: DataFrame, warnings: DataFrame) -> DataFrame:
+    """Log events ``(search_id, user_id, level, step, message)`` of the runs."""
+
+    def event(rows: DataFrame, level: str, step: str, message: Column) -> DataFrame:
+        return rows.select("search_id", "user_id", F.lit(level).alias("level"), F.lit(step).alias("step"), message.alias("message"))
+
+    counts = listings.groupBy("search_id", "connector_id").agg(F.count(F.lit(1)).alias("_n"))
+    used = chosen.join(counts, ["search_id", "connector_id"], "left")
+    idle = searches.join(chosen.select("search_id").distinct(), "search_id", "left_anti")
+    return (
+        event(used, "info", "collect", F.format_string(COLLECTED, "source_id", F.coalesce("_n", F.lit(0))))
+        .unionByName(event(warnings, "warn", "normalize", F.col("message")))
+        .unionByName(event(idle, "info", "collect", F.lit(NO_CONNECTOR)))
+    )
 
 
 def run_rows(searches: DataFrame, connectors: DataFrame, counters: DataFrame, trigger: str, now: Column) -> DataFrame:
@@ -76,23 +191,48 @@ def run_rows(searches: DataFrame, connectors: DataFrame, counters: DataFrame, tr
     )
 
 
+def mark_run(searches: DataFrame, now: Column) -> DataFrame:
+    """The searches after their runs: every one of them has run at ``now``."""
+    return searches.withColumn("last_run_at", now)
+
+
+@dataclass
+class Runs:
+    """What the runs of a job leave: the plan, run rows, log events and the searches."""
+
+    plan: Plan
+    runs: DataFrame
+    events: DataFrame
+    searches: DataFrame
+    collected: Collected
+
+
+def _new_ids(existing: DataFrame, key: list[str]) -> Column:
+    """Ids from the key: a digest where stored ids are texts, else a 64-bit hash."""
+    if isinstance(existing.schema["id"].dataType, T.StringType):
+        return F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in key])), 256)
+    return F.xxhash64(*key)
+
+
 def run_searches(
     searches: DataFrame,
     connectors: DataFrame,
     pages: DataFrame,
     existing: DataFrame,
     now: Column,
-    configs: Mapping[str, Mapping],
+    payloads: DataFrame | None = None,
+    terms: DataFrame | None = None,
     trigger: str = "schedule",
     tenant: Sequence[str] = ("user_id",),
-) -> tuple[Plan, DataFrame]:
-    """Plan and run rows of all given searches (see :func:`hearthmark.operators.runs.due_searches`)."""
-    collected = collect_pages(searches, connectors, pages, configs)
+) -> Runs:
+    """Plan, run rows and log of all given searches (see :func:`hearthmark.operators.runs.due_searches`)."""
+    collected = collect_pages(searches, connectors, pages, payloads, terms)
     key = [*tenant, "source_id", "external_id"]
-    batch = last_per_key(collected.listings, key, "search_id").withColumn("id", F.xxhash64(*key))
+    batch = last_per_key(collected.listings, key, "search_id").withColumn("id", _new_ids(existing, key))
     plan = plan_ingestion(batch, existing, searches, tenant)
     subjects = plan.upserts.select("id", "search_id")
     counters = plan_counters(
         collected.listings, plan.upserts, plan.similarities.join(subjects, "id"), plan.notifications, collected.warnings
     )
-    return plan, run_rows(searches, connectors, counters, trigger, now)
+    runs = run_rows(searches, connectors, counters, trigger, now)
+    return Runs(plan, runs, collected.events, mark_run(searches, now), collected)

@@ -351,26 +351,27 @@ def json_ld_pages(pages: DataFrame, config: Mapping) -> Extracted:
 
 
 def api_items(
-    items: DataFrame, terms: DataFrame, taxonomies: Mapping[str, str], pages: DataFrame | None = None
+    items: DataFrame, terms: DataFrame, taxonomies: Mapping[str, str] | str, pages: DataFrame | None = None
 ) -> DataFrame:
     """Raw listings of API items whose fields are term ids.
 
     ``items(connector, pos, item)``, ``terms(connector, taxonomy, term_id,
-    name)``; the first id of a taxonomy that resolves to a name counts. With
+    name)``; the first id of a taxonomy that resolves to a name counts. The
+    taxonomy of each role is given once for all, or by a map column of the items. With
     ``pages(url, html)`` price and surface come from the detail page.
     """
     keys = ["connector", "pos"]
-    roles = [r for r in ("propertyType", "location", "rooms", "status") if taxonomies.get(r)]
-    ids = F.array(
-        *[
-            F.struct(
-                F.lit(role).alias("role"),
-                F.lit(taxonomies[role]).alias("taxonomy"),
-                F.try_variant_get("item", f"$['{taxonomies[role]}']", "array<bigint>").alias("ids"),
-            )
-            for role in roles
-        ]
-    )
+    by_row = isinstance(taxonomies, str)
+    roles = [r for r in ("propertyType", "location", "rooms", "status") if by_row or taxonomies.get(r)]
+
+    def taxonomy(role: str) -> Column:
+        return F.try_element_at(taxonomies, F.lit(role)) if by_row else F.lit(taxonomies[role])
+
+    def ids_of(role: str) -> Column:
+        path = F.concat(F.lit("$['"), taxonomy(role), F.lit("']"))
+        return F.try_variant_get("item", path, "array<bigint>")
+
+    ids = F.array(*[F.struct(F.lit(r).alias("role"), taxonomy(r).alias("taxonomy"), ids_of(r).alias("ids")) for r in roles])
     rows = with_once(items, item=F.col("item"))
     wanted = (
         rows.select(*keys, F.explode(ids).alias("_tax"))
