@@ -10,7 +10,7 @@ in their token union:
 2. each document of a smaller group then queries the other groups that share a
    matrix row with it.  The place of the first shared token bounds the overlap
    with a whole group; a group that cannot reach the threshold is not opened.
-   In an opened group, sizes, places and a parity sketch (its bits differ in at
+   In an opened group, sizes, places and parity sketches (their bits differ in at
    most as many places as the sets) rule out members before the exact test.
 
 The order uses a count sketch of fixed size over all tokens; any order gives
@@ -41,8 +41,9 @@ LEAST = 85
 #: Counters of the order sketch: two megabytes.
 SKETCH_BITS = 19
 SLICES = 128
-PARITY_WORDS = 4
-BUCKET_BYTES = 16 << 20
+#: 64-bit words of the parity sketches: one goes with every matrix row, the wide one with every pair that is left.
+PARITY_WORDS, WIDE_WORDS = 4, 32
+BUCKET_BYTES = 8 << 20
 #: Pairs of one document that a task compares at once.
 CHUNK_PAIRS = 200
 
@@ -89,6 +90,7 @@ FEATURES = T.StructType(
         T.StructField("sum1", T.LongType()),
         T.StructField("sum2", T.LongType()),
         T.StructField("parity", T.BinaryType()),
+        T.StructField("wide", T.BinaryType()),
         T.StructField("slice", T.IntegerType()),
     ]
 )
@@ -99,7 +101,7 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        types = [pa.int64()] * 4 + [pa.binary(), pa.int32()]
+        types = [pa.int64()] * 4 + [pa.binary(), pa.binary(), pa.int32()]
         for batch in batches:
             for low, high, sets in _chunks(batch.column(1), words):
                 n = high - low
@@ -108,9 +110,10 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
                 for salt in (1, 2):
                     total = np.concatenate([[np.uint64(0)], np.cumsum(textops.mixed(sets.token * np.uint64(2 * salt + 1)))])
                     sums.append((total[sets.at[1:]] - total[sets.at[:-1]]).astype(np.int64))
-                width = 64 * PARITY_WORDS
+                width = 64 * WIDE_WORDS
                 bins = np.bincount(sets.row * width + (sets.token % np.uint64(width)).astype(np.int64), minlength=n * width) & 1
-                parity = np.packbits(bins.reshape(n, width).astype(bool), axis=1)
+                wide = np.packbits(bins.reshape(n, width).astype(bool), axis=1)
+                parity = np.bitwise_xor.reduce(wide.reshape(n, WIDE_WORDS // PARITY_WORDS, 8 * PARITY_WORDS), axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(low, n),
@@ -118,11 +121,12 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
                         pa.array(sums[0], pa.int64()),
                         pa.array(sums[1], pa.int64()),
                         pa.array([p.tobytes() for p in parity], pa.binary()),
+                        pa.array([p.tobytes() for p in wide], pa.binary()),
                         pa.nulls(n, pa.int32()),
                     ],
                     names=FEATURES.names,
                 )
-        parts = [(None, None, None, None, part.tobytes(), k) for k, part in enumerate(np.split(sketch, SLICES)) if part.any()]
+        parts = [(None, None, None, None, pa.compress(part.tobytes(), "zstd", asbytes=True), None, k) for k, part in enumerate(np.split(sketch, SLICES)) if part.any()]
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), types, strict=True)], names=FEATURES.names)
 
@@ -133,7 +137,8 @@ def _token_counts(features: DataFrame) -> np.ndarray:
     """The sketch over all tasks; its size is fixed."""
 
     def add(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(p.as_py(), np.uint32) for p in table.column("parity")]
+        size = 4 * (1 << SKETCH_BITS) // SLICES
+        parts = [np.frombuffer(pa.decompress(p.as_py(), size, "zstd", asbytes=True), np.uint32) for p in table.column("parity")]
         total = np.sum(parts, axis=0, dtype=np.uint64)
         return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
@@ -272,12 +277,28 @@ def _between_groups(matrix: DataFrame, least: int) -> DataFrame:
     return matrix.groupBy("part").applyInArrow(query, PAIRS).distinct()
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, buckets: int, words: int, least: int) -> DataFrame:
+def _worth_comparing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """The pairs whose wide parity sketches differ in no more places than similar sets can."""
+    left = nodes.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("wide").alias("wide_a"))
+    right = nodes.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("wide").alias("wide_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, WIDE_WORDS) for k in (4, 5))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            good = apart <= n + m - 2 * _least_overlap(n, m, least)
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(good)).columns[:2], names=["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(run, PAIRS)
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, buckets: int, words: int, least: int) -> DataFrame:
     """The pairs that are similar, by their whole sets.
 
     A document with many partners is sent to several tasks, each with a part of them.
     """
-    pairs = checkpointed(pairs)
+    pairs = checkpointed(_worth_comparing(pairs, nodes, least))
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     texts = rowfilter.possible(docs, "doc_id", rowfilter.field(ends, "doc_id"))
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK_PAIRS).alias("_parts"))
@@ -305,6 +326,26 @@ def _linked(docs: DataFrame, pairs: DataFrame, buckets: int, words: int, least:
     return checkpointed(sent.groupBy("bucket").applyInArrow(compare, PAIRS).distinct())
 
 
+def _stars(near: DataFrame) -> DataFrame:
+    """Group label of every document that is linked to its nearest one: where four such links lead to.
+
+    Any grouping of similar documents will do here; links between groups are found afterwards.
+    """
+    labels = near.select(F.col("b").alias("doc_id"), F.col("a").alias("label"))
+    for _ in range(2):
+        further = labels.select(F.col("doc_id").alias("label"), F.col("label").alias("_next"))
+        labels = labels.join(further, "label", "left").select("doc_id", F.coalesce("_next", "label").alias("label"))
+    return labels
+
+
+def _between(links: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links between different groups, by their labels."""
+    for end in ("a", "b"):
+        label = groups.select(F.col("doc_id").alias(end), F.col("label").alias("_label"))
+        links = links.join(label, end, "left").withColumn(end, F.coalesce("_label", end)).drop("_label")
+    return links.where("a <> b").distinct()
+
+
 def similar(df: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """Per row of (doc_id, text): ``n_shingles`` and ``component_id``, the smallest doc_id reachable by links."""
     docs = df.select(F.col("doc_id").cast("long"), "text")
@@ -312,8 +353,8 @@ def similar(df: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     buckets = max(4, -(-size // BUCKET_BYTES))
     features = checkpointed(_features(docs, words))
     rows = features.where("slice is null")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "sum1", "sum2").agg(F.min(F.struct("doc_id", "parity")).alias("first"))
-    nodes = checkpointed(classes.select(F.col("first.doc_id").alias("doc_id"), "n", "sum1", "sum2", F.col("first.parity").alias("parity")))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "sum1", "sum2").agg(F.min(F.struct("doc_id", "parity", "wide")).alias("first"))
+    nodes = checkpointed(classes.select(F.col("first.doc_id").alias("doc_id"), "n", "sum1", "sum2", F.col("first.parity").alias("parity"), F.col("first.wide").alias("wide")))
     bits = rowfilter.field(nodes, "doc_id")
     places = checkpointed(_matrix(_first_tokens(docs, bits, _token_counts(features), buckets, words, least)))
     known = nodes.select("doc_id", "n", "parity")
@@ -323,17 +364,27 @@ def similar(df: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
         if groups is None:
             joined = joined.withColumn("grp", F.col("doc_id"))
         else:
-            joined = joined.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id"))
+            joined = joined.join(groups, "doc_id", "left").withColumn("grp", F.coalesce("label", "doc_id"))
         return joined.select("token", "doc_id", "place", "n", "grp", "parity", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("part"))
 
-    near = _linked(docs, _nearest(matrix(None), least), buckets, words, least)
-    groups = checkpointed(components(near))
-    links = near.unionByName(_linked(docs, _between_groups(matrix(groups), least), buckets, words, least))
-    found = components(links)
-    labelled = nodes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "n", "sum1", "sum2", F.coalesce("component", "doc_id").alias("component_id")
+    near = _linked(docs, nodes, _nearest(matrix(None), least), buckets, words, least)
+    groups = checkpointed(_stars(near))
+    far = _linked(docs, nodes, _between_groups(matrix(groups), least), buckets, words, least)
+    found = components(_between(near.unionByName(far), groups))
+    labelled = (
+        nodes.join(groups, "doc_id", "left")
+        .withColumn("node", F.coalesce("label", "doc_id"))
+        .join(found, "node", "left")
+        .select("n", "sum1", "sum2", F.coalesce("component", "node").alias("component_id"))
     )
     # equal sets share their node; empty sets and rows without an id stand alone
     keyed = rows.withColumn("n_shingles", F.col("n")).withColumn("n", F.when(F.col("doc_id").isNotNull(), F.col("n")))
     joined = keyed.join(labelled, ["n", "sum1", "sum2"], "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def without_copies(df: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """The rows of the smallest doc_id of each component; rows without a doc_id and empty texts stay."""
+    found = similar(df.where(F.col("doc_id").isNotNull()), words, least)
+    copies = checkpointed(found.where("component_id <> doc_id").select("doc_id").distinct())
+    return rowfilter.without(df, copies, "doc_id")

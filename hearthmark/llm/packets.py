@@ -19,7 +19,7 @@ SCHEMA = T.StructType(
     [T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("docs", "counts", "places", "hashes")]]
 )
 #: Records that a task gathers before it packs them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 def squeezed(values: np.ndarray) -> bytes:

@@ -35,7 +35,7 @@ from hearthmark.session import checkpointed
 WINDOW = 50
 BLOCK = WINDOW // 2
 #: Bytes of text per bucket; a bucket's arrays take about ten times the sixth part of it.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 
 INTERVALS = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType()))]
