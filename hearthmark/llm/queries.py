@@ -94,7 +94,35 @@ QUERIES: dict[str, Query] = {
     "op10_scoring": op10_scoring,
 }
 
-ORACLES: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+
+REPEATS_SQL = f"""
+    with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') as ws from documents),
+    win as (select doc_id, unnest(range(1, len(ws) - 48)) as i, ws from w where len(ws) >= 50),
+    named as (select doc_id, i, array_to_string(ws[i:i + 49], ' ') as h from win),
+    own as (select h, min(doc_id) as first_doc from named group by h),
+    hit as (select n.doc_id, n.i from named n join own o on n.h = o.h where o.first_doc < n.doc_id),
+    gone as (select distinct doc_id, k from (select doc_id, unnest(range(i, i + 50)) as k from hit) x),
+    word as (select doc_id, unnest(range(1, len(ws) + 1)) as k, unnest(ws) as word from w),
+    kept as (select doc_id, string_agg(word, ' ' order by k) as s from word where (doc_id, k) not in (select doc_id, k from gone) group by doc_id),
+    removed as (select doc_id, count(*) as n from gone group by doc_id)
+    select w.doc_id, cast(len(ws) as bigint) as n_words, coalesce(r.n, 0) as n_removed, sha256(coalesce(k.s, '')) as kept_sha256
+    from w left join removed r on r.doc_id = w.doc_id left join kept k on k.doc_id = w.doc_id"""
+
+SIMILAR_SQL = f"""
+    with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as ws
+        from documents),
+    sets as (select doc_id, case when len(ws) >= 4 then list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')))
+        when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as s from w),
+    item as (select doc_id, unnest(s) as x from sets),
+    common as (select a.doc_id as a, b.doc_id as b, count(*) as n from item a join item b on a.x = b.x and a.doc_id > b.doc_id group by 1, 2),
+    link as (select a, b from common join sets p on p.doc_id = a join sets q on q.doc_id = b where 100 * n >= 85 * (len(p.s) + len(q.s) - n)),
+    both_ as (select a, b from link union select b, a from link),
+    reach as (select doc_id as node, doc_id as root from sets union select both_.a, reach.root from reach join both_ on both_.b = reach.node)
+    select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.root) as component_id
+    from sets s join reach r on r.node = s.doc_id group by 1, 2"""
+
+ORACLES: dict[str, str] = {"op5_substrings": REPEATS_SQL, "op6_jaccard": SIMILAR_SQL}
 
 
 def all_queries() -> dict[str, Query]:
