@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthmark.functions.geo import METRES_PER_DEGREE, cell, haversine_m, in_polygon
+from hearthmark.operators.skew import grid_join
 
 
 def _columns_round(cell_deg: float) -> int:
@@ -33,11 +34,14 @@ def _point_cells(points: DataFrame, cell_deg: float) -> DataFrame:
     )
 
 
-def radius_join(points: DataFrame, zones: DataFrame, cell_deg: float = 0.1) -> DataFrame:
+def radius_join(
+    points: DataFrame, zones: DataFrame, cell_deg: float = 0.1, point_id: str = "id", zone_id: str = "search_id", piece_rows: int = 20_000
+) -> DataFrame:
     """Pairs of a point and a round zone at most ``radius_km`` apart.
 
     A zone is spread over the grid cells of its bounding box, a point has one
     cell; the cell equality is the join key and the exact distance the filter.
+    A cell that many points or zones share is split by their ids.
     """
     reach = F.col("radius_km") * 1000.0 / METRES_PER_DEGREE * F.lit(1.000001)
     widest = F.cos(F.radians(F.least(F.lit(89.9), F.abs("center_lat") + reach)))
@@ -52,15 +56,16 @@ def radius_join(points: DataFrame, zones: DataFrame, cell_deg: float = 0.1) -> D
     )
     distance = haversine_m(F.col("center_lat"), F.col("center_lng"), F.col("lat"), F.col("lng"))
     return (
-        _point_cells(points, cell_deg)
-        .join(spread, ["_row", "_column"])
+        grid_join(_point_cells(points, cell_deg), spread, ["_row", "_column"], point_id, zone_id, piece_rows)
         .withColumn("distance_m", distance)
         .where(F.col("distance_m") <= F.col("radius_km") * 1000.0)
         .drop("_row", "_column")
     )
 
 
-def polygon_join(points: DataFrame, zones: DataFrame, cell_deg: float = 0.1) -> DataFrame:
+def polygon_join(
+    points: DataFrame, zones: DataFrame, cell_deg: float = 0.1, point_id: str = "id", zone_id: str = "search_id", piece_rows: int = 20_000
+) -> DataFrame:
     """Pairs of a point and a drawn zone (three vertices or more) that contains it."""
     drawn = zones.where(F.size("polygon") >= 3)
 
@@ -76,8 +81,7 @@ def polygon_join(points: DataFrame, zones: DataFrame, cell_deg: float = 0.1) ->
         cell_deg,
     )
     return (
-        _point_cells(points, cell_deg)
-        .join(spread, ["_row", "_column"])
+        grid_join(_point_cells(points, cell_deg), spread, ["_row", "_column"], point_id, zone_id, piece_rows)
         .where(in_polygon(F.col("lng"), F.col("lat"), F.col("polygon")))
         .drop("_row", "_column")
     )

@@ -201,3 +201,11 @@ def test_image_hash_needs_all_values(one):
         images.dhash_error(F.sequence(F.lit(1), F.lit(72))),
     )
     assert (good, short, fine) == ("f" * 16, None, None) and error == images.GRAY_ERROR
+
+
+def test_one_crowded_cell(spark):
+    pts = spark.range(400).select("id", (F.lit(45.0) + F.col("id") * 1e-5).alias("lat"), F.lit(4.8).alias("lng"))
+    round_zones = spark.range(30).select(F.col("id").cast("int").alias("search_id"), F.lit(45.0).alias("center_lat"), F.lit(4.8).alias("center_lng"), (F.col("id") * 0.02).alias("radius_km"))
+    whole = sorted((r["id"], r["search_id"]) for r in zones.radius_join(pts, round_zones).collect())
+    split = sorted((r["id"], r["search_id"]) for r in zones.radius_join(pts, round_zones, piece_rows=7).collect())
+    assert split == whole and 1000 < len(whole) < 12000
