@@ -51,6 +51,7 @@ def change_kind(
 
 def change_detail(kind: Column, before: dict[str, Column], after: dict[str, Column]) -> Column:
     """Readable detail of the change class."""
+    # fixed values: the texts are part of the result
     delta = after["price"] - before["price"]
     pct = delta / before["price"] * F.lit(100.0)
     return (
@@ -79,6 +80,7 @@ def republication(
         .when(score < probable, score)
         .otherwise(F.least(F.lit(100), score + F.when(vanished, F.lit(VANISHED_BONUS)).otherwise(F.lit(0))))
     )
+    # fixed values: the texts are part of the result
     near = F.concat(F.lit("Annonce quasi identique ("), score.cast("string"), F.lit("/100) "))
     reason = (
         F.when(~other_id_differs, F.lit("Même identifiant source."))

@@ -148,6 +148,7 @@ def with_explanation(rows: DataFrame, weights: Mapping[str, float] = WEIGHTS, a:
     def percent(label: str, name: str, tail: str = "") -> Column:
         return F.concat(F.lit(label), half_up(_side("_sim_", name) * 100).cast("string"), F.lit(f" %{tail}"))
 
+    # fixed values: the texts are part of the result
     details = {
         "text": percent("titre + description ", "text", " similaires"),
         "price": versus(number_text(_side(a, "price")), number_text(_side(b, "price")), " €"),

@@ -46,6 +46,7 @@ def search_audit(before: DataFrame, after: DataFrame) -> DataFrame:
         F.when(created, "search.create").when(deleted, "search.delete").when(switched, "search.toggle")
     )
     name = F.coalesce("name", "_old_name")
+    # fixed values: the texts are part of the result
     outcome = (
         F.when(created, "créée").when(deleted, "supprimée").when(F.col("active"), "activée").otherwise("désactivée")
     )

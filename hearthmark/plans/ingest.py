@@ -195,6 +195,7 @@ def _insert_alerts(
         *kept,
         *_alert(
             "new_listing",
+            # fixed value: the form of the text is part of the result
             F.concat(shown, F.coalesce(F.concat(F.lit(" — "), number_text(F.col("price")), F.lit(" €")), F.lit(""))),
             F.struct("relevance"),
         ),
