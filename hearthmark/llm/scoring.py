@@ -13,7 +13,9 @@ model has a fixed size and does not change while documents are scored, so a
 score depends on no order of rows or tasks.
 
 The base score counts words: words travel by hash in packed buckets, and each
-bucket sends its share of the score back to the documents.
+bucket sends its share of the score back to the documents.  Words that are too
+frequent for a bucket are found first; each task adds up their occurrences, and
+their share is worked out where the documents are scored.
 
 A null text counts as an empty one, whose end is still scored.  Rows of one
 doc_id (and those without any) are one document and must agree in their text;
@@ -48,6 +50,10 @@ BATCH_GRAMS = 2048
 EPOCHS = 3
 RATE = 0.3
 BUCKET_BYTES = 16 << 20
+#: Bytes of text that are scored at once: the more, the fewer different strings there are to price.
+SCORE_BYTES = 2 << 20
+#: Steps of a predictor's unit in the packed tables.
+UNIT = 256
 #: Stands for a missing doc_id inside this operator.
 NO_ID = -(1 << 63)
 
@@ -60,8 +66,10 @@ def in_training(ids: np.ndarray) -> np.ndarray:
 
 # ---- words -------------------------------------------------------------------------
 
-#: Buckets of sums that belong to no document: training words, training documents, distinct training words.
-WORDS, DOCS, DISTINCT = -1, -2, -3
+#: Buckets of sums that belong to no document: training words, training documents, distinct training words, frequent words.
+WORDS, DOCS, DISTINCT, FREQUENT = -1, -2, -3, -4
+#: A word with so many occurrences is frequent, or with more in a corpus where that would be more than so many words.
+FREQUENT_TIMES, FREQUENT_WORDS = 200_000, 1_000_000
 
 
 def _sum_row(bucket: int, n: int) -> pa.RecordBatch:
@@ -69,11 +77,72 @@ def _sum_row(bucket: int, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((bucket, n, b"", b"", b"", b""), types, strict=True)], names=packets.SCHEMA.names)
 
 
-def _doc_words(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packets of (document, times, word) and the training totals."""
+def _frequent_words(docs: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of all words with ``FREQUENT_TIMES`` occurrences, and of some with half as many.
+
+    Of such a word at least half of the occurrences lie in parts of the input
+    where it has half of its average share or more; only from there it is
+    reported. As a word takes a byte at least, the list has no more than twice
+    ``FREQUENT_WORDS`` entries.
+    """
+    least = max(FREQUENT_TIMES, size // FREQUENT_WORDS) / 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        read = 0
+
+        def out() -> pa.RecordBatch:
+            words, times = np.unique(np.concatenate(held), return_counts=True)
+            many = times >= least * read / size
+            return pa.RecordBatch.from_arrays([pa.array(words[many].astype(np.int64)), pa.array(times[many], pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            body, offsets = textops.text_bytes(batch.column(1))
+            for low, high in textops.chunks(offsets):
+                part = textops.lower_ascii(body[offsets[low] : offsets[high]])
+                starts, ends, _ = textops.word_spans(part, offsets[low : high + 1] - offsets[low])
+                held.append(textops.span_hashes(part, starts, ends))
+                read += len(part)
+                if sum(map(len, held)) > packets.FLUSH:
+                    yield out()
+                    held, read = [], 0
+        if held:
+            yield out()
+
+    found = docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([row["word"] for row in found.collect()], np.int64).astype(np.uint64))
+
+
+def _among(words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of every word among the sorted known ones, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+    place = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    return place, known[place] == words
+
+
+def _frequent_row(counts: np.ndarray) -> pa.RecordBatch:
+    """Training occurrences of the frequent words as one row."""
+    there = np.flatnonzero(counts)
+    values = (FREQUENT, int(len(there)), packets.squeezed(there), b"", packets.squeezed(counts[there]), b"")
+    types = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=packets.SCHEMA.names)
+
+
+def _frequent_counts(rows: list[dict], n: int) -> np.ndarray:
+    counts = np.zeros(n, np.int64)
+    for row in rows:
+        counts[packets.unsqueezed(row["docs"])] += packets.unsqueezed(row["places"])
+    return counts
+
+
+def _doc_words(docs: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
+    """Packets of (document, times, word) of the words that are not frequent, and the training totals."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, words, trained = packets.Packer(np.uint64), 0, 0
+        counts = np.zeros(len(shared.value), np.int64)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             body, offsets = textops.text_bytes(batch.column(1))
@@ -82,28 +151,35 @@ def _doc_words(docs: DataFrame, buckets: int) -> DataFrame:
                 starts, ends, at = textops.word_spans(part, offsets[low : high + 1] - offsets[low])
                 row = np.repeat(np.arange(high - low), np.diff(at))
                 word = textops.span_hashes(part, starts, ends)
+                train = in_training(ids[low:high])
+                words += int(np.diff(at)[train].sum())
+                trained += int(train.sum())
+                place, often = _among(word, shared.value)
+                counts += np.bincount(place[often & train[row]], minlength=len(counts))
+                row, word = row[~often], word[~often]
                 key = textops.mixed(word + row.astype(np.uint64) * np.uint64(textops.BASES[1]))
                 _, first, times = np.unique(key, return_index=True, return_counts=True)
                 order = np.argsort(row[first], kind="stable")
                 first, times = first[order], times[order]
-                train = in_training(ids[low:high])
-                words += int(np.diff(at)[train].sum())
-                trained += int(train.sum())
                 bucket = ((word[first] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
                 yield from packer.add(bucket, ids[low + row[first]], times, word[first])
         yield from packer.packets()
         yield _sum_row(WORDS, words)
         yield _sum_row(DOCS, trained)
+        yield _frequent_row(counts)
 
     return docs.mapInArrow(run, packets.SCHEMA)
 
 
-def _word_shares(docs: DataFrame, buckets: int) -> DataFrame:
+def _word_shares(docs: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
     """Packets of (document, known words, sum of log10(c + 1)) and the totals."""
+    n_frequent = len(frequent)
 
     def meet(table: pa.Table) -> pa.Table:
         names = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), *[(c, pa.binary()) for c in packets.SCHEMA.names[2:]]])
         bucket = table.column("bucket")[0].as_py()
+        if bucket == FREQUENT:
+            return pa.Table.from_batches([_frequent_row(_frequent_counts(table.to_pylist(), n_frequent))], names)
         if bucket < 0:
             return pa.Table.from_batches([_sum_row(bucket, sum(table.column("n").to_pylist()))], names)
         doc, times, word = packets.unpacked(table, np.uint64)
@@ -119,7 +195,7 @@ def _word_shares(docs: DataFrame, buckets: int) -> DataFrame:
         out = [*packer.add(home, owners, known, share), *packer.packets(), _sum_row(DISTINCT, int((count > 0).sum()))]
         return pa.Table.from_batches(out, names)
 
-    return _doc_words(docs, buckets).groupBy("bucket").applyInArrow(meet, packets.SCHEMA)
+    return _doc_words(docs, buckets, frequent).groupBy("bucket").applyInArrow(meet, packets.SCHEMA)
 
 
 WORD_SUMS = T.StructType([T.StructField("_id", T.LongType()), T.StructField("known", T.LongType()), T.StructField("logs", T.DoubleType())])
@@ -145,16 +221,19 @@ def _grams(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     lengths = np.diff(offsets) + 1
     total = int(lengths.sum())
     begin = np.cumsum(lengths) - lengths
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(total) - begin[row]
-    symbols = np.full(total, END, np.uint64)
-    symbols[np.flatnonzero(place < lengths[row] - 1)] = body
-    grams = symbols.copy()
+    symbols = np.full(total, END, np.uint8)
+    is_byte = np.ones(total, bool)
+    is_byte[begin + lengths - 1] = False
+    symbols[is_byte] = body
+    grams = symbols.astype(np.uint64)
     for back in range(1, 6):
-        before = np.zeros(total, np.uint64)
-        before[back:] = symbols[:-back]
-        before[place < back] = 0
-        grams |= before << np.uint64(8 * back)
+        before = symbols[:-back].astype(np.uint64)
+        # nothing comes before the first bytes of a text
+        first = (begin[:, None] + np.arange(back)).ravel() - back
+        before[first[(first >= 0) & (first < len(before))]] = 0
+        before <<= np.uint64(8 * back)
+        grams[back:] |= before
+    row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     return grams, row
 
 
@@ -183,7 +262,7 @@ def _training_grams(docs: DataFrame) -> DataFrame:
                 grams = np.sort(_grams(body[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])[0])
                 first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
                 held.append((grams[first], np.diff(np.append(first, len(grams)))))
-                if sum(len(h[0]) for h in held) > packets.FLUSH:
+                if sum(len(h[0]) for h in held) > 2 * packets.FLUSH:
                     yield out()
         if held:
             yield out()
@@ -247,11 +326,24 @@ def _tables(grams: DataFrame) -> list[np.ndarray]:
     return [t.reshape(-1, 2) for t in tables]
 
 
+def _evidence(seen: np.ndarray) -> np.ndarray:
+    """Class of the number of occurrences: none, one or two, up to fifteen, more."""
+    return (seen > 0).astype(np.int16) + (seen > 2) + (seen > 15)
+
+
+def packed(table: np.ndarray) -> np.ndarray:
+    """Predictor and evidence class of every place in one small number each."""
+    counts = table.astype(np.float32)
+    stretched = np.rint(UNIT * np.log((counts[:, 1] + PRIOR) / (counts[:, 0] + PRIOR))).astype(np.int16)
+    return (stretched << 2) | _evidence(counts.sum(axis=1))
+
+
 class Model:
     """Counters, mixing weights by gate, and probability maps."""
 
     def __init__(self, tables: list[np.ndarray], weights: np.ndarray | None = None, maps: np.ndarray | None = None) -> None:
         self.tables = tables
+        self.packed: list[np.ndarray] | None = None
         n = len(tables)
         self.weights = np.tile(np.append(np.full(n, 0.3), 0.0), (GATES, 1)) if weights is None else weights
         self.maps = maps
@@ -261,23 +353,31 @@ class Model:
         contexts = [_context(grams, order) for order in range(1, len(self.tables) + 1)]
         bases = [_range(c).astype(np.int64) * (len(t) // RANGES) for c, t in zip(contexts, self.tables, strict=True)]
         for node, bit in _bits(grams):
-            stretched = np.empty((len(grams), len(self.tables) + 1), np.float32)
-            stretched[:, -1] = 1.0
-            gate = np.zeros(len(grams), np.int64)
+            stretched = np.ones((len(self.tables) + 1, len(grams)), np.float32)
+            gate = np.zeros(len(grams), np.int16)
             for k, (context, base, table) in enumerate(zip(contexts, bases, self.tables, strict=True)):
-                counts = table[base + _place(context, node, TABLE_BITS[k])].astype(np.float32)
+                place = base + _place(context, node, TABLE_BITS[k])
                 if left_out:
+                    counts = table[place].astype(np.float32)
                     counts[np.arange(len(bit)), bit] -= 1
                     np.maximum(counts, 0, out=counts)
-                stretched[:, k] = np.log((counts[:, 1] + PRIOR) / (counts[:, 0] + PRIOR))
+                    stretched[k] = np.log((counts[:, 1] + PRIOR) / (counts[:, 0] + PRIOR))
+                    seen = _evidence(counts.sum(axis=1))
+                else:
+                    both = self.packed[k][place]
+                    np.multiply(both >> 2, np.float32(1 / UNIT), out=stretched[k])
+                    seen = both & 3
                 if k >= len(self.tables) - 3:
-                    seen = counts.sum(axis=1)
-                    gate = 4 * gate + (seen > 0) + (seen > 2) + (seen > 15)
+                    gate = 4 * gate + seen
             yield node.astype(np.int64), bit, stretched, gate
 
     def mixed(self, stretched: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Mixed prediction in the logistic domain."""
-        return np.clip(np.einsum("ij,ij->i", stretched, self.weights[gate].astype(np.float32)), -11.5, 11.5)
+        by_predictor = np.ascontiguousarray(self.weights.T, np.float32)
+        total = np.zeros(len(gate), np.float32)
+        for weights, values in zip(by_predictor, stretched, strict=True):
+            total += weights[gate] * values
+        return np.clip(total, -11.5, 11.5)
 
     def learn(self, grams: np.ndarray, counts: np.ndarray) -> None:
         """Online steps over the strings, in their order, on the bits of small batches."""
@@ -287,9 +387,7 @@ class Model:
                 g, c = grams[k : k + BATCH_GRAMS], counts[k : k + BATCH_GRAMS].astype(np.float64)
                 for _, bit, stretched, gate in self.inputs(g, left_out=True):
                     error = (bit - 1 / (1 + np.exp(-self.mixed(stretched, gate)))) * c
-                    width = stretched.shape[1]
-                    cells = (gate[:, None] * width + np.arange(width)).ravel()
-                    step = np.bincount(cells, (error[:, None] * stretched).ravel(), self.weights.size).reshape(self.weights.shape)
+                    step = np.stack([np.bincount(gate, error * values, GATES) for values in stretched], axis=1)
                     mass = np.bincount(gate, c, GATES)[:, None]
                     step = step / np.maximum(mass, 1)
                     squares += step * step
@@ -320,11 +418,15 @@ class Model:
 
     def bits(self, grams: np.ndarray) -> np.ndarray:
         """Bits that the last byte of every string costs."""
-        cost = np.zeros(len(grams))
+        if self.packed is None:
+            self.packed = [packed(t) for t in self.tables]
+        cost, flat = np.zeros(len(grams)), self.maps.ravel()
         for node, bit, stretched, gate in self.inputs(grams, left_out=False):
             x = self.mixed(stretched, gate)
             low, part = self._steps(x)
-            refined = self.maps[node, low] * (1 - part) + self.maps[node, low + 1] * part
+            cell = node * (MAP_STEPS + 1) + low
+            refined = flat[cell]
+            refined += (flat[cell + 1] - refined) * part
             one = (1 / (1 + np.exp(-x)) + refined) / 2
             cost -= np.log2(np.where(bit == 1, one, 1 - one))
         return cost
@@ -372,19 +474,28 @@ def fit(docs: DataFrame) -> Model:
 
 
 SCORED = T.StructType(
-    [T.StructField("_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("score", T.DoubleType())]
+    [
+        T.StructField("_id", T.LongType()),
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("n_bytes", T.LongType()),
+        T.StructField("score", T.DoubleType()),
+        T.StructField("often_known", T.LongType()),
+        T.StructField("often_logs", T.DoubleType()),
+    ]
 )
 
 
-def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Tokens, bytes and log10 probability of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.tables, model.weights, model.maps))
+def _scored(docs: DataFrame, model: Model, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """Tokens, bytes and log10 probability of every row, and what its frequent words add to the base score."""
+    often = docs.sparkSession.sparkContext.broadcast((frequent, counts))
+    shared = docs.sparkSession.sparkContext.broadcast(([packed(t) for t in model.tables], model.weights, model.maps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
+        own.packed = own.tables
         for batch in batches:
             body, offsets = textops.text_bytes(batch.column(1))
-            for low, high in textops.chunks(offsets):
+            for low, high in textops.chunks(offsets, SCORE_BYTES):
                 part, local = body[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
                 bits = np.zeros(high - low)
                 for first in range(0, high - low, 1 << 16):
@@ -396,12 +507,18 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                     begin = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
                     cost = np.concatenate([own.bits(grams[begin[k : k + (1 << 16)]]) for k in range(0, len(begin), 1 << 16)])
                     bits[first:last] += np.bincount(row, np.repeat(cost, np.diff(np.append(begin, len(grams)))), last - first)
-                _, _, at = textops.word_spans(part, local)
+                lower = textops.lower_ascii(part)
+                starts, ends, at = textops.word_spans(lower, local)
+                place, there = _among(textops.span_hashes(lower, starts, ends), often.value[0])
+                c = often.value[1][place[there]]
+                owner = np.repeat(np.arange(high - low), np.diff(at))[there]
                 columns = [
                     batch.column(0).slice(low, high - low),
                     pa.array(np.diff(at) + 1, pa.int64()),
                     pa.array(np.diff(local), pa.int64()),
                     pa.array(-bits * np.log10(2), pa.float64()),
+                    pa.array(np.bincount(owner, c > 0, high - low).astype(np.int64), pa.int64()),
+                    pa.array(np.bincount(owner, np.log10(c + 1), high - low), pa.float64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=SCORED.names)
 
@@ -413,23 +530,25 @@ def score(df: DataFrame) -> DataFrame:
     docs = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, -(-size // BUCKET_BYTES))
-    shares = checkpointed(_word_shares(docs, buckets))
+    frequent = _frequent_words(docs, size)
+    shares = checkpointed(_word_shares(docs, buckets, frequent))
+    often = _frequent_counts([r.asDict() for r in shares.where(F.col("bucket") == FREQUENT).collect()], len(frequent))
     sums = {r["bucket"]: r["n"] for r in shares.where("bucket < 0").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     ends = sums.get(DOCS) or 0
     train_tokens = (sums.get(WORDS) or 0) + ends
-    distinct = (sums.get(DISTINCT) or 0) + (1 if ends else 0)
-    scored = _scored(docs, fit(docs))
+    distinct = (sums.get(DISTINCT) or 0) + int((often > 0).sum()) + (1 if ends else 0)
+    scored = _scored(docs, fit(docs), frequent, often)
     rows = docs.groupBy("_id").agg(F.count(F.lit(1)).alias("_rows"))
     words = _word_sums(shares).join(rows, "_id").select("_id", (F.col("known") / F.col("_rows")).cast("long").alias("known"), (F.col("logs") / F.col("_rows")).alias("logs"))
     joined = scored.join(words, "_id", "left")
     doc_id = F.when(F.col("_id") != NO_ID, F.col("_id"))
     held = F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % FOLDS == HELD_OUT
-    logs = F.coalesce(F.col("logs"), F.lit(0.0)) + F.log10(F.lit(float(ends + 1)))
+    logs = F.coalesce(F.col("logs"), F.lit(0.0)) + F.col("often_logs") + F.log10(F.lit(float(ends + 1)))
     return joined.select(
         doc_id.alias("doc_id"),
         held.alias("held_out"),
         "n_tokens",
-        (F.coalesce("known", F.lit(0)) + (1 if ends else 0)).cast("long").alias("n_known"),
+        (F.coalesce("known", F.lit(0)) + F.col("often_known") + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.log10(F.lit(float(train_tokens + distinct + 1)))).alias("base_score"),
         "score",

@@ -86,8 +86,9 @@ class Powers:
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         while len(self.up) < n:
             k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, k, 1 << 64))])
+            more = min(k, n - k)
+            self.up = np.concatenate([self.up, self.up[:more] * np.uint64(pow(self.base, k, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down[:more] * np.uint64(pow(self.inverse, k, 1 << 64))])
         return self.up[:n], self.down[:n]
 
 
