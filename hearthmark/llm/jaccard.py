@@ -96,6 +96,18 @@ FEATURES = T.StructType(
 )
 
 
+def _parities(sets: Sets, n: int, rows: int = 512) -> np.ndarray:
+    """Whether an odd number of tokens falls into each place of a row's sketch; some rows at a time."""
+    width, parts = 64 * WIDE_WORDS, [np.zeros((0, 8 * WIDE_WORDS), np.uint8)]
+    for low in range(0, n, rows):
+        high = min(n, low + rows)
+        held = slice(sets.at[low], sets.at[high])
+        cell = (sets.row[held] - low) * width + (sets.token[held] % np.uint64(width)).astype(np.int64)
+        odd = np.bincount(cell, minlength=(high - low) * width) & 1
+        parts.append(np.packbits(odd.reshape(-1, width).astype(bool), axis=1))
+    return np.concatenate(parts)
+
+
 def _features(docs: DataFrame, words: int) -> DataFrame:
     """Set size, two set hashes and parity sketch per row; and slices of the token counts of every task."""
 
@@ -110,9 +122,7 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
                 for salt in (1, 2):
                     total = np.concatenate([[np.uint64(0)], np.cumsum(textops.mixed(sets.token * np.uint64(2 * salt + 1)))])
                     sums.append((total[sets.at[1:]] - total[sets.at[:-1]]).astype(np.int64))
-                width = 64 * WIDE_WORDS
-                bins = np.bincount(sets.row * width + (sets.token % np.uint64(width)).astype(np.int64), minlength=n * width) & 1
-                wide = np.packbits(bins.reshape(n, width).astype(bool), axis=1)
+                wide = _parities(sets, n)
                 parity = np.bitwise_xor.reduce(wide.reshape(n, WIDE_WORDS // PARITY_WORDS, 8 * PARITY_WORDS), axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
