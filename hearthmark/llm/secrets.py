@@ -2,10 +2,11 @@
 
 Each text starts a worklist of layers.  A layer is scanned with the base
 patterns; its URL escapes, Unicode escapes, base64 runs and compressed bodies
-are unwrapped into new layers until none is left.  Layers that were seen before
-are not taken up again, so a text that unwraps to itself ends too.  Every
-character of a layer knows the part of the original text it comes from, which
-maps each find back.
+are unwrapped into new layers until none is left.  A layer that was seen before
+at the same place is not taken up again, so a text that unwraps to itself ends
+too; an equal layer of another place has finds of its own.  Every character of a
+layer knows the part of the original text it comes from, which maps each find
+back.
 
 A null text counts as an empty one: no spans.  Rows repeat if their input rows
 repeat.  Texts without any candidate are passed by with one automaton per batch.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -67,6 +69,12 @@ class Layer:
     def origin(self, start: int, end: int) -> tuple[int, int]:
         return int(self.starts[start]), int(self.ends[end - 1])
 
+    def key(self) -> tuple[str, bytes]:
+        """The text and the places its characters come from."""
+        places = hashlib.blake2b(np.ascontiguousarray(self.starts), digest_size=16)
+        places.update(np.ascontiguousarray(self.ends))
+        return self.text, places.digest()
+
 
 def _rewritten(layer: Layer, low: int, pieces: list[tuple[int, int, str]], high: int) -> Layer:
     """The part ``low:high`` with some ranges replaced by what they stand for."""
@@ -170,13 +178,14 @@ def _decoded(layer: Layer, oversize: list[Span]) -> Iterator[Layer]:
 def scan_text(text: str) -> list[tuple[str, int, int, bool]]:
     """All spans ``(kind, start, end, nested)`` of one text, by start, then kind, base finds first."""
     found = {(kind, s, e): False for kind, s, e in base_spans(text)}
-    seen, work, oversize = {text}, [Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))], []
+    whole = Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))
+    seen, work, oversize = {whole.key()}, [whole], []
     while work:
         layer = work.pop()
         for unwrapped in (*_unescaped(layer, _PERCENT, _percent_value), *_unescaped(layer, _ESCAPE, _escape_value), *_decoded(layer, oversize)):
-            if unwrapped.text in seen:
+            if (key := unwrapped.key()) in seen:
                 continue
-            seen.add(unwrapped.text)
+            seen.add(key)
             work.append(unwrapped)
             for kind, s, e in base_spans(unwrapped.text):
                 found.setdefault((kind, *unwrapped.origin(s, e)), True)

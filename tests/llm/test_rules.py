@@ -160,6 +160,24 @@ def test_secrets_in_layers(hidden):
     assert 6 + len(hidden) - 6 <= nested[0][2] <= 6 + len(hidden)
 
 
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        urllib.parse.quote(SECRET, safe=""),
+        urllib.parse.quote(urllib.parse.quote(SECRET, safe=""), safe=""),
+        "".join(f"\\u{ord(c):04x}" for c in SECRET),
+        base64.b64encode(SECRET.encode()).decode(),
+        base64.b64encode(base64.b64encode(gzip.compress(urllib.parse.quote(SECRET).encode()))).decode(),
+    ],
+)
+def test_every_copy_of_a_hidden_secret_is_found(hidden):
+    text = f"{hidden}\nbetween\n{hidden}\nand\n{hidden}"
+    spans = secrets.scan_text(text)
+    starts = [m.start() for m in re.finditer(re.escape(hidden), text)]
+    assert [(kind, s, nested) for kind, s, _, nested in spans] == [("assign", s, True) for s in starts]
+    assert hidden not in secrets._redacted(text, spans)
+
+
 def test_layers_end():
     assert secrets.scan_text("%2525252525 " + "%25" * 500 + " \\u005cu005c") == []
 
