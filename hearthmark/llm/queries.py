@@ -66,7 +66,7 @@ def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthmark.llm import tokenfiles
 
-    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), vocabulary_bytes("byte_bpe_50k.json"))
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), vocabulary_bytes("byte_bpe_50k.json"), added_tokens=True)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ a part of a segment can be decoded from its offsets alone.
 
 The library sees every distinct piece of text once per worker process; pieces
 are the spans that its own splitting rule yields, so their ids are those of the
-whole text.
+whole text.  With ``added_tokens`` the added tokens of the vocabulary file are
+matched in the texts as the library does by default: texts are cut at them
+before they are split into pieces.  Without, they are text like any other.
 
 A null text has no ids but the end id.  Rows without a doc_id come first.
 Repeated rows are written as often as they occur, next to each other.
@@ -18,7 +20,9 @@ Repeated rows are written as often as they occur, next to each other.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -52,11 +56,21 @@ FILE = T.StructType(
 class LibraryPieces:
     """Ids of pieces by the tokenizer library, remembered by the hash of a piece."""
 
-    def __init__(self, tokenizer_json: bytes) -> None:
+    def __init__(self, tokenizer_json: bytes, added_tokens: bool = False) -> None:
         os.environ["RAYON_NUM_THREADS"] = "1"
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.added: dict[bytes, int] = {}
+        if added_tokens:
+            tokenizer = json.loads(tokenizer_json)
+            entries, tokenizer["added_tokens"] = tokenizer["added_tokens"], []
+            if tokenizer["normalizer"] or any(x[flag] for x in entries for flag in ("single_word", "lstrip", "rstrip")):
+                raise ValueError("added tokens that take account of what is around them, or of a normaliser, are not known here")
+            self.added = {x["content"].encode(): x["id"] for x in entries if x["content"]}
+            tokenizer_json = json.dumps(tokenizer).encode()
+        # of the tokens that begin at a place the longest counts
+        self.added_pattern = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
@@ -65,9 +79,13 @@ class LibraryPieces:
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        """Remember nothing but the added tokens."""
+        sizes = np.array([len(x) for x in self.added], np.int64)
+        ends = np.cumsum(sizes)
+        hashes = textops.span_hashes(np.frombuffer(b"".join(self.added), np.uint8), ends - sizes, ends)
+        self.begin = np.argsort(hashes)
+        self.known, self.count = hashes[self.begin], np.ones(len(hashes), np.int64)
+        self.ids = np.array(list(self.added.values()), np.int32)
 
     def _encoded(self, inputs: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the inputs, and how many belong to each piece of the given byte sizes."""
@@ -100,9 +118,21 @@ class LibraryPieces:
         texts = [raw[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
         return ["".join(texts[k : k + together]) for k in range(0, len(texts), together)]
 
+    def _added_spans(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the added tokens in all texts of a chunk."""
+        raw = body.tobytes()
+        spans = []
+        if self.added and self.added_pattern.search(raw):
+            spans = [m.span() for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in self.added_pattern.finditer(raw, low, high)]
+        both = np.array(spans, np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
     def encode(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts of a chunk and their offsets."""
-        starts = pretokens.piece_starts(body, offsets)
+        first, stop = self._added_spans(body, offsets)
+        starts = pretokens.piece_starts(body, np.sort(np.concatenate([offsets, first, stop])))
+        # an added token is one piece
+        starts = starts[(np.searchsorted(first, starts) == np.searchsorted(stop, starts, side="right"))]
         ends = np.append(starts[1:], len(body)).astype(np.int64)
         hashes, example, which = np.unique(textops.span_hashes(body, starts, ends), return_index=True, return_inverse=True)
         s = starts[example]
@@ -115,14 +145,14 @@ class LibraryPieces:
         return flat, np.append(0, np.cumsum(count))[np.searchsorted(starts, offsets)]
 
 
-_PIECES: dict[int, LibraryPieces] = {}
+_PIECES: dict[tuple[int, bool], LibraryPieces] = {}
 
 
-def _library(tokenizer_json: bytes) -> LibraryPieces:
+def _library(tokenizer_json: bytes, added_tokens: bool) -> LibraryPieces:
     """One memory of pieces per worker process and tokenizer."""
-    key = zlib.crc32(tokenizer_json)
+    key = zlib.crc32(tokenizer_json), added_tokens
     if key not in _PIECES:
-        _PIECES[key] = LibraryPieces(tokenizer_json)
+        _PIECES[key] = LibraryPieces(tokenizer_json, added_tokens)
     return _PIECES[key]
 
 
@@ -148,7 +178,7 @@ def _segment(part: int, number: int, before: int, docs: list, ids: list[np.ndarr
     )
 
 
-def write(df: DataFrame, path: str, tokenizer_json: bytes, end_id: int) -> None:
+def write(df: DataFrame, path: str, tokenizer_json: bytes, end_id: int, added_tokens: bool = False) -> None:
     """Write the ids of every row of (doc_id, text), with the end id after each, below ``path``."""
     docs = df.select(F.col("doc_id").cast("long"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -164,7 +194,7 @@ def write(df: DataFrame, path: str, tokenizer_json: bytes, end_id: int) -> None:
         for batch in batches:
             body, offsets = textops.text_bytes(batch.column(1))
             for low, high in textops.chunks(offsets):
-                flat, at = _library(shared.value).encode(body[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                flat, at = _library(shared.value, added_tokens).encode(body[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
                 names = batch.column(0).slice(low, high - low).to_pylist()
                 for k, name in enumerate(names):
                     one = np.append(flat[at[k] : at[k + 1]], np.int32(end_id))
@@ -235,8 +265,8 @@ def read_checksums(df_files: DataFrame) -> DataFrame:
     return _read(df_files, schema, pa.int64(), lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
 
 
-def round_trip(df: DataFrame, tokenizer_json: bytes, end_id: int = 2) -> DataFrame:
+def round_trip(df: DataFrame, tokenizer_json: bytes, end_id: int = 2, added_tokens: bool = False) -> DataFrame:
     """Write the files into the shared folder and read every document back."""
     path = shared_folder(df.sparkSession) + "/token-files"
-    write(df, path, tokenizer_json, end_id)
+    write(df, path, tokenizer_json, end_id, added_tokens)
     return read_checksums(df.sparkSession.read.schema(FILE).parquet(path))

@@ -14,7 +14,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from hearthmark.llm import bpe, pretokens, rans, textops, tokenfiles
-from hearthmark.llm.queries import vocabulary_bytes
+from hearthmark.llm.queries import op8_token_files, vocabulary_bytes
 
 PARTS = [*"ab 1'!\n\t  ", "é", "'s", "'re", "'ll", "　", "٣", "\U0001f600", "\x1c", "\xa0", "漢", "I'd", "\r\n", "Ⅷ", "²"]
 
@@ -104,3 +104,29 @@ def test_files_hold_all_ids_in_order(spark, texts, monkeypatch):
         at += len(ids)
     assert [tuple(r) for r in got] == want
     assert tokenfiles.round_trip(df.where("false"), vocabulary_bytes("byte_bpe_50k.json")).collect() == []
+
+
+def test_files_match_added_tokens(spark, texts, tmp_path):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    marked = [f"a{end}b", end, end * 3, f"so  {end}  it 's{end}'s", f" {end}\n\n{end} ", f"<|endof{end}text|>", "<|endof", "text|>", f"é{end}漢"]
+    rows = [*enumerate([*texts, *marked])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in op8_token_files(spark, str(tmp_path)).collect()}
+    for doc, text in rows:
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 2]
+        assert found[doc] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
+
+
+def test_added_tokens_are_matched_longest_first():
+    import json
+
+    changed = json.loads(vocabulary_bytes("byte_bpe_50k.json"))
+    kind = changed["added_tokens"][0]
+    changed["added_tokens"] += [{**kind, "id": 50257 + k, "content": c, "special": k > 0} for k, c in enumerate([" b a", "<|end", "é漢"])]
+    library = Tokenizer.from_str(json.dumps(changed))
+    mine = tokenfiles.LibraryPieces(json.dumps(changed).encode(), added_tokens=True)
+    texts = ["<|endoftext|> x<|endless", "a b a b a b a", " b", " a b", "xé漢é", "<|en", "d b"]
+    flat, at = mine.encode(*textops.text_bytes(pa.array(texts)))
+    assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
