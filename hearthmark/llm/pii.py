@@ -3,9 +3,10 @@
 Base spans are found with four patterns.  The values found are the protected
 entities.  Which other terms disclose them is a matter of information: with
 counts over distinct texts, ``PMI(entity; term) / IC(entity)`` is the share of
-the entity's information that a term reveals.  A term that was seen near an
-entity in enough different contexts and reveals more than ``generalise_at`` is
-replaced by its kind wherever it occurs; from ``remove_at`` on it is removed.
+the entity's information that a term reveals.  A term that occurs together with
+an entity in enough different texts, anywhere outside the entity itself, and
+reveals more than ``generalise_at`` is replaced by its kind wherever it occurs;
+from ``remove_at`` on it is removed.
 
 Everything is built from column expressions, joins and aggregates.  A null
 text counts as an empty one.  Repeated rows give repeated rows and count once
@@ -42,7 +43,7 @@ TERM_BREAK = r"[^\p{L}]+"
 class Disclosure:
     """When a term counts as disclosing."""
 
-    context_chars: int = 80
+    #: a context is a distinct text
     min_contexts: int = 3
     generalise_at: float = 0.9
     remove_at: float = 0.999
@@ -118,45 +119,65 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(_lower(text), TERM_BREAK)), lambda t: F.length(t) >= 3)
 
 
-def _contexts(spanned: DataFrame, rules: Disclosure) -> DataFrame:
-    """One row per entity and context: the words around it, cut at whole words, and the text they are from."""
-    n = rules.context_chars
-    one = spanned.where(F.size("_base") > 0).select("_text", F.xxhash64("_text").alias("doc"), F.explode("_base").alias("s"))
-    low = F.greatest(F.col("s.start") - n, F.lit(0))
-    before = F.regexp_replace(F.substring("_text", low + 1, F.col("s.start") - low), r"^[^\s]*", "")
-    after = F.regexp_replace(F.substring("_text", F.col("s.end") + 1, F.lit(n)), r"[^\s]*$", "")
-    return one.select(
-        "doc",
-        F.concat_ws(":", "s.kind", _lower(F.col("s.value"))).alias("entity"),
-        F.concat(before, F.lit(" "), after).alias("context"),
-    ).distinct()
+def _entity(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], _lower(span["value"]))
+
+
+def _own_terms(held: DataFrame) -> DataFrame:
+    """``(doc, entity, own)``: the terms that ``held(doc, entity, _text, _base)`` has in the entity itself only."""
+    spans = F.filter("_base", lambda s: _entity(s) == F.col("entity"))
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        gap = F.substring(F.col("_text"), s["at"] + 1, x["start"] - s["at"])
+        return F.struct(x["end"].alias("at"), F.concat(s["out"], gap, F.lit(" ")).alias("out"))
+
+    outside = F.aggregate(spans, state, step, lambda s: F.concat(s["out"], F.substring(F.col("_text"), s["at"] + 1, F.lit(2147483647))))
+    inside = F.flatten(F.transform(spans, lambda x: _terms(x["value"])))
+    return held.select("doc", "entity", F.array_except(inside, _terms(outside)).alias("own")).where(F.size("own") > 0).distinct()
 
 
 def disclosing_terms(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
     """Terms ``(term, action, ratio)`` that reveal an entity of ``docs(_text, _base)``."""
-    contexts = checkpointed(_contexts(docs, rules))
-    near = contexts.select("doc", "entity", F.xxhash64("context").alias("c"), F.explode(_terms(F.col("context"))).alias("term"))
-    with_entity = contexts.groupBy("entity").agg(F.countDistinct("doc").alias("of_entity"))
+    few = lambda df: F.broadcast(df) if df.count() <= rules.broadcast_terms else df
     texts = float(docs.agg(F.countDistinct(F.xxhash64("_text"))).first()[0])
-
-    def revealed(of_term: Column) -> Column:
-        return F.log(F.lit(texts) * F.col("both") / (F.col("of_entity") * of_term)) / F.log(F.lit(texts) / F.col("of_entity"))
-
-    # the texts that have a term near any entity are a part of those that have it, which bounds what it can reveal
-    near_any = near.groupBy("term").agg(F.countDistinct("doc").alias("near_any"))
+    spanned = docs.where(F.size("_base") > 0).select("_text", "_base", F.xxhash64("_text").alias("doc"))
+    entities = lambda base: F.array_distinct(F.transform(base, _entity))
+    found = checkpointed(spanned.select("doc", F.explode(entities("_base")).alias("entity")).distinct())
+    # an entity of fewer texts has no term that is with it in enough of them
+    with_entity = few(checkpointed(found.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity")).where(F.col("of_entity").between(rules.min_contexts, texts - 1))))
+    shared = checkpointed(found.join(with_entity, "entity"))
+    most = shared.agg(F.max("of_entity").cast("double")).first()[0]
+    holders = few(checkpointed(shared.groupBy("doc").agg(F.max("of_entity").cast("double").alias("most"))))
+    held = spanned.join(holders, "doc")
+    copies = few(checkpointed(held.groupBy("doc").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")))
+    terms_held = held.join(copies, "doc", "left").select("doc", "most", (1 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(_terms(F.col("_text"))).alias("term"))
+    # only e-mail addresses hold letters
+    mails = F.filter("_base", lambda s: s["kind"] == "email")
+    own = _own_terms(held.select("doc", "_text", "_base", F.explode(entities(mails)).alias("entity")).join(with_entity, "entity", "left_semi"))
+
+    def revealed(of_term: Column, both: Column = F.col("both"), of_entity: Column = F.col("of_entity")) -> Column:
+        return F.log(F.lit(texts) * both / (of_entity * of_term)) / F.log(F.lit(texts) / of_entity)
+
+    # the texts that have a term and any shared entity are a part of those that have it, which bounds what it can reveal,
+    # most of all about the entity of most texts; rows of one text count as one by their shares
+    near_any = terms_held.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("near_any")).where(F.col("near_any") >= rules.min_contexts)
+    at_most = lambda of_entity: revealed(F.col("near_any"), F.least(of_entity, F.col("near_any").cast("double")), of_entity)
+    near_any = few(checkpointed(near_any.where(at_most(F.lit(most)) >= rules.generalise_at if most else F.lit(False))))
+    words = terms_held.join(near_any, "term").where(at_most(F.col("most")) >= rules.generalise_at).select("doc", "term", "near_any").distinct()
     pairs = checkpointed(
-        near.groupBy("entity", "term")
-        .agg(F.countDistinct("c").alias("contexts"), F.countDistinct("doc").alias("both"))
-        .where(F.col("contexts") >= rules.min_contexts)
-        .join(with_entity.where(F.col("of_entity") < F.lit(texts)), "entity")
-        .join(near_any, "term")
-        .where(revealed(F.col("near_any")) >= rules.generalise_at)
+        shared.join(own, ["doc", "entity"], "left")
+        .join(words, "doc")
+        .where((at_most(F.col("of_entity").cast("double")) >= rules.generalise_at) & ~F.coalesce(F.array_contains("own", F.col("term")), F.lit(False)))
+        .groupBy("entity", "term", "of_entity", "near_any")
+        .agg(F.count(F.lit(1)).alias("both"))
+        .where((F.col("both") >= rules.min_contexts) & (revealed(F.col("near_any")) >= rules.generalise_at))
     )
-    candidates = checkpointed(pairs.select("term").distinct())
-    if candidates.count() <= rules.broadcast_terms:
-        candidates = F.broadcast(candidates)
-    words = docs.select(F.xxhash64("_text").alias("doc"), F.explode(_terms(F.col("_text"))).alias("term"))
-    with_term = words.join(candidates, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+    candidates = few(checkpointed(pairs.select("term").distinct()))
+    hashed = docs.select("_text", F.xxhash64("_text").alias("doc"))
+    copies = few(checkpointed(hashed.groupBy("doc").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")))
+    words = hashed.join(copies, "doc", "left").select((1 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(_terms(F.col("_text"))).alias("term"))
+    with_term = words.join(candidates, "term").groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("of_term"))
     return (
         pairs.join(with_term, "term")
         .groupBy("term")

@@ -79,6 +79,34 @@ def test_terms_that_disclose_an_entity(spark):
     assert pii.digests(df.where("false")).collect() == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        # the same characters around the entity in every text
+        "and the of to in the of to and in " * 3 + "Zyxwu q@w.ee " + "to the and of in to of the and in " * 3,
+        "Zyxwu " + "and the of to in " * 20 + "q@w.ee to",
+        "q@w.ee, Zyxwu",
+        "Zyxwu: q@w.ee",
+        "of q@w.ee and " * 3 + "zyxwu@mail.example q@w.ee",
+    ],
+)
+def test_terms_disclose_from_anywhere_in_a_text(spark, text):
+    words = [a + b for a in ("to ", "of ", "in ", "and ") for b in ("the", "and", "of", "to", "in")]
+    rows = [(k, f"{words[k]} {text}") for k in range(4)] + [(9, "only ZYXWU here")] + [(100 + i, f"{a} {b}") for i, (a, b) in enumerate((a, b) for a in words for b in words)]
+    # repeated rows count once
+    found = {r.doc_id: r.spans for r in pii.digests(spark.createDataFrame([*rows, *rows[:5], *rows[:9]], "doc_id long, text string")).collect()}
+    assert found[9] == "generalise:5:10"
+    assert all(found[k] == "" for k in found if k >= 100)
+
+
+def test_an_entity_is_not_disclosed_by_its_own_parts(spark):
+    words = [f"{a} {b}" for a in ("the", "and", "of", "to", "in") for b in ("the", "and", "of", "to", "in")]
+    rows = [(k, f"{words[k]} zyxwu@mail.example {words[k]}") for k in range(4)] + [(100 + k, w) for k, w in enumerate(words)]
+    found = {r.doc_id: r.spans for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows[:4]:
+        assert found[k] == f"email:{text.index('zyxwu')}:{text.index('zyxwu') + 18}"
+
+
 def line_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen, repeated = set(), 0
