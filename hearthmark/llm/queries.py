@@ -81,6 +81,27 @@ def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle samples of every document, as cuts and hashes."""
+    from hearthmark.llm import infill
+
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from hearthmark.llm import mainhtml
+
+    return mainhtml.extracted(table(spark, sf_dir, "pages"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and each of its best positives."""
+    from hearthmark.llm import negatives
+
+    return negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -92,6 +113,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_files": op8_token_files,
     "op9_sharding": op9_sharding,
     "op10_scoring": op10_scoring,
+    "op11_infill": op11_infill,
+    "op12_main_text": op12_main_text,
+    "op13_negatives": op13_negatives,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -122,7 +146,38 @@ SIMILAR_SQL = f"""
     select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.root) as component_id
     from sets s join reach r on r.node = s.doc_id group by 1, 2"""
 
-ORACLES: dict[str, str] = {"op5_substrings": REPEATS_SQL, "op6_jaccard": SIMILAR_SQL}
+INFILL_SQL = """
+    with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+    k as (select doc_id, t, length(t) as n, list_transform([0, 1, 2, 3], lambda i: cast('0x' || h[8 * i + 1:8 * i + 8] as bigint)) as r from d),
+    c as (select *, least(r[1] % (n + 1), r[2] % (n + 1)) as a, greatest(r[1] % (n + 1), r[2] % (n + 1)) as b,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or r[3] % 100 >= 90 then 'plain'
+            when r[4] % 100 < 20 then 'spm' else 'psm' end as form from k),
+    p as (select *, substr(t, 1, a) as p, substr(t, a + 1, b - a) as m, substr(t, b + 1) as s from c)
+    select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(a as bigint) end as prefix_chars,
+        case when form <> 'plain' then cast(b - a as bigint) end as middle_chars,
+        sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+        sha256(t) as restored_sha256
+    from p"""
+
+NEGATIVES_SQL = """
+    with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings
+        where vec_id is not null and label is not null and embedding is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    pair as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, cast(list_dot_product(a.q, b.q) as bigint) as s
+        from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+    pos as (select a, b as p, s as ps from pair where same qualify row_number() over (partition by a order by s desc, b) <= 5)
+    select pos.a as anchor_id, pos.p as positive_id, cast(row_number() over (partition by pos.a, pos.p order by n.s desc, n.b) as integer) as rank,
+        n.b as negative_id, pos.ps as positive_score, n.s as negative_score
+    from pos join pair n on n.a = pos.a and not n.same and 30 * pos.ps <= 100 * n.s and 100 * n.s <= 90 * pos.ps
+    qualify row_number() over (partition by pos.a, pos.p order by n.s desc, n.b) <= 10"""
+
+ORACLES: dict[str, str] = {
+    "op5_substrings": REPEATS_SQL,
+    "op6_jaccard": SIMILAR_SQL,
+    "op11_infill": INFILL_SQL,
+    "op13_negatives": NEGATIVES_SQL,
+}
 
 
 def all_queries() -> dict[str, Query]:
