@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthmark.functions.geo import METRES_PER_DEGREE, NEAR_M, closeness, haversine_m
@@ -210,9 +211,15 @@ def score_pairs(
 # comparable factors. Every rule below follows from that budget.
 # ---------------------------------------------------------------------------------
 
-# Word overlap below which geo-less pairs are found by attributes instead of words.
-LOW_OVERLAP = 0.3
+# Word overlap from which pairs are found by words; below it their attributes have to agree.
+OVERLAP = 0.5
+# Price or surface ratios and distances that block keys are cut for; a tier takes the next wider one.
+RATIOS = (0.94, 0.88, 0.82, 0.75, 0.67, 0.58, 0.48, 0.36, 0.22, 0.1)
+NEAR_RATIO = 0.58
+REACHES_M = (250.0, 400.0, 600.0, 850.0, 1150.0, 1550.0, NEAR_M)
 EPSILON = 1e-9
+# Scores at which the search for better partners of promoted pairs stops in turn.
+LEVELS = (68, 56, 44)
 
 
 def _word_floor(text_sim: float) -> float:
@@ -239,11 +246,12 @@ def _text_bound(common_words: Column) -> Column:
     return F.when(F.col("a__blank") != F.col("b__blank"), F.lit(0.0)).otherwise(blended)
 
 
-def _within_budget(rows: DataFrame, floor: Column) -> DataFrame:
+def _within_budget(rows: DataFrame, floor: Column, least_text_loss: float = 0.0) -> DataFrame:
     """Drop pairs that cannot reach ``floor`` even with the best text overlap their sizes allow.
 
     The cheap attributes decide first; images are compared on what is left.
-    ``_room`` keeps the loss the text may still cause.
+    ``_room`` keeps the loss the text may still cause.  A route that other
+    routes relieve of pairs with much common text gives the loss of the rest.
     """
     sims = attribute_similarities("a_", "b_")
     image = sims.pop("image")
@@ -256,7 +264,7 @@ def _within_budget(rows: DataFrame, floor: Column) -> DataFrame:
         weight = weight + F.when(_side("_sim_", name).isNotNull(), F.lit(WEIGHTS[name])).otherwise(F.lit(0.0))
         loss = loss + _loss(name)
     room = (F.lit(1.0) - floor / F.lit(100.0)) * weight - loss + F.lit(EPSILON)
-    text_loss = F.lit(WEIGHTS["text"]) * (F.lit(1.0) - _text_bound(_overlap_bound("words")))
+    text_loss = F.greatest(F.lit(least_text_loss), F.lit(WEIGHTS["text"]) * (F.lit(1.0) - _text_bound(_overlap_bound("words"))))
     rows = with_once(rows, _room=room - text_loss, _text_loss=text_loss).where(F.col("_room") >= 0)
     rows = with_once(rows.drop(*[f"_sim_{n}" for n in cheap]), _sim_image=image)
     # hashes of different lengths do not compare: then the image carries no weight either
@@ -274,51 +282,184 @@ def _rarest_first(rows: DataFrame, frequencies: DataFrame, scope: Sequence[str])
     counted = words.join(frequencies, [*scope, "_word"], "left")
     entry = F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_word").alias("word"))
     ordered = counted.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("_ordered"))
-    located = (F.col("lat").isNotNull() & F.col("lng").isNotNull()).alias("_located")
-    return rows.select("id", *scope, "_n_words", located).join(
+    return rows.select("id", *scope, "_n_words").join(
         ordered.select("id", F.transform("_ordered", lambda e: e["word"]).alias("_ordered")), "id"
     )
 
 
-def _word_keys(index: DataFrame, scope: Sequence[str], overlap: float, row_id: str) -> DataFrame:
-    """The rarest words of each row, enough that a partner with Jaccard >= ``overlap`` shares one."""
+def _word_keys(index: DataFrame, scope: Sequence[str], overlap: float, side: str) -> DataFrame:
+    """The rarest words of each row with their places, enough that a partner with Jaccard >= ``overlap`` shares one."""
     needed = F.col("_n_words") - F.ceil(F.lit(overlap) * F.col("_n_words") - F.lit(EPSILON)) + 1
     prefix = F.slice("_ordered", 1, F.greatest(F.lit(1), needed.cast("int")))
-    return index.select(F.col("id").alias(row_id), *scope, F.explode(prefix).alias("_word"))
-
-
-def _log_band(value: Column, ratio: float) -> Column:
-    """Band number of a magnitude; values within ``ratio`` are in the same or adjacent bands."""
-    return F.floor(F.log(F.abs(value)) / F.lit(-math.log(ratio))).cast("bigint")
-
+    return index.select(
+        F.col("id").alias(side), F.col("_n_words").alias(f"{side}_n"), *scope, F.posexplode(prefix).alias(f"{side}_at", "_word")
+    )
 
-def _attribute_keys(probe: bool, value: Column, keys: Column) -> Column:
-    """Block keys of one attribute; a missing value meets every partner.
 
-    Key ``L?`` gathers pairs whose probe side lacks the value, ``R?`` those
-    where only the other side lacks it.
-    """
-    if probe:
-        return F.when(value.isNull(), F.array(F.lit("L?"))).otherwise(F.concat(keys, F.array(F.lit("R?"))))
-    return F.when(value.isNull(), F.array(F.lit("R?"), F.lit("L?"))).otherwise(F.concat(keys, F.array(F.lit("L?"))))
+def _words_suffice(overlap: float) -> Column:
+    """What follows the first common word can still make up the overlap that the sizes of both sets ask for."""
+    after = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    return after >= F.ceil(F.lit(overlap / (1.0 + overlap)) * (F.col("a_n") + F.col("b_n")) - F.lit(EPSILON))
 
 
-def _grid_cells(rows: DataFrame, probe: bool, reach_m: float) -> DataFrame:
+def _grid_cells(rows: DataFrame, probe: bool, reach_m: Column) -> DataFrame:
     """Grid cells at least ``reach_m`` wide; the probe side visits the eight neighbours too."""
-    height = reach_m / METRES_PER_DEGREE * 1.0001
-    own_row = F.floor(F.col("lat") / F.lit(height))
-    located = rows.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    located = rows.withColumn("_height", reach_m / F.lit(METRES_PER_DEGREE) * F.lit(1.0001))
+    height = F.col("_height")
+    own_row = F.floor(F.col("lat") / height)
     steps = [-1, 0, 1] if probe else [0]
     rows_of = located.withColumn("_row", F.explode(F.array(*[own_row + s for s in steps])))
-    widest = (F.greatest(F.abs("_row"), F.abs(F.col("_row") + 1)) + 1) * F.lit(height)
+    widest = (F.greatest(F.abs("_row"), F.abs(F.col("_row") + 1)) + 1) * height
     shrink = F.cos(F.radians(F.least(widest, F.lit(89.9))))
-    columns = F.greatest(F.lit(1), F.floor(F.lit(360.0 / height) * shrink * F.lit(0.99))).cast("bigint")
+    columns = F.greatest(F.lit(1), F.floor(F.lit(360.0) / height * shrink * F.lit(0.99))).cast("bigint")
     columns = F.when(shrink < 0.02, F.lit(1)).otherwise(columns)
     rows_of = rows_of.withColumn("_columns", columns)
     own_column = F.floor((F.col("lng") + 180) / (F.lit(360.0) / F.col("_columns")))
     return rows_of.withColumn(
         "_column", F.explode(F.array_distinct(F.array(*[F.pmod(own_column + s, F.col("_columns")) for s in steps])))
-    ).drop("_columns")
+    ).drop("_columns", "_height")
+
+
+# ---------------------------------------------------------------------------------
+# Attribute tiers. For pairs with little common text a tier fixes how each attribute
+# stands: equal (E), different (D), lacking on the probe side (L) or only on the
+# other side (R). What the budget leaves after the losses of the tier bounds price,
+# surface and distance, and these bounds become the tier's block key, so that no
+# value has to meet everything.
+# ---------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Tier:
+    kind: str  # E, D, L or R
+    contact: str
+    place: str  # N: near each other, F: far apart, L or R
+    price: str  # P: on both sides, L or R
+    surface: str  # P, L or R; * where it does not matter
+    rooms: str
+    images: bool  # on both sides; other tiers leave the images out of the weights
+    number: str  # the attribute that bands are cut from, if any
+    ratio: float
+    reach_m: float
+    steps: int  # how many rooms apart, 9 if that does not matter
+
+    @property
+    def keyed(self) -> bool:
+        return bool(self.number) or "E" in (self.kind, self.contact) or self.place == "N" or self.steps < 9
+
+
+#: What decides whether a row can be in a tier.
+ABSENT = ("property_type", "_contact", "lat", "price", "surface_m2", "rooms")
+
+
+def attribute_tiers(
+    floor: float, overlap: float, lacking_left: set[str], lacking_right: set[str], never: frozenset[str] = frozenset()
+) -> list[Tier]:
+    """All feasible tiers of pairs with Jaccard below ``overlap`` that reach ``floor``.
+
+    The sets name the attributes that some row of the side lacks, and those
+    that no pair has on both sides.
+    """
+    budget = 1.0 - floor / 100.0
+
+    def ways(name: str, present: str) -> list[str]:
+        both = present if name not in never else ""
+        return [*both, *(["L"] if name in lacking_left else []), *(["R"] if name in lacking_right else [])]
+
+    names = {"kind": "property_type", "contact": "contact", "place": "geo", "price": "price", "surface": "surface", "rooms": "rooms"}
+
+    def tier(states: dict[str, str], images: bool) -> Tier | None:
+        """The tier of these states; ``*`` stands for any, with the weight of a value on both sides."""
+        weight = WEIGHTS["text"] + (WEIGHTS["image"] if images else 0.0)
+        weight += sum(WEIGHTS[names[k]] for k, v in states.items() if v not in "LR")
+        room = budget * weight - _text_loss(overlap) + EPSILON
+        room -= sum(WEIGHTS[names[k]] for k, v in states.items() if v in "DF")
+        if room < 0:
+            return None
+        reach = min(r for r in REACHES_M if r >= min(1.0, room / WEIGHTS["geo"]) * NEAR_M - EPSILON) if states["place"] == "N" else 0.0
+        number, ratio = "", 1.0
+        for name in ("price", "surface"):
+            least = 1.0 - room / WEIGHTS[name]
+            # cells are a key already; wide bands beside them would only multiply it
+            if not number and states[name] == "P" and least >= (RATIOS[-1] if states["place"] != "N" else NEAR_RATIO):
+                number, ratio = name, max(x for x in RATIOS if x <= least)
+        steps = 9
+        if states["rooms"] == "P" and not number and room < WEIGHTS["rooms"]:
+            steps = 0 if room < WEIGHTS["rooms"] / 2 else 1
+        return Tier(**states, images=images, number=number, ratio=ratio, reach_m=reach, steps=steps)
+
+    found = []
+    for kind, contact, place, images in itertools.product(
+        ways("property_type", "ED"), ways("_contact", "ED"), ways("lat", "NF"), (False, True)
+    ):
+        for price in ways("price", "P"):
+            # the attributes that a key can do without need not be told apart
+            for surface in ["*"] if price == "P" else ways("surface_m2", "P"):
+                for rooms in ["*"] if "P" in (price, surface) else ways("rooms", "P"):
+                    states = {"kind": kind, "contact": contact, "place": place, "price": price, "surface": surface, "rooms": rooms}
+                    found.append(tier(states, images))
+    found = [t for t in found if t is not None]
+    plain = {replace(t, images=True) for t in found if not t.images}
+    return [t for t in found if not t.images or t not in plain]
+
+
+def _text_loss(overlap: float) -> float:
+    """Least loss of a pair whose word sets have a Jaccard index below ``overlap``."""
+    return WEIGHTS["text"] * (1.0 - TRIGRAM_SHARE - WORD_SHARE * overlap)
+
+
+def _tiers_by_pattern(spark: SparkSession, tiers: Sequence[Tier], probe: bool, lacking: set[str]) -> DataFrame:
+    """The tiers that a row can be in, by the attributes that it lacks; at most 128 patterns."""
+    rows = []
+    for missing in itertools.chain.from_iterable(itertools.combinations(sorted(lacking), k) for k in range(len(lacking) + 1)):
+        for images in (False, True):
+            pattern = sum(1 << ABSENT.index(name) for name in missing) + (images << len(ABSENT))
+            for n, t in enumerate(tiers):
+                states = zip(ABSENT, (t.kind, t.contact, t.place, t.price, t.surface, t.rooms), strict=True)
+                # L wants the probe side to lack the value; R wants the other side to lack it, and the probe side to have it
+                unfit = {True: "PEDNFR" if probe else "PEDNF", False: "L" if probe else "R"}
+                if (images or not t.images) and not any(state in unfit[name in missing] for name, state in states):
+                    rows.append((pattern, n, t.kind == "E", t.contact == "E", t.place == "N", t.number, t.ratio, t.reach_m, t.steps))
+    schema = "_pattern int, _tier int, same_kind boolean, same_contact boolean, near boolean, number string, ratio double, reach_m double, steps int"
+    return spark.createDataFrame(rows, schema)
+
+
+def _tier_keys(rows: DataFrame, tiers: Sequence[Tier], probe: bool, prefix: str, lacking: set[str]) -> DataFrame:
+    """The rows with one ``_key`` per tier that they can be in, neighbours included on the probe side."""
+    missing = {name: _side(prefix, name).isNull() for name in ABSENT}
+    missing["lat"] = missing["lat"] | _side(prefix, "lng").isNull()
+    pattern = F.when(F.size(_side(prefix, "_hashes")) > 0, F.lit(1 << len(ABSENT))).otherwise(F.lit(0))
+    for i, name in enumerate(ABSENT):
+        pattern = pattern + F.when(missing[name], F.lit(1 << i)).otherwise(F.lit(0))
+    columns = rows.columns
+    listed = _tiers_by_pattern(rows.sparkSession, tiers, probe, lacking)
+    rows = rows.withColumn("_pattern", pattern).join(F.broadcast(listed), "_pattern")
+    t = {name: F.col(name) for name in listed.columns}
+    value = F.when(t["number"] == "price", _side(prefix, "price")).when(t["number"] == "surface", _side(prefix, "surface_m2"))
+    band = F.floor(F.log(F.abs(value)) / -F.log(t["ratio"])).cast("bigint")
+    around = F.array(band - 1, band, band + 1) if probe else F.array(band)
+    sign = F.signum(value).cast("int").cast("string")
+    bands = (
+        F.when(t["number"] == "", F.array(F.lit("")))
+        .when(value == 0, F.array(F.lit("0")))
+        .otherwise(F.transform(around, lambda n: F.concat_ws(":", sign, n.cast("string"))))
+    )
+    rooms = _side(prefix, "rooms").cast("bigint")
+    near_rooms = F.array(rooms - 1, rooms, rooms + 1) if probe else F.array(rooms)
+    levels = (
+        F.when(t["steps"] == 9, F.array(F.lit("")))
+        .when(t["steps"] == 0, F.array(rooms.cast("string")))
+        .otherwise(F.transform(near_rooms, lambda n: n.cast("string")))
+    )
+    rows = rows.withColumn("_band", F.explode(bands)).withColumn("_level", F.explode(levels))
+    near = t["near"]
+    spots = rows.where(near).withColumns({"lat": _side(prefix, "lat"), "lng": _side(prefix, "lng")})
+    spots = _grid_cells(spots, probe, t["reach_m"]).drop("lat", "lng")
+    rest = rows.where(~near).withColumns({"_row": F.lit(0).cast("bigint"), "_column": F.lit(0).cast("bigint")})
+    kind = F.when(t["same_kind"], _side(prefix, "property_type")).otherwise("")
+    contact = F.when(t["same_contact"], _side(prefix, "_contact")).otherwise("")
+    key = F.struct(t["_tier"].alias("tier"), kind.alias("kind"), contact.alias("contact"), "_band", "_level", "_row", "_column")
+    return spots.unionByName(rest).select(*columns, key.alias("_key"))
 
 
 def _hash_chunks(rows: DataFrame) -> DataFrame:
@@ -337,11 +478,22 @@ def _hash_chunks(rows: DataFrame) -> DataFrame:
     )
 
 
+def _lacking(rows: DataFrame) -> tuple[set[str], set[str]]:
+    """Attributes that some row lacks, and those that all rows lack."""
+    missing = {name: F.col(name).isNull() for name in ABSENT} | {"lat": F.col("lat").isNull() | F.col("lng").isNull()}
+    found = rows.agg(
+        *[F.max(m.cast("int")).alias(f"some_{name}") for name, m in missing.items()],
+        *[F.min(m.cast("int")).alias(f"all_{name}") for name, m in missing.items()],
+    ).first()
+    return {n for n in ABSENT if found[f"some_{n}"]}, {n for n in ABSENT if found[f"all_{n}"]}
+
+
 class _Sides:
     """Attribute tables of both sides and their words in order of rarity."""
 
     def __init__(self, left: DataFrame, right: DataFrame, scope: Sequence[str], index: tuple[DataFrame, DataFrame] | None = None):
         self.left, self.right, self.scope = left, right, list(scope)
+        self.lacks: tuple[set[str], set[str], frozenset[str]] | None = None
         self.a = _renamed(left, SLIM, "a_", [F.col("id").alias("a"), *scope])
         self.b = _renamed(right, SLIM, "b_", [F.col("id").alias("b"), *scope])
         if index is None:
@@ -359,13 +511,15 @@ class _Sides:
         left_index = self.index[0].join(done, "id", "left_anti")
         return _Sides(self.left.join(done, "id", "left_anti"), self.right, self.scope, (left_index, self.index[1]))
 
-    def by_words(self, overlap: float, floor: Column, left_where: Column | None = None, right_where: Column | None = None) -> DataFrame:
-        left, right = self.index
-        left = left if left_where is None else left.where(left_where)
-        right = right if right_where is None else right.where(right_where)
-        met = grid_join(
-            _word_keys(left, self.scope, overlap, "a"), _word_keys(right, self.scope, overlap, "b"), [*self.scope, "_word"], "a", "b"
-        )
+    def only(self, rows: DataFrame) -> _Sides:
+        """The same sides with no other probe rows than these."""
+        wanted = rows.select(F.col("a").alias("id"))
+        left_index = self.index[0].join(wanted, "id", "left_semi")
+        return _Sides(self.left.join(wanted, "id", "left_semi"), self.right, self.scope, (left_index, self.index[1]))
+
+    def by_words(self, overlap: float, floor: Column) -> DataFrame:
+        left, right = (_word_keys(x, self.scope, overlap, side) for x, side in zip(self.index, "ab", strict=True))
+        met = grid_join(left, right, [*self.scope, "_word"], "a", "b").where(_words_suffice(overlap))
         return self.kept(met.select("a", "b").distinct(), floor)
 
     def kept(self, met: DataFrame, floor: Column) -> DataFrame:
@@ -382,30 +536,17 @@ class _Sides:
         loss = F.lit(WEIGHTS["text"]) * (F.lit(1.0) - _text_bound(F.col("_common")))
         return rows.where(loss <= F.col("_room")).select("a", "b")
 
-    def by_cells(self, floor: Column, reach_m: float = NEAR_M) -> DataFrame:
-        a = _grid_cells(self.a.withColumns({"lat": F.col("a_lat"), "lng": F.col("a_lng")}), True, reach_m).drop("lat", "lng")
-        b = _grid_cells(self.b.withColumns({"lat": F.col("b_lat"), "lng": F.col("b_lng")}), False, reach_m).drop("lat", "lng")
-        return _within_budget(grid_join(a, b, [*self.scope, "_row", "_column"], "a", "b"), floor).select("a", "b", "_room")
-
-    def by_attributes(self, price_ratio: float, floor: Column) -> DataFrame:
-        """Geo-less pairs with little word overlap: same type, price in a neighbouring band."""
-
-        def keyed(rows: DataFrame, prefix: str, probe: bool) -> DataFrame:
-            kind, price = _side(prefix, "property_type"), _side(prefix, "price")
-            sign = F.signum(price).cast("int").cast("string")
-            band = _log_band(price, price_ratio)
-            bands = F.array(band - 1, band, band + 1) if probe else F.array(band)
-            prices = F.when(price == 0, F.array(F.lit("0"))).otherwise(
-                F.transform(bands, lambda n: F.concat_ws(":", sign, n.cast("string")))
-            )
-            return rows.withColumn("_kind", F.explode(_attribute_keys(probe, kind, F.array(kind)))).withColumn(
-                "_band", F.explode(_attribute_keys(probe, price, prices))
-            )
+    def tiers(self, floor: float, overlap: float) -> list[Tier]:
+        if self.lacks is None:
+            (left, none_left), (right, none_right) = _lacking(self.left), _lacking(self.right)
+            self.lacks = left, right, frozenset(none_left | none_right)
+        return attribute_tiers(floor, overlap, *self.lacks)
 
-        a, b = keyed(self.a, "a_", True), keyed(self.b, "b_", False)
-        unlocated = F.col("a_lat").isNull() | F.col("a_lng").isNull() | F.col("b_lat").isNull() | F.col("b_lng").isNull()
-        met = grid_join(a, b, [*self.scope, "_kind", "_band"], "a", "b").where(unlocated)
-        return _within_budget(met, floor).select("a", "b", "_room")
+    def by_attributes(self, tiers: Sequence[Tier], overlap: float, floor: float) -> DataFrame:
+        """Pairs with little common text, by the tiers of their attributes."""
+        a, b = _tier_keys(self.a, tiers, True, "a_", self.lacks[0]), _tier_keys(self.b, tiers, False, "b_", self.lacks[1])
+        met = grid_join(a, b, [*self.scope, "_key"], "a", "b")
+        return _within_budget(met, F.lit(floor), _text_loss(overlap)).select("a", "b", "_room")
 
     def by_images(self) -> DataFrame:
         """Pairs whose image and position promote them whatever their score."""
@@ -425,33 +566,31 @@ def tight_candidates(sides: _Sides, floor: float) -> DataFrame:
     return sides.by_words(_word_floor(text_floor), F.lit(floor)).select("a", "b")
 
 
-def candidates(sides: _Sides, floor: float) -> DataFrame:
-    """All pairs that can reach ``floor`` (77.5 for a probable match), found by four routes.
+def candidates(sides: _Sides, floor: float, overlap: float = OVERLAP) -> tuple[DataFrame, bool]:
+    """Pairs that can reach ``floor`` (77.5 for a probable match), and whether these are all.
 
-    * near each other: neighbouring grid cells;
-    * located but far apart: the geo loss leaves room only for nearly equal texts;
-    * one side without coordinates and some common words: word index;
-    * one side without coordinates and hardly a common word: every other
-      attribute has to agree, so type and price band find them.
+    Pairs with a word overlap of ``overlap`` or more are found by words, the
+    others by attribute tiers.  From 75 upwards every tier has a key, or asks for
+    images so close that :meth:`_Sides.by_images` finds them; at a low floor
+    some tiers have none, and pairs of these are left out.
     """
-    budget = 1.0 - floor / 100.0
-    far_text = 1.0 - (budget - WEIGHTS["geo"]) / WEIGHTS["text"]
-    left_over = budget * (1.0 - WEIGHTS["geo"]) - WEIGHTS["text"] * (WORD_SHARE - WORD_SHARE * LOW_OVERLAP)
-    if far_text < TRIGRAM_SHARE or not 0 < left_over < WEIGHTS["property_type"]:
-        raise ValueError("the blocking bounds do not hold for this floor; use mode='exact'")
-    limit = F.lit(floor)
-    located = F.col("_located")
-    routes = [
-        sides.by_cells(limit),
-        sides.by_words(_word_floor(far_text), limit),
-        sides.by_words(LOW_OVERLAP, limit, left_where=~located),
-        sides.by_words(LOW_OVERLAP, limit, left_where=located, right_where=~located),
-        sides.by_attributes(1.0 - left_over / WEIGHTS["price"], limit),
-    ]
-    merged = routes[0]
-    for route in routes[1:]:
-        merged = merged.unionByName(route)
-    return sides.enough_words(merged.groupBy("a", "b").agg(F.max("_room").alias("_room")))
+    tiers = sides.tiers(floor, overlap)
+    keyed = [t for t in tiers if t.keyed]
+    found = sides.by_words(overlap, F.lit(floor))
+    if keyed:
+        found = found.unionByName(sides.by_attributes(keyed, overlap, floor))
+    whole = all(t.keyed or _images_decide(t, floor, overlap) for t in tiers)
+    return sides.enough_words(found.groupBy("a", "b").agg(F.max("_room").alias("_room"))), whole
+
+
+def _images_decide(tier: Tier, floor: float, overlap: float) -> bool:
+    """Whether a tier without key leaves so little room that images differ in three bits at most."""
+    if not tier.images or tier.place in "NF":
+        return False
+    states = {"property_type": tier.kind, "contact": tier.contact, "price": tier.price, "surface": tier.surface, "rooms": tier.rooms}
+    weight = WEIGHTS["text"] + WEIGHTS["image"] + sum(WEIGHTS[n] for n, s in states.items() if s not in "LR")
+    room = (1.0 - floor / 100.0) * weight - _text_loss(overlap) - sum(WEIGHTS[n] for n, s in states.items() if s == "D")
+    return room / WEIGHTS["image"] * HASH_BITS < 4 - EPSILON
 
 
 def _profiles(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -513,26 +652,57 @@ def _blocked_best(left: DataFrame, right: DataFrame, scope: list[str], scored, f
     tight = scored(tight_candidates(sides, perfect - 0.5)).where(F.col("score") >= perfect)
     settled = checkpointed(_best(tight))
     rest = sides.without(settled)
-    pairs = candidates(rest, floor - 0.5).unionByName(rest.by_images()).distinct()
+    pairs, whole = candidates(rest, floor - 0.5)
+    if not whole:
+        raise ValueError("the blocking bounds do not hold for this floor; use mode='exact'")
     # a promoted pair below the floor counts only when no other pair beats it
-    reached = scored(pairs).where((F.col("score") >= floor) | (F.col("bucket") == "doublon_exact"))
+    reached = scored(pairs.unionByName(rest.by_images()).distinct()).where((F.col("score") >= floor) | (F.col("bucket") == "doublon_exact"))
     reached = checkpointed(_best(reached))
     sure = settled.unionByName(reached.where(F.col("score") >= floor))
     doubtful = reached.where(F.col("score") < floor)
     if doubtful.isEmpty():
         return sure
-    rivals = _best(scored(_rivals(rest, doubtful, scope)))
-    strong = F.col("bucket").isin("doublon_exact", "probable_identique")
-    return sure.unionByName(rivals.where(strong))
+    return sure.unionByName(_unbeaten(rest, doubtful, scored, floor))
 
 
-def _rivals(sides: _Sides, doubtful: DataFrame, scope: list[str]) -> DataFrame:
-    """All pairs of the few doubtful rows that could still reach their provisional score."""
-    probes = sides.a.join(doubtful.select("a", F.col("score").alias("_reached")), "a")
-    if scope:
-        met = grid_join(probes, sides.b, scope, "a", "b")
-    else:
-        met = grid_join(probes.withColumn("_all", F.lit(0)), sides.b.withColumn("_all", F.lit(0)), ["_all"], "a", "b")
+def _unbeaten(sides: _Sides, doubtful: DataFrame, scored, floor: int) -> DataFrame:
+    """Promoted pairs below the floor that no other pair of their row beats.
+
+    A row starts with the score of its promoted pair, and the search goes down
+    level by level.  A row for which a level brings up a better pair is out; one
+    whose own score lies above the level is settled when the level's blocks are
+    complete.  Only rows without any better pair down to the last level are
+    compared with all listings of their scope that could still beat them.
+    """
+    open_rows, kept = doubtful, []
+    for level in LEVELS:
+        if level >= floor:
+            continue
+        found, whole = candidates(sides.only(open_rows), level - 0.5)
+        own = open_rows.select("a", F.col("b").alias("_b"), F.col("score").alias("_own"))
+        better = (F.col("score") > F.col("_own")) | ((F.col("score") == F.col("_own")) & (F.col("b") < F.col("_b")))
+        beaten = scored(found).join(own, "a").where(better).select("a").distinct()
+        left = checkpointed(open_rows.join(beaten, "a", "left_anti"))
+        if whole:
+            kept.append(left.where(F.col("score") >= level))
+            left = left.where(F.col("score") < level)
+        if left.isEmpty():
+            open_rows = None
+            break
+        open_rows = left
+    if open_rows is not None:
+        rivals = _best(scored(_rivals(sides.only(open_rows), open_rows)).unionByName(open_rows.withColumn("_order", F.col("b"))))
+        kept.append(rivals.where(F.col("bucket").isin("doublon_exact", "probable_identique")))
+    merged = kept[0]
+    for part in kept[1:]:
+        merged = merged.unionByName(part)
+    return merged
+
+
+def _rivals(sides: _Sides, doubtful: DataFrame) -> DataFrame:
+    """All pairs of the last doubtful rows that could still reach their provisional score."""
+    probes = sides.a.join(doubtful.select("a", F.col("score").alias("_reached")), "a").withColumn("_all", F.lit(0))
+    met = grid_join(probes, sides.b.withColumn("_all", F.lit(0)), [*sides.scope, "_all"], "a", "b")
     return _within_budget(met, F.col("_reached") - 0.5).select("a", "b")
 
 

@@ -97,3 +97,59 @@ def test_hot_group_of_copies(spark):
     known = spark.createDataFrame([(5 + i, *copy) for i in range(300)], SCHEMA)
     got = matching.best_matches(new, known, ["user_id"]).collect()
     assert len(got) == 300 and {r["with_id"] for r in got} == {5} and {r["score"] for r in got} == {100}
+
+
+def promoted_rows(n):
+    """New listings whose photo is known from a dissimilar listing; a better partner without photo exists for the even ones."""
+    rng = random.Random(5)
+
+    def words():
+        return " ".join("".join(rng.choice("bcdfghklmnprstvz") for _ in range(8)) for _ in range(6))
+
+    new, known = [], []
+    for i in range(n):
+        place = (45.0 + 0.05 * (i % 70), 1.0 + 0.06 * (i // 70))
+        base = (1000.0 * (80 + i % 90), 30.0 + i % 60)
+        photo = f"{rng.getrandbits(64):016x}"
+        new.append((10 * i, 1, words(), words(), *base, 3, "maison", *place, "Agence A", [photo]))
+        known.append((10 * i + 1, 1, words(), words(), *base, 4, "terrain", *place, "Agence B", [photo]))
+        if i % 2 == 0:
+            known.append((10 * i + 2, 1, words(), words(), *base, 3, "maison", *place, "Agence C", None))
+    return new, known
+
+
+def test_promoted_pairs_below_the_floor_against_exact(spark):
+    new, known = (spark.createDataFrame(x, SCHEMA) for x in promoted_rows(60))
+    exact = {tuple(r) for r in matching.best_matches(new, known, ["user_id"], mode="exact").collect()}
+    assert {tuple(r) for r in matching.best_matches(new, known, ["user_id"]).collect()} == exact
+    assert {(r[0], r[1]) for r in exact} == {(10 * i, 10 * i + 1) for i in range(1, 60, 2)} and all(r[2] < 78 for r in exact)
+
+
+def test_many_promoted_pairs_are_settled_by_levels(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("a search over the whole tenant was needed")
+
+    monkeypatch.setattr(matching, "_rivals", never)
+    n = 5000
+    new, known = (spark.createDataFrame(x, SCHEMA).repartition(8) for x in promoted_rows(n))
+    got = {(r["id"], r["with_id"]) for r in matching.best_matches(new, known, ["user_id"]).collect()}
+    assert got == {(10 * i, 10 * i + 1) for i in range(1, n, 2)}
+
+
+def test_pairs_met_stay_few(spark):
+    """Attribute keys meet few of all pairs, and values that are lacking do not meet everything."""
+    rng = random.Random(6)
+    rows = [
+        (
+            i, 1, f"w{i} x{i}", f"y{i} z{i}", rng.choice([None, 1000.0 * rng.randint(20, 900)]), rng.choice([None, 1.0 * rng.randint(10, 300)]), rng.randint(1, 6),
+            rng.choice(["maison", "appartement", "terrain", None]), *rng.choice([(None, None), (45 + rng.random(), 4 + rng.random())]), f"Agence {rng.randint(1, 30)}", None,
+        )
+        for i in range(3000)
+    ]
+    both = matching.comparable(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    sides = matching._Sides(both, both, ["user_id"])
+    tiers = sides.tiers(77.5, matching.OVERLAP)
+    assert all(t.keyed for t in tiers)
+    left = matching._tier_keys(sides.a, tiers, True, "a_", sides.lacks[0]).select("a", "_key")
+    right = matching._tier_keys(sides.b, tiers, False, "b_", sides.lacks[1]).select("b", "_key")
+    assert left.join(right, "_key").count() < 0.05 * len(rows) ** 2
