@@ -301,6 +301,13 @@ def _applied(t):
     return ingest.apply_plan(state_of(t), plan_of(t), now())
 
 
+#: Edges after a batch: those of the batch, and stored ones of other pairs.
+EDGES_SQL = """, stored as (select a, b, score, bucket from (select least(a, b) as a, greatest(a, b) as b, score, bucket,
+              row_number() over (partition by least(a, b), greatest(a, b) order by seq desc) as rn from edges where a <> b) x where rn = 1),
+           fresh_edges as (select least(id, with_id) as a, greatest(id, with_id) as b, score, bucket from best)
+         select a, b, score, bucket from fresh_edges
+         union all select a, b, score, bucket from stored s where not exists (select 1 from fresh_edges f where f.a = s.a and f.b = s.b)"""
+
 register(
     "PIPE-2.listings",
     lambda t: text_of(_applied(t).listings, "first_seen_at", "last_seen_at", "last_changed_at").select(
@@ -333,11 +340,7 @@ register(
     lambda t: _applied(t).edges.select("a", "b", "score", "bucket"),
     "with "
     + BEST_SQL
-    + """, stored as (select a, b, score, bucket from (select least(a, b) as a, greatest(a, b) as b, score, bucket,
-              row_number() over (partition by least(a, b), greatest(a, b) order by seq desc) as rn from edges where a <> b) x where rn = 1),
-           fresh_edges as (select least(id, with_id) as a, greatest(id, with_id) as b, score, bucket from best)
-         select a, b, score, bucket from fresh_edges
-         union all select a, b, score, bucket from stored s where not exists (select 1 from fresh_edges f where f.a = s.a and f.b = s.b)""",
+    + EDGES_SQL,
     "listings",
     "incoming",
     "existing",
@@ -374,20 +377,23 @@ register(
 )
 
 
-def _snapshot(t):
-    """New listing snapshot written to the shared folder and read back."""
+# a batch is matched with the stored listings of its own tenants and sources
+_IN_BATCH = " and exists (select 1 from incoming b where b.user_id = e.user_id and b.source_id = e.source_id)"
+_SCOPED_BEST_SQL = BEST_SQL.replace("join existing e on e.user_id = f.user_id)", f"join existing e on e.user_id = f.user_id{_IN_BATCH})")
+
+
+def _stored(t):
+    """The state as version 0 of bucketed tables, and the batch committed as version 1."""
     spark = t("listings").sparkSession
-    folder = tables.shared_folder(spark)
-    state = _applied(t)
-    tables.write_snapshot({"listings": state.listings.drop("phashes")}, folder)
-    tables.append_facts({"versions": state.versions}, folder, "20240110")
-    listings = spark.read.parquet(f"{folder}/listings").groupBy("source_id").agg(F.count(F.lit(1)).alias("listings"), F.sum("price").alias("price"))
-    return listings
+    store = ingest.ingest_store(spark, tables.shared_folder(spark))
+    ingest.start_store(store, state_of(t))
+    ingest.commit_batch(store, 1, with_hashes(t("incoming")), searches_of(t), now())
+    return store
 
 
 register(
     "SRC-6",
-    _snapshot,
+    lambda t: _stored(t).read("listings").groupBy("source_id").agg(F.count(F.lit(1)).alias("listings"), F.sum("price").alias("price")),
     """select source_id, count(*) as listings, sum(price) as price from (
          select e.source_id, coalesce(i.price, e.price) as price from existing e left join incoming i on i.source_id = e.source_id and i.external_id = e.external_id
          union all select i.source_id, i.price from incoming i left join existing e on i.source_id = e.source_id and i.external_id = e.external_id where e.id is null) x
@@ -395,6 +401,41 @@ register(
     "incoming",
     "existing",
 )
+register(
+    "SRC-6.versions",
+    lambda t: _stored(t).read("versions").groupBy("listing_id").agg(F.count(F.lit(1)).alias("versions"), F.max_by("price", "captured_at").alias("price")),
+    """select id as listing_id, count(*) as versions, arg_max(price, at_) as price from (
+         select id, price, 0 as at_ from existing union all select id, price, 1 from incoming) v group by 1""",
+    "incoming",
+    "existing",
+)
+register(
+    "SRC-6.edges",
+    lambda t: _stored(t).read("edges").select("a", "b", "score", "bucket"),
+    "with "
+    + _SCOPED_BEST_SQL
+    + EDGES_SQL,
+    "listings",
+    "incoming",
+    "existing",
+    "edges",
+)
+register(
+    "SRC-6.notifications",
+    lambda t: _stored(t).read("notifications").where("title is not null").select("listing_id", "type", "subject_key"),
+    "with "
+    + _SCOPED_BEST_SQL
+    + ", "
+    + _PLAN_ALONE
+    + ", "
+    + ALERT_SQL
+    + " select coalesce(p.matched_id, p.id) as listing_id, a.type, p.source_id || ':' || p.external_id as subject_key from alerts a join planned p on p.id = a.id",
+    "listings",
+    "incoming",
+    "existing",
+    "searches",
+    "vertices",
+)
 
 
 def _export(t):

@@ -15,6 +15,7 @@ from catalog.normalisation import LIST_SQL
 from catalog.registry import register
 from hearthmark.operators.relevance import criteria_rows
 from hearthmark.plans import collect
+from hearthmark.plans.ingest import ingest_store
 from hearthmark.sources.tables import shared_folder
 from hearthmark.streaming import jobs
 
@@ -80,13 +81,12 @@ def _ingest_stream(t):
     incoming = with_hashes(t("incoming"))
     folder = shared_folder(incoming.sparkSession)
     _finished(jobs.start_ingest_stream(as_stream(incoming, "id", 2), state, folder, lambda batch: now(), searches_of(t)))
-    listings = incoming.sparkSession.read.parquet(f"{folder}/listings/batch=1")
-    return listings.select("id", "source_id", "external_id", "price", (F.col("last_seen_at") == now()).alias("seen"))
+    return ingest_store(incoming.sparkSession, f"{folder}/state")
 
 
 register(
     "STR-1",
-    _ingest_stream,
+    lambda t: _ingest_stream(t).read("listings").select("id", "source_id", "external_id", "price", (F.col("last_seen_at") == now()).alias("seen")),
     """select e.id, e.source_id, e.external_id, coalesce(i.price, e.price) as price, i.id is not null as seen
        from existing e left join incoming i on i.source_id = e.source_id and i.external_id = e.external_id
        union all select i.id, i.source_id, i.external_id, i.price, true from incoming i
@@ -95,6 +95,16 @@ register(
     "existing",
 )
 
+register(
+    "STR-1.versions",
+    lambda t: _ingest_stream(t).read("versions").groupBy("listing_id").agg(F.count(F.lit(1)).alias("versions"), F.max_by("price", "captured_at").alias("price")),
+    """select id as listing_id, count(*) as versions, arg_max(price, at_) as price from (
+         select id, price, 0 as at_ from existing union all select id, price, 1 from incoming) v group by 1""",
+    "incoming",
+    "existing",
+)
+
+
 def _fetched(t):
     return t("ad_pages").select((F.col("page_id") % 100 + 1).alias("connector_id"), "url", "html")
 

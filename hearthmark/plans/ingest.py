@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthmark.functions.listing import fingerprint
@@ -15,6 +15,7 @@ from hearthmark.functions.scoring import PRICE_DROP_PCT, PROBABLE_SCORE, change_
 from hearthmark.operators.matching import best_matches, canonical_edges
 from hearthmark.operators.relevance import prepare_searches, score_relevance
 from hearthmark.session import checkpointed
+from hearthmark.sources.store import Facts, Keyed, Store
 
 # Relevance from which a listing is worth an alert; alert titles.
 MIN_RELEVANCE = 50
@@ -278,3 +279,36 @@ def apply_plan(state: State, plan: Plan, now: Column) -> State:
         canonical_edges(both, "_age").drop("_age"),
         state.notifications.unionByName(alerts, allowMissingColumns=True),
     )
+
+
+def ingest_store(spark: SparkSession, folder: str, tenant: Sequence[str] = ("user_id",)) -> Store:
+    """The tables of an ingest: listings by tenant and source, edges by pair, versions and notifications as facts."""
+    scope = (*tenant, "source_id")
+    tables = {"listings": Keyed((*scope, "external_id"), scope), "edges": Keyed(("a", "b")), "versions": Facts(), "notifications": Facts()}
+    return Store(spark, folder, tables)
+
+
+def start_store(store: Store, initial: State) -> None:
+    """Version 0 of the tables."""
+    store.commit(0, {name: getattr(initial, name) for name in store.tables})
+
+
+def commit_batch(
+    store: Store, version: int, incoming: DataFrame, searches: DataFrame | None, now: Column, tenant: Sequence[str] = ("user_id",), **options: int
+) -> None:
+    """Plan a batch on the version before it and commit what it makes or changes.
+
+    Only listings of the tenants and sources of the batch are read; only changed
+    and new listings, the batch's edges and its facts are written.  A version
+    that is committed already stays as it is.
+    """
+    if version in store.versions():
+        return
+    incoming = checkpointed(incoming)
+    listings = store.read("listings", version - 1, like=incoming)
+    empty = {name: store.read(name, version - 1).where(F.lit(False)) for name in ("versions", "edges", "notifications")}
+    plan = plan_ingestion(incoming, listings, searches, tenant, **options)
+    after = apply_plan(State(listings, **empty), plan, now)
+    touched = plan.upserts.select(F.coalesce("matched_id", "id").alias("id"))
+    changed = after.listings.join(touched, "id", "left_semi")
+    store.commit(version, {"listings": changed, "edges": after.edges, "versions": after.versions, "notifications": after.notifications})

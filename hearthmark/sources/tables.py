@@ -1,4 +1,4 @@
-"""State tables: scoped scans, snapshot writes and exports."""
+"""State tables: scoped scans, shared folders and exports."""
 
 from __future__ import annotations
 
@@ -23,18 +23,6 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4()}"
 
 
-def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
-    """Write every table of a new state below ``path``; a failed write leaves other snapshots alone."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def append_facts(tables: dict[str, DataFrame], path: str, batch: str) -> None:
-    """Add one batch of facts; writing the same batch again replaces it."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
-
-
 def export_json(tables: dict[str, DataFrame], path: str) -> None:
     """JSON lines per table."""
     for name, df in tables.items():

@@ -1,32 +1,30 @@
 """Incremental ingest, price change points and dispatch-once as streaming queries.
 
-All three keep their state in tables below a shared folder, one folder per
-micro-batch. A batch reads only what earlier batches wrote and overwrites its
-own output, so a batch that is run again after a failure gives the same result.
+Price points and dispatched notifications follow from one value per key, which
+Spark's state store keeps and recovers (``use_rocksdb`` puts it on disk).  The
+ingest has tables as its state; a :class:`~hearthmark.sources.store.Store` of
+buckets keeps those, and a batch that is run again finds itself committed or
+writes the same files again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hearthmark.operators.history import price_change_points
-from hearthmark.plans.ingest import State, apply_plan, last_per_key, plan_ingestion
+from hearthmark.plans.ingest import State, commit_batch, ingest_store, last_per_key, start_store
 
 
-def _earlier(spark: SparkSession, path: str, batch: int, since: int = 0) -> DataFrame | None:
-    """Rows that batches ``since`` to ``batch - 1`` wrote; null before the first output.
-
-    Only a missing folder means that there is none; whatever else is wrong with it is an error.
-    """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    rows = spark.read.parquet(path)
-    return rows.where((F.col("batch") < batch) & (F.col("batch") >= since))
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keep streaming state on disk with a log of changes, so that it need not fit in memory; set it before the first start."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def _start(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int], None], trigger: dict | None) -> StreamingQuery:
@@ -40,60 +38,50 @@ def price_change_stream(
     key: str = "listing_id",
     ts: str = "captured_at",
     tiebreak: str = "tiebreak",
-    compact_every: int = 50,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Append a price point when a price differs from the last one of its listing.
+    """Append a price point below ``points`` when a price differs from the last one of its listing.
 
-    ``points/batch=n`` holds the new points of a batch, ``state/batch=n`` the
-    last price of the listings it touched; every ``compact_every`` batches the
-    state is rewritten in full, so a lookup never reads more than that many.
+    Spark's state store keeps the last price of every listing, so a batch reads
+    and writes the prices of its own listings only.  Rows of one batch go by
+    (``ts``, ``tiebreak``); a batch follows the one before whatever the clock
+    says.  Rows without a listing or a price are skipped.
     """
+    fields = {f.name: f for f in versions.schema}
+    out = T.StructType([fields[key], T.StructField("observed_at", fields[ts].dataType), fields[tiebreak], T.StructField("price", T.DoubleType())])
 
-    def handle(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        since = batch - 1 - (batch - 1) % compact_every if batch else 0
-        new = rows.where(F.col("price").isNotNull()).select(key, ts, tiebreak, "price", F.lit(True).alias("_new"))
-        state = _earlier(spark, f"{folder}/state", batch, since)
-        order = F.struct("batch", ts, tiebreak)
-        last = None
-        if state is not None:
-            last = state.groupBy(key).agg(F.max_by(F.struct(ts, tiebreak, "price"), order).alias("_row")).select(key, "_row.*")
-            known = last.join(new.select(key).distinct(), key, "left_semi").withColumn("_new", F.lit(False))
-            # the stored price opens the series of its listing, whatever the clock says
-            first = new.groupBy(key).agg(F.min(ts).alias("_first"))
-            known = known.join(first, key).withColumn(ts, F.least(F.col(ts), F.col("_first"))).withColumn(
-                tiebreak, F.lit(-(2**62))
-            ).drop("_first")
-            series = new.unionByName(known)
-        else:
-            series = new
-        marked = price_change_points(series, key, ts, tiebreak)
-        points = marked.where(F.col(tiebreak) != -(2**62))
-        points.write.mode("overwrite").parquet(f"{folder}/points/batch={batch}")
-        touched = new.groupBy(key).agg(F.max_by(F.struct(ts, tiebreak, "price"), F.struct(ts, tiebreak)).alias("_row")).select(
-            key, "_row.*"
-        )
-        if last is not None and batch % compact_every == 0:
-            touched = touched.unionByName(last.join(touched.select(key), key, "left_anti"))
-        touched.write.mode("overwrite").parquet(f"{folder}/state/batch={batch}")
-
-    return _start(versions, folder, handle, trigger)
+    def changes(who: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values([ts, tiebreak], kind="stable")
+        before = state.get[0] if state.exists else None
+        prices = rows["price"]
+        changed = prices != prices.shift()
+        changed.iloc[0] = before is None or prices.iloc[0] != before
+        state.update((float(prices.iloc[-1]),))
+        yield rows.loc[changed, [key, ts, tiebreak, "price"]].rename(columns={ts: "observed_at"})
+
+    known = versions.where(F.col("price").isNotNull() & F.col(key).isNotNull()).select(key, ts, tiebreak, F.col("price").cast("double"))
+    points = known.groupBy(key).applyInPandasWithState(changes, out, "price double", "append", GroupStateTimeout.NoTimeout)
+    return _append(points, folder, "points", trigger)
 
 
 def dispatch_once_stream(
     notifications: DataFrame, folder: str, now: Callable[[], Column] = F.current_timestamp, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Let every notification leave exactly once: ``dispatched/batch=n`` lists what left in a batch."""
+    """Let every notification leave exactly once: ``dispatched`` lists what has left.
+
+    The ids that have left are keys of Spark's state store, without a limit in
+    time; a batch looks up its own ids only.  A batch that is run again after a
+    failure writes nothing twice, as the folder keeps a log of its batches.
+    """
+    waiting = notifications.where(F.col("dispatched_at").isNull()).drop("dispatched_at")
+    left = waiting.dropDuplicates(["notification_id"]).withColumn("dispatched_at", now())
+    return _append(left, folder, "dispatched", trigger)
 
-    def handle(rows: DataFrame, batch: int) -> None:
-        waiting = rows.where(F.col("dispatched_at").isNull()).drop("dispatched_at").dropDuplicates(["notification_id"])
-        gone = _earlier(rows.sparkSession, f"{folder}/dispatched", batch)
-        if gone is not None:
-            waiting = waiting.join(gone.select("notification_id"), "notification_id", "left_anti")
-        waiting.withColumn("dispatched_at", now()).write.mode("overwrite").parquet(f"{folder}/dispatched/batch={batch}")
 
-    return _start(notifications, folder, handle, trigger)
+def _append(rows: DataFrame, folder: str, name: str, trigger: dict | None) -> StreamingQuery:
+    """Write a stream as Parquet files that count once their batch is in the log of the folder."""
+    writer = rows.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/{name}")
+    return writer.option("checkpointLocation", f"{folder}/progress").trigger(**(trigger or {"availableNow": True})).start()
 
 
 def start_ingest_stream(
@@ -108,23 +96,17 @@ def start_ingest_stream(
 ) -> StreamingQuery:
     """Plan and apply every micro-batch of listings on the state the batch before left.
 
-    Snapshots (``listings``, ``edges``) are written whole per batch, facts
-    (``versions``, ``notifications``) only with the rows of the batch.
+    The tables live in an ``ingest_store`` below ``folder``; version ``n + 1`` is the state
+    after batch ``n``, version 0 the initial one.  A batch reads the listings of
+    its own tenants and sources, and writes the listings, edges, versions and
+    notifications that it makes or changes.
     """
     key = [*tenant, "source_id", "external_id"]
+    store = ingest_store(incoming.sparkSession, f"{folder}/state", tenant)
 
     def handle(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-
-        def before(name: str, start: DataFrame) -> DataFrame:
-            return start if batch == 0 else spark.read.parquet(f"{folder}/{name}/batch={batch - 1}")
-
-        listings, edges = before("listings", initial.listings), before("edges", initial.edges)
-        nothing = F.lit(False)
-        state = State(listings, initial.versions.where(nothing), edges, initial.notifications.where(nothing))
-        plan = plan_ingestion(last_per_key(rows, key, position), listings, searches, tenant)
-        after = apply_plan(state, plan, now(batch))
-        for name in ("listings", "edges", "versions", "notifications"):
-            getattr(after, name).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+        if not store.versions():
+            start_store(store, initial)
+        commit_batch(store, batch + 1, last_per_key(rows, key, position), searches, now(batch), tenant)
 
     return _start(incoming, folder, handle, trigger)
