@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.analytics import NOW, now, text_of
 from catalog.extraction import _PAGE_SQL as PAGE_SQL
+from catalog.extraction import _SITEMAP_SQL as SITEMAP_SQL
 from catalog.extraction import _SOLD_SQL as SOLD_SQL
 from catalog.extraction import KEY_SQL, SLUG_SQL, URL_CODE, text_code_sql
 from catalog.ingestion import state_of, stored_listings
@@ -138,8 +139,10 @@ register(
     _collection_runs,
     COLLECT_SQL
     + """, n as (select search_id, count(*) as fetched from kept group by 1),
-        keys as (select user_id, source_id, external_id, max(search_id) as search_id from kept group by 1, 2, 3),
-        planned as (select k.search_id, count(*) filter (e.id is null) as added, count(*) filter (e.id is not null) as updated
+        firsts as (select user_id, source_id, external_id, min(search_id) as first_id from kept group by 1, 2, 3),
+        keys as (select distinct k.search_id, k.user_id, k.source_id, k.external_id, k.search_id = f.first_id as first_time
+            from kept k join firsts f using (user_id, source_id, external_id)),
+        planned as (select k.search_id, count(*) filter (e.id is null and first_time) as added, count(*) filter (e.id is not null or not first_time) as updated
             from keys k left join existing e on e.user_id = k.user_id and e.source_id = k.source_id and e.external_id = k.external_id group by 1)
         select s.search_id, case when s.search_id not in (select search_id from chosen) then 'no-connector' when coalesce(fetched, 0) = 0 then 'no-data' else 'ok' end as outcome,
                'success' as status, coalesce(fetched, 0) as fetched, coalesce(added, 0) as added, coalesce(updated, 0) as updated, cast(0 as bigint) as warnings
@@ -168,3 +171,51 @@ register(
     "connectors",
     "ad_pages",
 )
+
+
+def _sites(t):
+    """One connector per sitemap root; every third one has a pattern that is none, and one sitemap was never fetched."""
+    config = F.to_json(
+        F.struct(
+            F.lit("sitemap_network").alias("kind"),
+            F.col("sitemap_url").alias("sitemapUrl"),
+            F.when(F.col("n") % 3 == 2, "/(en|fr").otherwise("/(en|fr|de|es)/[0-9]+").alias("detailUrlPattern"),
+        )
+    )
+    roots = t("site_roots").select("connector", "sitemap_url", (F.col("connector") + 1).cast("long").alias("n"))
+    return roots.select(
+        "n", F.col("n").alias("connector_id"), F.concat(F.lit("src"), F.col("n").cast("string")).alias("source_id"), "connector", config.alias("config")
+    )
+
+
+def _discovered(t):
+    return collect.discovered(t("site_docs"), collect.connector_settings(_sites(t)))
+
+
+_ROOTS_SQL = " ranked as (select connector, sitemap_url, connector + 1 as n from site_roots)"
+
+register(
+    "PIPE-3.discovered",
+    lambda t: _discovered(t)[0].select("connector_id", "url", F.sha2("html", 256).alias("html_sha256")),
+    "with "
+    + SITEMAP_SQL.format(children=1000000, detail="/(en|fr|de|es)/[0-9]+")
+    + ", "
+    + _ROOTS_SQL
+    + """, seeds as (select connector, sitemap_url, unnest(locs) as url from (select l.*, r.sitemap_url from located l join site_roots r using (connector)) x
+             where not exists (select 1 from direct d where d.connector = x.connector)),
+        hrefs as (select s.connector, regexp_extract(s.sitemap_url, '^[a-z]+://[^/]+') as base, unnest(regexp_extract_all(p.body, '(?i)href=["'']([^"'']+)["'']', 1)) as href
+             from seeds s join sitemap_docs p on p.url = s.url),
+        found as (select connector, url from direct union select connector, case when href like 'http%' then href when href like '/%' then base || href else base || '/' || href end
+             from hrefs where regexp_matches(case when href like 'http%' then href when href like '/%' then base || href else base || '/' || href end, '/(en|fr|de|es)/[0-9]+'))
+        select r.n as connector_id, f.url, sha256(d.body) as html_sha256 from found f join ranked r using (connector) join sitemap_docs d on d.url = f.url where r.n % 3 <> 2""",
+    "site_roots",
+    "sitemap_docs",
+)
+register(
+    "PIPE-3.warnings",
+    lambda t: _discovered(t)[1].select("connector_id", F.split("message", " : ")[0].alias("message")),
+    f"with {_ROOTS_SQL} select n as connector_id, case when n % 3 = 2 then 'detailUrlPattern invalide' else 'sitemap ' || sitemap_url end as message "
+    "from ranked where n % 3 = 2 or sitemap_url not in (select url from sitemap_docs)",
+    "site_roots",
+    "sitemap_docs",
+)

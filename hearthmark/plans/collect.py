@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,10 +15,12 @@ from hearthmark.functions import html as page
 from hearthmark.operators.once import with_once
 from hearthmark.operators.runs import plan_counters
 from hearthmark.operators.visibility import connectors_for_searches
-from hearthmark.plans.extraction import STRATEGIES, api_items, as_fields, extract_pages
-from hearthmark.plans.ingest import Plan, last_per_key, plan_ingestion
+from hearthmark.plans.extraction import STRATEGIES, api_items, as_fields, discover, extract_pages
+from hearthmark.plans.ingest import Plan, plan_ingestion
 from hearthmark.plans.normalise import normalize_listings
+from hearthmark.session import checkpointed
 from hearthmark.sources.feeds import explode_items, map_fields
+from hearthmark.sources.tables import scan_for_batch
 
 # Kinds that read items instead of pages, kinds that can leave out rentals, and texts of the run log.
 JSON_API, TERM_API = "json_api", "wordpress_rest"
@@ -24,6 +28,11 @@ SALE_ONLY_KINDS = ("sitemap_html",)
 UNKNOWN_KIND = "Type de connecteur de site inconnu : « %s »."
 NO_CONNECTOR = "Aucun connecteur autorisé configuré — pas de collecte automatique."
 COLLECTED = "Connecteur %s : %d annonce(s) récupérée(s)."
+LEFT_OUT = "Connecteur %s ignoré : %s"
+BAD_PATTERN = "detailUrlPattern invalide : %s"
+NO_SITEMAP = "sitemap %s : %s"
+#: Kinds that take the addresses of their sitemap only, and never those of linked pages.
+SITEMAP_ONLY_KINDS = ("netty",)
 
 
 @dataclass
@@ -53,9 +62,60 @@ def connector_settings(connectors: DataFrame) -> DataFrame:
         F.coalesce(option("listPath", "string"), F.lit("")).alias("_list_path"),
         option("map", "map<string,string>").alias("_map"),
         F.coalesce(option("taxonomies", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("_taxonomies"),
+        F.coalesce(option("sitemapUrls", "array<string>"), F.array_compact(F.array(option("sitemapUrl", "string")))).alias("_sitemaps"),
+        option("detailUrlPattern", "string").alias("_detail"),
+        option("crawlSeedPattern", "string").alias("_seed"),
+        option("baseUrl", "string").alias("_base_url"),
     )
 
 
+@F.pandas_udf(T.StringType())
+def _pattern_error(patterns: pd.Series) -> pd.Series:
+    """What is wrong with a pattern, one per connector; null if nothing is."""
+
+    def wrong(pattern: str | None) -> str | None:
+        if pattern is None:
+            return None
+        try:
+            re.compile(pattern)
+        except re.error as error:
+            return str(error)
+        # known here, not where the pattern is used
+        return "unknown group" if re.search(r"\(\?(P[<=>]|\()", pattern) else None
+
+    return patterns.map(wrong)
+
+
+def discovered(docs: DataFrame, settings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages of the connectors that name a sitemap, in the order of discovery, and warnings.
+
+    ``docs(url, body)`` holds every fetched document once: sitemaps, the pages
+    that they list and detail pages. A pattern that is none, and a sitemap that
+    was not fetched, are warnings.
+    """
+    sites = settings.where(F.col("_kind").isin(*STRATEGIES) & F.col("_detail").isNotNull() & (F.size("_sitemaps") > 0))
+    # a few columns per connector, and the patterns are looked at once
+    sites = checkpointed(sites.select("connector_id", "_kind", "_sitemaps", "_detail", "_seed", "_base_url").withColumns(
+        {"_wrong": _pattern_error("_detail"), "_wrong_seed": _pattern_error("_seed")}
+    ))
+    roots = sites.where("_wrong is null and _wrong_seed is null").select(
+        F.col("connector_id").alias("connector"), "_kind", "_detail", "_seed", "_base_url", F.posexplode("_sitemaps").alias("_nth", "sitemap_url")
+    )
+    absent = roots.join(docs.select(F.col("url").alias("sitemap_url")), "sitemap_url", "left_anti")
+    warnings = (
+        sites.where("_wrong is not null").select("connector_id", F.format_string(BAD_PATTERN, "_wrong").alias("message"))
+        .unionByName(
+            sites.where("_wrong is null and _wrong_seed is not null")
+            .select("connector_id", F.format_string(NO_SITEMAP, F.col("_sitemaps")[0], F.col("_wrong_seed")).alias("message"))
+        )
+        .unionByName(absent.select(F.col("connector").alias("connector_id"), F.format_string(NO_SITEMAP, "sitemap_url", F.lit("absent")).alias("message")))
+    )
+    crawls = ~F.col("_kind").isin(*SITEMAP_ONLY_KINDS)
+    found = discover(docs, roots, F.col("_detail"), F.col("_seed"), base=F.col("_base_url"), crawls=crawls)
+    pages = found.join(docs.select("url", F.col("body").alias("html")), "url")
+    return pages.select(F.col("connector").alias("connector_id"), "url", "html", "position"), warnings
+
+
 def _inside(text: Column) -> Column:
     """Whether a text names no department or one of the connector's own."""
     code = page.department(text)
@@ -95,17 +155,20 @@ def _from_pages(pages: DataFrame, settings: DataFrame) -> list[tuple[DataFrame,
 
 def _from_payloads(payloads: DataFrame, settings: DataFrame) -> DataFrame:
     """Raw rows of the JSON answers, by each connector's list path and field map."""
-    rows = payloads.join(settings.where(F.col("_kind") == JSON_API).select(*_OWN, "_list_path", "_map"), "connector_id")
+    # departments restrict sites, not feeds
+    own = settings.where(F.col("_kind") == JSON_API).withColumn("_departments", F.lit(None).cast("array<string>"))
+    rows = payloads.join(own.select(*_OWN, "_list_path", "_map"), "connector_id")
     items = explode_items(rows, "payload", F.col("_list_path"))
     return map_fields(items, "item", F.col("_map")).select(*_OWN, "fields")
 
 
-def _from_terms(payloads: DataFrame, terms: DataFrame, settings: DataFrame) -> DataFrame:
-    """Raw rows of API items whose fields are terms, by each connector's taxonomies."""
+def _from_terms(payloads: DataFrame, terms: DataFrame, pages: DataFrame, settings: DataFrame) -> DataFrame:
+    """Raw rows of API items whose fields are terms, by each connector's taxonomies; detail pages add price and surface."""
     own = settings.where(F.col("_kind") == TERM_API)
     rows = payloads.join(own.select("connector_id", "_most", "_taxonomies"), "connector_id")
     items = explode_items(rows, "payload").where(F.col("_most").isNull() | (F.col("pos") < F.col("_most")))
-    raws = api_items(items.drop("_most").withColumnRenamed("connector_id", "connector"), terms, "_taxonomies")
+    details = pages.join(own.select("connector_id"), "connector_id", "left_semi").select("url", "html").dropDuplicates(["url"])
+    raws = api_items(items.drop("_most").withColumnRenamed("connector_id", "connector"), terms, "_taxonomies", details)
     named = as_fields(raws).withColumnRenamed("connector", "connector_id").join(own.select(*_OWN), "connector_id")
     return named.select(*_OWN, "fields")
 
@@ -116,53 +179,70 @@ def collect_pages(
     pages: DataFrame,
     payloads: DataFrame | None = None,
     terms: DataFrame | None = None,
+    docs: DataFrame | None = None,
+    failures: DataFrame | None = None,
 ) -> Collected:
     """Extract and normalise what was fetched for all usable connectors.
 
     ``pages(connector_id, url, html[, position])`` serve the kinds that read
     pages, ``payloads(connector_id, payload)`` the JSON answers of the others and
-    ``terms(connector, taxonomy, term_id, name)`` their term names. Every
+    ``terms(connector, taxonomy, term_id, name)`` their term names. With
+    ``docs(url, body)`` connectors that name a sitemap find their pages
+    themselves (see :func:`discovered`). ``failures(connector_id, message)``
+    names connectors whose fetch failed: they are left out with a warning. Every
     connector's configuration picks its kind and options; an unknown kind is a
     warning. Extraction runs once per connector; the result is then joined to
     every search that uses it.
     """
     chosen = connectors_for_searches(connectors, searches)
-    settings = connector_settings(chosen.dropDuplicates(["connector_id"]))
+    working = chosen if failures is None else chosen.join(failures.select("connector_id"), "connector_id", "left_anti").select(*chosen.columns)
+    settings = connector_settings(working.dropDuplicates(["connector_id"]))
     parts = _from_pages(pages, settings)
+    if docs is not None:
+        found, missed = discovered(docs, settings)
+        parts += _from_pages(found, settings)
+        parts.append((None, missed))
     if payloads is not None:
         parts.append((_from_payloads(payloads, settings), None))
         if terms is not None:
-            parts.append((_from_terms(payloads, terms, settings), None))
+            parts.append((_from_terms(payloads, terms, pages, settings), None))
     unknown = settings.where(~F.col("_kind").isin(*STRATEGIES, JSON_API, TERM_API))
     warnings = unknown.select("connector_id", F.format_string(UNKNOWN_KIND, "_kind").alias("message"))
     raws = None
     for fields, warned in parts:
-        rows = fields.select(*_OWN, "fields")
-        raws = rows if raws is None else raws.unionByName(rows)
+        if fields is not None:
+            rows = fields.select(*_OWN, "fields")
+            raws = rows if raws is None else raws.unionByName(rows)
         if warned is not None:
             warnings = warnings.unionByName(warned.select("connector_id", "message"))
     code = F.try_variant_get(F.try_element_at("fields", F.lit("postalCode")), "$", "string")
-    scoped = raws.where(_inside(code)).drop("_departments").withColumnRenamed("source_id", "_source")
+    # pages are read once, whatever is asked of a run
+    scoped = checkpointed(raws.where(_inside(code)).drop("_departments").withColumnRenamed("source_id", "_source"))
     good, errors = normalize_listings(scoped, source="_source")
-    warnings = warnings.unionByName(errors.select("connector_id", "message"))
+    good, warnings = checkpointed(good), checkpointed(warnings.unionByName(errors.select("connector_id", "message")))
     per_search = chosen.select("search_id", "user_id", "connector_id")
     listings = good.drop("_source").join(per_search, "connector_id")
-    warned = warnings.join(per_search, "connector_id")
-    return Collected(listings, warned, _events(searches, chosen, listings, warned))
+    warned = warnings.join(per_search, "connector_id").withColumn("_step", F.lit("normalize"))
+    if failures is not None:
+        failed = chosen.join(failures.select("connector_id", "message"), "connector_id")
+        failed = failed.select("connector_id", F.format_string(LEFT_OUT, "source_id", "message").alias("message"), "search_id", "user_id", F.lit("collect").alias("_step"))
+        warned = warned.unionByName(failed)
+    return Collected(listings, warned.drop("_step"), _events(searches, chosen, working, listings, warned))
 
 
-def _events(searches: DataFrame, chosen: DataFrame, listings: DataFrame, warnings: DataFrame) -> DataFrame:
+def _events(searches: DataFrame, chosen: DataFrame, working: DataFrame, listings: DataFrame, warnings: DataFrame) -> DataFrame:
     """Log events ``(search_id, user_id, level, step, message)`` of the runs."""
 
-    def event(rows: DataFrame, level: str, step: str, message: Column) -> DataFrame:
-        return rows.select("search_id", "user_id", F.lit(level).alias("level"), F.lit(step).alias("step"), message.alias("message"))
+    def event(rows: DataFrame, level: str, step: str | Column, message: Column) -> DataFrame:
+        step = F.lit(step) if isinstance(step, str) else step
+        return rows.select("search_id", "user_id", F.lit(level).alias("level"), step.alias("step"), message.alias("message"))
 
     counts = listings.groupBy("search_id", "connector_id").agg(F.count(F.lit(1)).alias("_n"))
-    used = chosen.join(counts, ["search_id", "connector_id"], "left")
+    used = working.join(counts, ["search_id", "connector_id"], "left")
     idle = searches.join(chosen.select("search_id").distinct(), "search_id", "left_anti")
     return (
         event(used, "info", "collect", F.format_string(COLLECTED, "source_id", F.coalesce("_n", F.lit(0))))
-        .unionByName(event(warnings, "warn", "normalize", F.col("message")))
+        .unionByName(event(warnings, "warn", F.col("_step"), F.col("message")))
         .unionByName(event(idle, "info", "collect", F.lit(NO_CONNECTOR)))
     )
 
@@ -224,15 +304,27 @@ def run_searches(
     terms: DataFrame | None = None,
     trigger: str = "schedule",
     tenant: Sequence[str] = ("user_id",),
+    docs: DataFrame | None = None,
+    failures: DataFrame | None = None,
 ) -> Runs:
-    """Plan, run rows and log of all given searches (see :func:`hearthmark.operators.runs.due_searches`)."""
-    collected = collect_pages(searches, connectors, pages, payloads, terms)
+    """Plan, run rows and log of all given searches (see :func:`hearthmark.operators.runs.due_searches`).
+
+    The searches of a tenant count as run one after the other by their id: a
+    listing that several collect is new (or changed) for the first one, which
+    gets its alerts, and known to the others.  Listings are matched with stored
+    ones of their own tenants and sources.
+    """
+    collected = collect_pages(searches, connectors, pages, payloads, terms, docs, failures)
     key = [*tenant, "source_id", "external_id"]
-    batch = last_per_key(collected.listings, key, "search_id").withColumn("id", _new_ids(existing, key))
-    plan = plan_ingestion(batch, existing, searches, tenant)
+    rest = [c for c in collected.listings.columns if c not in key]
+    first = collected.listings.groupBy(*key).agg(F.min_by(F.struct(*rest), "search_id").alias("_row")).select(*key, "_row.*")
+    batch = checkpointed(first.withColumn("id", _new_ids(existing, key)))
+    plan = plan_ingestion(batch, scan_for_batch(existing, batch, tenant), searches, tenant)
     subjects = plan.upserts.select("id", "search_id")
-    counters = plan_counters(
-        collected.listings, plan.upserts, plan.similarities.join(subjects, "id"), plan.notifications, collected.warnings
-    )
+    met = collected.listings.select("search_id", *key).distinct()
+    kinds = plan.upserts.select(*key, F.col("search_id").alias("_first"), F.col("kind").alias("_kind"))
+    again = F.when(F.col("search_id") == F.col("_first"), F.col("_kind")).otherwise("update")
+    upserts = met.join(kinds, key).withColumn("kind", again)
+    counters = plan_counters(collected.listings, upserts, plan.similarities.join(subjects, "id"), plan.notifications, collected.warnings)
     runs = run_rows(searches, connectors, counters, trigger, now)
     return Runs(plan, runs, collected.events, mark_run(searches, now), collected)

@@ -21,60 +21,95 @@ RAW_FIELDS = "id url title description type rooms city postalCode price surface
 # ---------------------------------------------------------------- discovery
 
 
-def sitemap_urls(docs: DataFrame, roots: DataFrame, detail: str, max_children: int | None = None) -> DataFrame:
+def _matches(text: Column, pattern: str | Column) -> Column:
+    return text.rlike(pattern) if isinstance(pattern, str) else F.rlike(text, pattern)
+
+
+def _addresses(docs: DataFrame) -> DataFrame:
+    """What joins need of fetched documents: addresses and the ones they name, not the bodies."""
+    return docs.select(
+        "url",
+        F.col("body").rlike(page.SITEMAP_INDEX).alias("_index"),
+        F.regexp_extract_all("body", F.lit(page.LOC), F.lit(1)).alias("_locs"),
+        F.regexp_extract_all("body", F.lit(page.HREF), F.lit(1)).alias("_hrefs"),
+    )
+
+
+def _own(roots: DataFrame) -> list[str]:
+    """Columns of the roots that patterns may refer to."""
+    return [c for c in roots.columns if c not in ("connector", "sitemap_url")]
+
+
+def _first_places(found: DataFrame) -> DataFrame:
+    """Every URL of a connector with its first place; ``_nth`` orders several sitemaps of one connector."""
+    nth = ["_nth"] if "_nth" in found.columns else []
+    return found.groupBy("connector", "url").agg(F.min(F.struct(*nth, "_parent", "_at")).alias("position"))
+
+
+def sitemap_urls(docs: DataFrame, roots: DataFrame, detail: str | Column, max_children: int | None = None) -> DataFrame:
     """Detail URLs of each connector's sitemap, an index being followed one level.
 
     ``docs(url, body)`` are fetched documents, ``roots(connector, sitemap_url)``
-    the entry points. The result keeps the first position of every URL. All
-    children of an index are followed unless ``max_children`` is given.
+    the entry points; a pattern may be a column of the roots. The result keeps
+    the first position of every URL. All children of an index are followed
+    unless ``max_children`` is given. Only addresses are joined.
     """
-    located = roots.join(docs.select(F.col("url").alias("sitemap_url"), "body"), "sitemap_url").select(
-        "connector",
-        F.col("body").rlike(page.SITEMAP_INDEX).alias("_index"),
-        F.posexplode(F.regexp_extract_all("body", F.lit(page.LOC), F.lit(1))).alias("_at", "url"),
+    named, own = _addresses(docs), _own(roots)
+    located = roots.join(named.select(F.col("url").alias("sitemap_url"), "_index", "_locs"), "sitemap_url").select(
+        "connector", *own, "_index", F.posexplode("_locs").alias("_at", "url")
     )
-    flat = located.where(~F.col("_index")).select("connector", F.lit(0).alias("_parent"), "_at", "url")
+    flat = located.where(~F.col("_index")).select("connector", *own, F.lit(0).alias("_parent"), "_at", "url")
     within = F.lit(True) if max_children is None else F.col("_at") < max_children
     children = located.where(F.col("_index") & within)
-    nested = children.select("connector", F.col("_at").alias("_parent"), "url").join(docs, "url").select(
-        "connector", "_parent", F.posexplode(F.regexp_extract_all("body", F.lit(page.LOC), F.lit(1))).alias("_at", "url")
+    nested = children.select("connector", *own, F.col("_at").alias("_parent"), "url").join(named.select("url", "_locs"), "url").select(
+        "connector", *own, "_parent", F.posexplode("_locs").alias("_at", "url")
     )
-    found = flat.unionByName(nested).where(F.col("url").rlike(detail))
-    return found.groupBy("connector", "url").agg(F.min(F.struct("_parent", "_at")).alias("position"))
+    return _first_places(flat.unionByName(nested).where(_matches(F.col("url"), detail)))
 
 
 def harvest_links(
-    docs: DataFrame, roots: DataFrame, detail: str, seed: str | None = None, max_pages: int | None = None, base: str | None = None
+    docs: DataFrame,
+    roots: DataFrame,
+    detail: str | Column,
+    seed: str | Column | None = None,
+    max_pages: int | None = None,
+    base: str | Column | None = None,
 ) -> DataFrame:
-    """Detail links on the pages that a sitemap lists (all that pass ``seed``, or the first ``max_pages`` of them)."""
-    locs = F.regexp_extract_all("body", F.lit(page.LOC), F.lit(1))
+    """Detail links on the pages that a sitemap lists (all that pass ``seed``, or the first ``max_pages`` of them).
+
+    Where a pattern or base column is null, all pages pass and the sitemap's origin is the base.
+    """
+    named, own, locs = _addresses(docs), _own(roots), F.col("_locs")
     if seed is not None:
-        locs = F.filter(locs, lambda u: u.rlike(seed))
-    listed = roots.join(docs.select(F.col("url").alias("sitemap_url"), "body"), "sitemap_url").select(
-        "connector",
-        (F.lit(base) if base else urls.origin(F.col("sitemap_url"))).alias("_base"),
-        F.posexplode(locs if max_pages is None else F.slice(locs, 1, max_pages)).alias("_parent", "url"),
-    )
-    links = listed.join(docs, "url").select(
-        "connector", "_base", "_parent", F.posexplode(F.regexp_extract_all("body", F.lit(page.HREF), F.lit(1))).alias("_at", "_href")
+        locs = F.filter(locs, lambda u: F.coalesce(_matches(u, seed), F.lit(True)))
+    origin = urls.origin(F.col("sitemap_url"))
+    root = origin if base is None else F.lit(base) if isinstance(base, str) else F.coalesce(base, origin)
+    listed = roots.join(named.select(F.col("url").alias("sitemap_url"), "_locs"), "sitemap_url").select(
+        "connector", *own, root.alias("_base"), F.posexplode(locs if max_pages is None else F.slice(locs, 1, max_pages)).alias("_parent", "url")
     )
-    resolved = links.withColumn("url", urls.resolve(F.col("_href"), F.col("_base"))).where(F.col("url").rlike(detail))
-    return resolved.groupBy("connector", "url").agg(F.min(F.struct("_parent", "_at")).alias("position"))
+    links = listed.join(named.select("url", "_hrefs"), "url").select("connector", *own, "_base", "_parent", F.posexplode("_hrefs").alias("_at", "_href"))
+    return _first_places(links.withColumn("url", urls.resolve(F.col("_href"), F.col("_base"))).where(_matches(F.col("url"), detail)))
 
 
 def discover(
     docs: DataFrame,
     roots: DataFrame,
-    detail: str,
-    seed: str | None = None,
+    detail: str | Column,
+    seed: str | Column | None = None,
     departments: list[str] | None = None,
     max_pages: int | None = None,
-    base: str | None = None,
+    base: str | Column | None = None,
     max_children: int | None = None,
+    crawls: Column | None = None,
 ) -> DataFrame:
-    """Sitemap URLs, or harvested links for connectors whose sitemap names no detail page."""
+    """Sitemap URLs, or harvested links for connectors whose sitemap names no detail page.
+
+    ``crawls`` says which roots may be harvested; all may by default.
+    """
     direct = sitemap_urls(docs, roots, detail, max_children)
     without = roots.join(direct.select("connector").distinct(), "connector", "left_anti")
+    if crawls is not None:
+        without = without.where(crawls)
     found = direct.unionByName(harvest_links(docs, without, detail, seed, max_pages, base))
     return found.where(page.in_departments(F.col("url"), departments))
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scan_for_batch(listings: DataFrame, incoming: DataFrame, tenant: str = "user_id", source: str = "source_id") -> DataFrame:
+def scan_for_batch(listings: DataFrame, incoming: DataFrame, tenant: str | Sequence[str] = "user_id", source: str = "source_id") -> DataFrame:
     """Stored listings of the tenants and sources that occur in a batch."""
-    return listings.join(incoming.select(tenant, source).distinct(), [tenant, source], "left_semi")
+    scope = [*([tenant] if isinstance(tenant, str) else tenant), source]
+    return listings.join(incoming.select(*scope).distinct(), scope, "left_semi")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -92,7 +92,7 @@ def test_ingest_stream_keeps_the_tables_of_whole_plans(spark, tmp_path):
     rng = random.Random(4)
     stored = [listing(rng, 1000 + i, f"s{i % 4}", f"k{i}") for i in range(60)]
     batches = [
-        [listing(rng, 2000 + 100 * b + i, f"s{(b + i % 2) % 4}", f"k{rng.randrange(90)}") for i in range(14)] for b in range(3)
+        [listing(rng, 2000 + 100 * b + i, f"s{(b + i % 2) % 4}", f"k{rng.randrange(90)}") for i in range(14)] for b in range(2)
     ]
     listings = ingest.with_fingerprint(spark.createDataFrame(stored, LISTING)).withColumns(
         {"source_status": F.lit("active"), "disappeared": F.lit(False), "relevance_score": F.lit(0), **{c: F.lit(NOW) for c in ("first_seen_at", "last_seen_at", "last_changed_at")}}
