@@ -204,12 +204,13 @@ register(
     + """, seeds as (select connector, sitemap_url, unnest(locs) as url from (select l.*, r.sitemap_url from located l join site_roots r using (connector)) x
              where not exists (select 1 from direct d where d.connector = x.connector)),
         hrefs as (select s.connector, regexp_extract(s.sitemap_url, '^[a-z]+://[^/]+') as base, unnest(regexp_extract_all(p.body, '(?i)href=["'']([^"'']+)["'']', 1)) as href
-             from seeds s join sitemap_docs p on p.url = s.url),
+             from seeds s join site_docs p on p.url = s.url),
         found as (select connector, url from direct union select connector, case when href like 'http%' then href when href like '/%' then base || href else base || '/' || href end
              from hrefs where regexp_matches(case when href like 'http%' then href when href like '/%' then base || href else base || '/' || href end, '/(en|fr|de|es)/[0-9]+'))
-        select r.n as connector_id, f.url, sha256(d.body) as html_sha256 from found f join ranked r using (connector) join sitemap_docs d on d.url = f.url where r.n % 3 <> 2""",
+        select r.n as connector_id, f.url, sha256(d.body) as html_sha256 from found f join ranked r using (connector) join site_docs d on d.url = f.url where r.n % 3 <> 2""",
     "site_roots",
     "sitemap_docs",
+    "site_docs",
 )
 register(
     "PIPE-3.warnings",
