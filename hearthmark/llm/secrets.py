@@ -8,6 +8,15 @@ too; an equal layer of another place has finds of its own.  Every character of a
 layer knows the part of the original text it comes from, which maps each find
 back.
 
+Compressed bodies are unpacked as streams, through every member and every
+further compression, and scanned to their end in windows, so that memory stays
+bounded whatever a short text unpacks to; time follows the unpacked size.  A
+body that contains itself is met once: within one run the same body (for large
+ones, the same first ``WINDOW`` bytes) is not unpacked again.  Windows overlap
+and are cut at blanks; what a single unbroken run of more than ``WINDOW``
+characters of an unpacked body encodes is looked at in pieces, and the span is
+reported as kind "oversize" too.
+
 A null text counts as an empty one: no spans.  Rows repeat if their input rows
 repeat.  Texts without any candidate are passed by with one automaton per batch.
 """
@@ -17,11 +26,13 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +47,10 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 
-#: A compressed body may grow to so many bytes; one that goes on is scanned up to there and its span reported as kind "oversize".
-MAX_UNPACKED = 64 << 20
+#: Bytes of an unpacked body that are held at once, bytes that windows share, and bytes unpacked in a step.
+WINDOW, OVERLAP, STEP = 4 << 20, 1 << 16, 1 << 20
+#: Memory that an xz body may ask for.
+XZ_MEMORY = 64 << 20
 
 _ASSIGN, _ACCESS = re.compile(ASSIGN, re.ASCII), re.compile(ACCESS)
 _HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LENGTH)
@@ -61,19 +74,21 @@ def base_spans(text: str) -> list[Span]:
 
 
 class Layer:
-    """A text and, for each of its characters, the start and end of its origin."""
+    """A text and where it comes from: a range for each character, or one for all of them."""
 
-    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray) -> None:
+    def __init__(self, text: str, starts: np.ndarray | int, ends: np.ndarray | int) -> None:
         self.text, self.starts, self.ends = text, starts, ends
+        self.whole = not isinstance(starts, np.ndarray)
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
-        return int(self.starts[start]), int(self.ends[end - 1])
+        return (self.starts, self.ends) if self.whole else (int(self.starts[start]), int(self.ends[end - 1]))
 
-    def key(self) -> tuple[str, bytes]:
-        """The text and the places its characters come from."""
-        places = hashlib.blake2b(np.ascontiguousarray(self.starts), digest_size=16)
-        places.update(np.ascontiguousarray(self.ends))
-        return self.text, places.digest()
+    def key(self) -> tuple[bytes, bytes]:
+        """Digests of the text and of the places its characters come from."""
+        places = hashlib.blake2b(digest_size=16)
+        for part in (self.starts, self.ends):
+            places.update(repr(part).encode() if self.whole else np.ascontiguousarray(part))
+        return hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), places.digest()
 
 
 def _rewritten(layer: Layer, low: int, pieces: list[tuple[int, int, str]], high: int) -> Layer:
@@ -81,14 +96,15 @@ def _rewritten(layer: Layer, low: int, pieces: list[tuple[int, int, str]], high:
     text, starts, ends, at = [], [], [], low
     for s, e, new in pieces:
         text += [layer.text[at:s], new]
-        begin, stop = layer.origin(s, e)
-        starts += [layer.starts[at:s], np.full(len(new), begin)]
-        ends += [layer.ends[at:s], np.full(len(new), stop)]
+        if not layer.whole:
+            begin, stop = layer.origin(s, e)
+            starts += [layer.starts[at:s], np.full(len(new), begin)]
+            ends += [layer.ends[at:s], np.full(len(new), stop)]
         at = e
     text.append(layer.text[at:high])
-    starts.append(layer.starts[at:high])
-    ends.append(layer.ends[at:high])
-    return Layer("".join(text), np.concatenate(starts), np.concatenate(ends))
+    if layer.whole:
+        return Layer("".join(text), layer.starts, layer.ends)
+    return Layer("".join(text), np.concatenate([*starts, layer.starts[at:high]]), np.concatenate([*ends, layer.ends[at:high]]))
 
 
 def _escape_value(found: str) -> str | None:
@@ -123,34 +139,95 @@ def _percent_value(found: str) -> str | None:
         return None
 
 
-def _readable(data: bytes) -> str | None:
-    """The text that the bytes are, unless they look like no text at all."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
+def _readable(text: str) -> bool:
+    """Whether a text looks like one."""
     good = sum(c.isprintable() or c in "\t\r\n" for c in text)
-    return text if text and good >= 0.95 * len(text) else None
-
-
-def _unpacked(data: bytes) -> tuple[bytes | None, bool]:
-    """The body of compressed data, and whether it went on beyond the bound."""
-    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0):
-        engine, failure = zlib.decompressobj(47), zlib.error
-        unused = lambda: bool(engine.unconsumed_tail)
-    elif data[:3] == b"BZh":
-        engine, failure = bz2.BZ2Decompressor(), OSError
-        unused = lambda: not engine.eof and not engine.needs_input
-    elif data[:6] == b"\xfd7zXZ\x00":
-        engine, failure = lzma.LZMADecompressor(memlimit=MAX_UNPACKED), lzma.LZMAError
-        unused = lambda: not engine.eof and not engine.needs_input
-    else:
-        return None, False
+    return bool(text) and good >= 0.95 * len(text)
+
+
+def _engine(head: bytes):
+    """A new decompressor for data that begin like this, or none."""
+    if head[:2] == b"\x1f\x8b" or (head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=XZ_MEMORY)
+    return None
+
+
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What compressed chunks unpack to, member after member, in steps; ends where they are broken."""
+    engine, held = None, b""
+    for chunk in chunks:
+        held += chunk
+        while held:
+            if engine is None and (engine := _engine(held)) is None:
+                return
+            try:
+                if isinstance(engine, type(zlib.decompressobj())):
+                    out, held = engine.decompress(held, STEP), b""
+                    rest = engine.unconsumed_tail
+                else:
+                    out, rest = engine.decompress(held, STEP), b""
+                    held = b""
+                    while not engine.eof and not engine.needs_input:
+                        yield out
+                        out = engine.decompress(b"", STEP)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError):
+                return
+            if out:
+                yield out
+            held = engine.unused_data if engine.eof else rest
+            if engine.eof:
+                engine = None
+
+
+def _unpacked(chunks: Iterator[bytes], seen: set[tuple[int, bytes]]) -> Iterator[bytes]:
+    """The chunks after every compression is undone; nothing if they were unpacked before."""
+    while True:
+        head = b""
+        for chunk in chunks:
+            head += chunk
+            if len(head) > WINDOW:
+                break
+        key = (min(len(head), WINDOW + 1), hashlib.blake2b(head[:WINDOW], digest_size=16).digest())
+        if key in seen:
+            return
+        seen.add(key)
+        rest, chunks = chunks, itertools.chain([head], chunks)
+        if _engine(head) is None:
+            break
+        inner = _inflated(chunks)
+        first = next(inner, None)
+        if first is None:  # it only begins like compressed data
+            chunks = itertools.chain([head], rest)
+            break
+        chunks = itertools.chain([first], inner)
+    yield from chunks
+
+
+def _windows(chunks: Iterator[bytes], oversize: Callable[[], None]) -> Iterator[str]:
+    """The text of the chunks in windows that end at a blank where there is one; ends where it stops being text."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")(), ""
     try:
-        body = engine.decompress(data, MAX_UNPACKED)
-    except failure:
-        return None, False
-    return body, unused()
+        for chunk in chunks:
+            held += decoder.decode(chunk)
+            while len(held) > WINDOW:
+                cut = max(held.rfind(" ", WINDOW - OVERLAP, WINDOW), held.rfind("\n", WINDOW - OVERLAP, WINDOW))
+                if cut < 0:
+                    cut = WINDOW
+                    oversize()
+                if not _readable(held[:cut]):
+                    return
+                yield held[:cut]
+                # a find across the cut is whole in the next window
+                held = held[cut - min(cut, OVERLAP) // 4 * 4 :]
+        held += decoder.decode(b"", True)
+    except UnicodeDecodeError:
+        return
+    if _readable(held):
+        yield held
 
 
 def _decoded(layer: Layer, oversize: list[Span]) -> Iterator[Layer]:
@@ -164,31 +241,32 @@ def _decoded(layer: Layer, oversize: list[Span]) -> Iterator[Layer]:
         except binascii.Error:
             continue
         begin, stop = layer.origin(m.start(), m.end())
-        while True:
-            body, more = _unpacked(data)
-            if more:
-                oversize.append(("oversize", begin, stop))
-            if body is None:
-                break
-            data = body
-        if (text := _readable(data)) is not None:
-            yield Layer(text, np.full(len(text), begin), np.full(len(text), stop))
+        for text in _windows(_unpacked(iter([data]), set()), lambda: oversize.append(("oversize", begin, stop))):  # noqa: B023
+            yield Layer(text, begin, stop)
+
+
+def _inside(layer: Layer, oversize: list[Span]) -> Iterator[Layer]:
+    """The layers that one unwrapping of a layer gives."""
+    yield from _unescaped(layer, _PERCENT, _percent_value)
+    yield from _unescaped(layer, _ESCAPE, _escape_value)
+    yield from _decoded(layer, oversize)
 
 
 def scan_text(text: str) -> list[tuple[str, int, int, bool]]:
     """All spans ``(kind, start, end, nested)`` of one text, by start, then kind, base finds first."""
     found = {(kind, s, e): False for kind, s, e in base_spans(text)}
     whole = Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))
-    seen, work, oversize = {whole.key()}, [whole], []
+    seen, oversize = {whole.key()}, []
+    work = [_inside(whole, oversize)]  # one iterator per depth: a layer is dropped before the next one is made
     while work:
-        layer = work.pop()
-        for unwrapped in (*_unescaped(layer, _PERCENT, _percent_value), *_unescaped(layer, _ESCAPE, _escape_value), *_decoded(layer, oversize)):
-            if (key := unwrapped.key()) in seen:
-                continue
+        unwrapped = next(work[-1], None)
+        if unwrapped is None:
+            work.pop()
+        elif (key := unwrapped.key()) not in seen:
             seen.add(key)
-            work.append(unwrapped)
             for kind, s, e in base_spans(unwrapped.text):
                 found.setdefault((kind, *unwrapped.origin(s, e)), True)
+            work.append(_inside(unwrapped, oversize))
     for span in oversize:
         found.setdefault(span, True)
     order = {kind: k for k, kind in enumerate(KINDS)}
