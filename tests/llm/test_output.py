@@ -141,5 +141,5 @@ def test_pipeline_stages(spark, tmp_path):
 def test_registered_queries():
     found = queries.all_queries()
     numbers = [int(re.match(r"op(\d+)_", name).group(1)) for name in found if name.startswith("op")]
-    assert sorted(numbers) == [*range(1, 11)] and "pipeline" in found
+    assert sorted(numbers) == [*range(1, 14)] and "pipeline" in found
     assert set(queries.all_oracles()) <= set(found)
