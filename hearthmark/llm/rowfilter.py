@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthmark.llm import textops
+
 #: Bits of the field: four megabytes, whatever the data.
 BITS = 1 << 25
 
@@ -67,7 +69,7 @@ def possible(df: DataFrame, key: str, bits: Callable[[], np.ndarray]) -> DataFra
             if chosen.any():
                 yield pa.RecordBatch.from_arrays(batch.filter(pa.array(chosen)).columns[:-1], names=schema.names)
 
-    return df.withColumn("_slot", slot(key)).mapInArrow(run, schema)
+    return df.withColumn(textops.free_names(df.columns, "slot")[0], slot(key)).mapInArrow(run, schema)
 
 
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -82,5 +84,5 @@ def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
             rest = batch.filter(pa.array(~passing(batch.column(batch.num_columns - 1), bits())))
             yield pa.RecordBatch.from_arrays(rest.columns[:-1], names=schema.names)
 
-    clear = df.withColumn("_slot", slot(key)).mapInArrow(run, schema)
+    clear = df.withColumn(textops.free_names(df.columns, "slot")[0], slot(key)).mapInArrow(run, schema)
     return clear.unionByName(possible(df, key, bits).join(keys.select(key), key, "left_anti").select(df.columns))

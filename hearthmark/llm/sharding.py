@@ -1,28 +1,48 @@
 """Operator 9: shards by best-fit-decreasing bin packing.
 
-Rows with equal texts form a group that is never split.  Groups that matter for
-the balance (at least ``1 / (shards * grain)`` of all bytes, hence at most
-``shards * grain`` groups) are packed one by one; all smaller ones are first
-joined into at most ``shards * grain`` parcels by their hash.  The packing
-itself sees these items only, so its size does not depend on the data.  Items
-go by falling size into the bin with the tightest remaining capacity, which a
-balanced tree finds.
-
-A null text has no bytes and forms one group.  An empty table gives no rows.
-Repeated rows are rows of their own.  Input columns that have the name of an
-added column are replaced.
+Rows with equal texts form a group that is never split.  Every group is an
+item of the packing, whatever its size.  Groups of equal size are alike to the
+packing, so it works on (size, number of groups): the bin with the tightest
+remaining capacity, which a balanced tree finds, stays the tightest while it
+takes more items of that size, hence takes as many as fit at once.  The result
+is that of best fit decreasing item by item.  There are at most
+``sqrt(2 * bytes)`` different sizes, as their sum is at most the bytes of all
+rows; only they reach the driver.  Groups get their bin by their rank among
+the groups of their size.
+
+A null text has no bytes and forms one group.  Texts may have any length, only
+sizes and hashes of them are moved.  An empty table gives no rows.  Repeated
+rows are rows of their own.  Input columns that have the name of an added
+column are replaced, all others stay as they are.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from hearthmark.llm import textops
+from hearthmark.session import checkpointed
 
 ROW_BYTES = 8
 PIECE_ROWS = 100_000
+#: Groups with at least this part of all rows are placed by a broadcast table.
+HOT_PARTS = 1000
+#: Rows of 40 bytes up to which the table of runs is broadcast.
+BROADCAST_RUNS = 1_000_000
+
+
+class Run(NamedTuple):
+    """Items ``first`` to ``first + count - 1`` of a size: ``each`` of them to a bin, from ``bin`` on."""
+
+    size: int
+    first: int
+    count: int
+    bin: int
+    each: int
 
 
 @dataclass(slots=True)
@@ -107,50 +127,73 @@ class Bins:
         return _fixed(node)
 
 
-def pack(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """Bin of every item, the items sorted by falling size; None if more than ``most`` bins are needed.
+def pack(classes: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[Run] | None:
+    """Runs of items for (size, count) pairs sorted by falling size; None if more than ``most`` bins are needed.
 
     An item larger than the capacity gets a bin of its own.
     """
-    bins, used, place = Bins(), 0, []
-    for size in sizes:
-        found = bins.take(size)
-        if found is None:
-            found, used = (max(capacity, size), used), used + 1
-            if most is not None and used > most:
-                return None
-        bins.add((found[0] - size, found[1]))
-        place.append(found[1])
-    return place
+    bins, used, runs = Bins(), 0, []
+    for size, count in classes:
+        first = 0
+        while first < count:
+            found = bins.take(size)
+            if found is None:
+                each = max(1, capacity // size)
+                opened = -(-(count - first) // each)
+                if most is not None and used + opened > most:
+                    return None
+                runs.append(Run(size, first, count - first, used, each))
+                last = count - first - (opened - 1) * each
+                for number in range(used, used + opened):
+                    taken = last if number == used + opened - 1 else each
+                    bins.add((max(capacity, size) - taken * size, number))
+                used, first = used + opened, count
+            else:
+                taken = min(count - first, found[0] // size)
+                runs.append(Run(size, first, taken, found[1], taken))
+                bins.add((found[0] - taken * size, found[1]))
+                first += taken
+    return runs
 
 
-def balanced(sizes: list[int], shards: int) -> list[int]:
-    """Bins 0..shards-1 for items sorted by falling size, packed under the least capacity that suffices.
+def balanced(classes: list[tuple[int, int]], shards: int) -> list[Run]:
+    """Runs in bins 0..shards-1 for (size, count) pairs sorted by falling size, under the least capacity that suffices.
 
     Items above the even share of what is left get a bin of their own first.
     """
-    alone, rest = 0, sum(sizes)
-    while alone < min(len(sizes), shards - 1) and sizes[alone] * (shards - alone) >= rest:
-        rest -= sizes[alone]
-        alone += 1
-    left, bins = sizes[alone:], shards - alone
-    low = max([-(-rest // bins), *left[:1]])
-    high = max(low, 2 * low)
-    best = pack(left, high, bins)
+    left, rest, alone = [], sum(size * count for size, count in classes), []
+    for size, count in classes:
+        own = 0
+        while not left and own < count and len(alone) < shards - 1 and size * (shards - len(alone)) >= rest:
+            rest -= size
+            alone.append(Run(size, own, 1, len(alone), 1))
+            own += 1
+        if own < count:
+            left.append((size, count - own, own))
+    if not left:
+        return alone
+    items, bins = [(size, count) for size, count, _ in left], shards - len(alone)
+    low = max(-(-rest // bins), items[0][0])
+    high = 2 * low
+    best = pack(items, high, bins)
     while best is None:
         high *= 2
-        best = pack(left, high, bins)
+        best = pack(items, high, bins)
     while low < high:
         middle = (low + high) // 2
-        found = pack(left, middle, bins)
+        found = pack(items, middle, bins)
         if found is None:
             low = middle + 1
         else:
             best, high = found, middle
-    return [*range(alone), *(alone + b for b in best)]
+    # only the first class that is left can have lost items to bins of their own
+    size, _, own = left[0]
+    return alone + [
+        Run(r.size, r.first + (own if r.size == size else 0), r.count, r.bin + len(alone), r.each) for r in best
+    ]
 
 
-def shard(df: DataFrame, shards: int = 24, capacity: int | None = None, text: str = "text", order: str = "doc_id", grain: int = 256) -> DataFrame:
+def shard(df: DataFrame, shards: int = 24, capacity: int | None = None, text: str = "text", order: str = "doc_id") -> DataFrame:
     """Add ``size``, ``text_crc32``, ``shard`` and ``slot`` to every row.
 
     With ``capacity`` the number of shards is what best fit needs for shards of
@@ -158,50 +201,48 @@ def shard(df: DataFrame, shards: int = 24, capacity: int | None = None, text: st
     Slots count the rows of a shard from 0, without gaps.
     """
     session = df.sparkSession
+    given = df.drop("size", "text_crc32", "shard", "slot")
+    group, piece = textops.free_names(given.columns, "group", "piece")
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    sized = df.drop("size", "text_crc32", "shard", "slot").select(
-        "*", (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(text).alias("_group")
+    sized = given.select(
+        "*", (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(text).alias(group)
     )
-    groups = sized.groupBy("_group").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
-    total = groups.agg(F.sum("_bytes").alias("b"), F.sum("_rows").alias("n"), F.max("_bytes").alias("m")).first()
-    parcels = shards * grain
-    if capacity is not None and total["b"]:
-        parcels = max(parcels, -(-total["b"] // capacity) * grain)
-    cut = -(-(total["b"] or 0) // parcels)
-    parcel = F.pmod(F.hash("_group"), F.lit(parcels))
-    items = (
-        groups.select((F.col("_bytes") >= cut).alias("large"), "_group", "_bytes")
-        .groupBy("large", F.when(F.col("large"), F.col("_group")).otherwise(parcel.cast("long")).alias("item"))
-        .agg(F.sum("_bytes").alias("bytes"))
-        .collect()  # at most two times ``parcels`` rows
+    # read again for the sizes, the ranks and the bins: three numbers per distinct text
+    groups = checkpointed(sized.groupBy(F.col(group).alias("group")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")))
+    classes = [(r.bytes, r.n) for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).collect()]  # see the module text for their bound
+    classes.sort(reverse=True)
+    n_groups, n_rows = sum(n for _, n in classes), groups.agg(F.sum("rows")).first()[0] or 0
+    runs = balanced(classes, shards) if capacity is None else pack(classes, capacity)
+    table = session.createDataFrame(
+        [(r.size, r.first, r.count, r.bin, r.each) for r in runs], "bytes long, first long, count long, bin long, each long"
     )
-    items.sort(key=lambda x: (-x["bytes"], not x["large"], x["item"]))
-    sizes = [x["bytes"] for x in items]
-    place = balanced(sizes, shards) if capacity is None else pack(sizes, capacity)
-    table = "_item long, shard int"
-    large = session.createDataFrame([(x["item"], b) for x, b in zip(items, place, strict=True) if x["large"]], table)
-    small = session.createDataFrame([(x["item"], b) for x, b in zip(items, place, strict=True) if not x["large"]], table)
-    # both tables have at most ``parcels`` rows by construction
-    placed = (
-        sized.join(F.broadcast(large.select(F.col("_item").alias("_group"), F.col("shard").alias("_one"))), "_group", "left")
-        .withColumn("_item", parcel.cast("long"))
-        .join(F.broadcast(small.select("_item", F.col("shard").alias("_two"))), "_item", "left")
-        .withColumn("shard", F.coalesce("_one", "_two"))
+    ranked = _numbered(
+        groups.withColumn("piece", F.pmod(F.xxhash64("group"), F.lit(max(8, -(-n_groups // PIECE_ROWS)))).cast("int")), "bytes", "piece", ["group"], "rank"
     )
-    pieces = max(8, -(-(total["n"] or 0) // (shards * PIECE_ROWS)))
-    cutted = placed.withColumn("_piece", F.pmod(F.xxhash64(order, "_group"), F.lit(pieces)).cast("int"))
-    return _numbered(cutted, order).drop("_item", "_one", "_two", "_group", "_piece", "_before")
-
-
-def _numbered(df: DataFrame, order: str) -> DataFrame:
-    """Slots by piece, then by the order column: pieces are counted first, then numbered apart from each other."""
-    from pyspark.sql import Window
-
-    counts = df.groupBy("shard", "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("shard", "_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("shard", "_piece").orderBy(F.col(order), "_group")
-    return df.join(before, ["shard", "_piece"]).withColumn("slot", (F.row_number().over(inside) - 1 + F.col("_before")).cast(T.LongType()))
+    inside = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("count"))
+    small = len(runs) <= BROADCAST_RUNS
+    placed = ranked.join(F.broadcast(table) if small else table, "bytes").where(inside)
+    placed = placed.select(
+        F.col("group").alias(group), (F.col("bin") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).cast("int").alias("shard"), "rows"
+    )
+    # at most HOT_PARTS groups can hold so many rows; theirs are placed without a shuffle by group
+    hot = placed.where(F.col("rows") * HOT_PARTS >= n_rows).drop("rows")
+    cold = placed.where(F.col("rows") * HOT_PARTS < n_rows).drop("rows")
+    known = sized.join(F.broadcast(hot), group, "left")
+    rows = known.where(F.col("shard").isNotNull()).unionByName(known.where(F.col("shard").isNull()).drop("shard").join(cold, group))
+    pieces = max(8, -(-n_rows // (shards * PIECE_ROWS)))
+    cutted = rows.withColumn(piece, F.pmod(F.xxhash64(order, group), F.lit(pieces)).cast("int"))
+    return _numbered(cutted, "shard", piece, [order, group], "slot").drop(group, piece)
+
+
+def _numbered(df: DataFrame, key: str, piece: str, order: list[str], name: str) -> DataFrame:
+    """Rows of a key counted from 0 as ``name``: pieces are counted first, then numbered apart from each other."""
+    n, before = textops.free_names([*df.columns, name], "n", "before")
+    counts = df.groupBy(key, piece).agg(F.count(F.lit(1)).alias(n))
+    earlier = Window.partitionBy(key).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(key, piece, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    inside = Window.partitionBy(key, piece).orderBy(*order)
+    return df.join(starts, [key, piece]).withColumn(name, (F.row_number().over(inside) - 1 + F.col(before)).cast("long")).drop(before)
 
 
 def placement(df: DataFrame, shards: int = 24) -> DataFrame:

@@ -8,7 +8,7 @@ step loops over words in Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that are not taken, whatever the case of letters."""
+    lower, found = {c.lower() for c in taken}, []
+    for name in wanted:
+        while (name := f"_{name}").lower() in lower:
+            pass
+        found.append(name)
+    return found
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and ``n + 1`` row offsets; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):

@@ -29,24 +29,66 @@ def test_tree_finds_the_tightest_bin():
     assert bins.root is None or bins.root.height < 20
 
 
+def best_fit(sizes, capacity):
+    """Best fit decreasing item by item: remaining capacity of each bin and the bin of each item."""
+    rest, place = [], []
+    for size in sorted(sizes, reverse=True):
+        fits = [(r, i) for i, r in enumerate(rest) if r >= size]
+        number = min(fits)[1] if fits else len(rest)
+        if not fits:
+            rest.append(max(capacity, size))
+        rest[number] -= size
+        place.append(number)
+    return place
+
+
+def bins_of(runs):
+    """Bin of every item, by falling size and then by rank."""
+    return [r.bin + k // r.each for r in sorted(runs, key=lambda r: (-r.size, r.first)) for k in range(r.count)]
+
+
+def classes_of(sizes):
+    return sorted(Counter(sizes).items(), reverse=True)
+
+
 def test_packing():
-    assert sharding.pack([6, 5, 4, 3, 2], 10) == [0, 1, 0, 1, 1]
-    assert sharding.pack([12, 3], 10) == [0, 1]
-    assert sharding.pack([6, 5, 4, 3, 2], 10, most=1) is None
-    place = sharding.balanced([50, 9, 8, 7, 6, 5, 4, 3], 4)
+    assert bins_of(sharding.pack(classes_of([6, 5, 4, 3, 2]), 10)) == [0, 1, 0, 1, 1]
+    assert bins_of(sharding.pack(classes_of([12, 3]), 10)) == [0, 1]
+    assert sharding.pack(classes_of([6, 5, 4, 3, 2]), 10, most=1) is None
+    place = bins_of(sharding.balanced(classes_of([50, 9, 8, 7, 6, 5, 4, 3]), 4))
     load = Counter()
     for size, shard in zip([50, 9, 8, 7, 6, 5, 4, 3], place):
         load[shard] += size
     assert load[0] == 50 and sorted(load[k] for k in (1, 2, 3)) == [14, 14, 14]
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_packing_by_size_is_best_fit_item_by_item(seed):
+    rng = random.Random(seed)
+    sizes = sorted((rng.randint(1, rng.choice([6, 40, 130])) for _ in range(rng.randint(1, 300))), reverse=True)
+    capacity = rng.randint(5, 150)
+    assert bins_of(sharding.pack(classes_of(sizes), capacity)) == best_fit(sizes, capacity)
+
+
+@pytest.mark.parametrize(("sizes", "shards"), [([], 3), ([7], 3), ([8] * 50, 4), ([90, 90, 90, 1, 1], 3), ([40] * 3 + [1] * 100, 5)])
+def test_balanced_loads(sizes, shards):
+    place = bins_of(sharding.balanced(classes_of(sizes), shards))
+    assert len(place) == len(sizes) and all(0 <= b < shards for b in place)
+    load = Counter()
+    for size, number in zip(sizes, place, strict=True):
+        load[number] += size
+    assert max(load.values(), default=0) <= max([-(-sum(sizes) // shards) + max(sizes, default=0), *sizes])
+
+
 def test_shards(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(i, rng.choice(["x" * 40, "ünï" * 3, None, ""]) if rng.random() < 0.4 else f"t{i}" * rng.randint(1, 40)) for i in range(900)]
     rows += rows[:3] + [(None, "no id")]
-    df = spark.createDataFrame([(*r, "own") for r in rows], "doc_id long, text string, slot string").repartition(4)
-    for grain in (256, 2):
-        found = sharding.shard(df, 5, grain=grain).collect()
+    df = spark.createDataFrame([(*r, "own", "x", 1, 2) for r in rows], "doc_id long, text string, slot string, _GROUP string, _piece int, _n int").repartition(4)
+    for parts in (1000, 1):
+        monkeypatch.setattr(sharding, "HOT_PARTS", parts)
+        found = sharding.shard(df, 5).collect()
+        assert all((r._GROUP, r._piece, r._n) == ("x", 1, 2) for r in found)
         assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted(rows, key=str)
         load, slots, homes = Counter(), defaultdict(list), defaultdict(set)
         for r in found:
@@ -58,7 +100,18 @@ def test_shards(spark, monkeypatch):
         assert all(len(h) == 1 for h in homes.values())
     largest = max(sum(r.size for r in found if r.text == t) for t in homes)
     assert max(load.values()) <= max(1.1 * sum(load.values()) / 5, largest)
+    size_of = Counter()
+    for _, t in rows:
+        size_of[t] += len((t or "").encode()) + 8
+    monkeypatch.setattr(sharding, "BROADCAST_RUNS", 0)
     fixed = sharding.shard(df, capacity=2000).collect()
+    want, sizes = defaultdict(list), sorted(size_of.values(), reverse=True)
+    for size, number in zip(sizes, best_fit(sizes, 2000)):
+        want[number].append(size)
+    held = defaultdict(set)
+    for r in fixed:
+        held[r.shard].add(r.text)
+    assert {k: sorted(size_of[t] for t in v) for k, v in held.items()} == {k: sorted(v) for k, v in want.items()}
     load = Counter()
     for r in fixed:
         load[r.shard] += r.size
