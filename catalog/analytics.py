@@ -38,12 +38,12 @@ register(
     "FLT-1",
     lambda t: text_of(
         reports.search_listings(
-            t("listings").withColumn("city", F.col("source_id")), _statuses(t), query=" Th", status="contactee", order="price_desc"
-        ).select("id", "title", "price", "last_changed_at"),
+            t("listings"), _statuses(t), query=" On", status="contactee", order="price_desc"
+        ).select("id", "title", "city", "price", "last_changed_at"),
         "last_changed_at",
     ),
-    f"""select id, title, price, cast(last_changed_at as varchar) as last_changed_at from listings
-        where contains(lower(coalesce(title, '') || ' ' || source_id), 'th')
+    f"""select id, title, city, price, cast(last_changed_at as varchar) as last_changed_at from listings
+        where contains(lower(coalesce(title, '') || ' ' || coalesce(city, '')), 'on')
           and id in (select listing_id from ({STATUS_SQL}) s where status = 'contactee')
         order by price desc nulls last, id""",
     "listings",

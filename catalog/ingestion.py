@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from catalog.analytics import NOW, now, text_of
@@ -11,7 +13,7 @@ from catalog.registry import fnv_sql, fold_sql, half_up_sql, number_text_sql, pa
 from hearthmark.functions import listing, urls
 from hearthmark.operators import market, runs, visibility
 from hearthmark.operators.matching import canonical_edges
-from hearthmark.plans import ingest, normalise
+from hearthmark.plans import export, ingest, normalise
 from hearthmark.sources import feeds, tables, transactions
 
 FIELD_MAP = {
@@ -438,22 +440,60 @@ register(
 )
 
 
+_VIEWER = 2
+_PUBLIC = "(select search_id from searches where is_public)"
+_READABLE = f"(select search_id from searches where is_public union select search_id from shares where shared_with = {_VIEWER})"
+_BY_LISTING = f"in (select id from listings where search_id in {_PUBLIC})"
+_EXPORT_RULES = {
+    "searches": f"user_id = {_VIEWER} or search_id in {_READABLE}",
+    "listings": f"user_id = {_VIEWER} or search_id in {_READABLE}",
+    "shares": f"owner_id = {_VIEWER} or shared_with = {_VIEWER}",
+    "price_points": f"user_id = {_VIEWER} or listing_id {_BY_LISTING}",
+    "edges": f"user_id = {_VIEWER} or a {_BY_LISTING}",
+    "versions": f"listing_id in (select id from listings where user_id = {_VIEWER})",
+    **dict.fromkeys(("notifications", "run_rows", "connectors", "preferences", "subscriptions"), f"user_id = {_VIEWER}"),
+    "qualification_log": f"listing_id in (select id from listings where user_id = {_VIEWER})",
+}
+# every column of every table in its order; fractions end in #
+_EXPORTED = {
+    "searches": "search_id user_id name price_min# price_max# surface_min# surface_max# rooms_min rooms_max property_types keywords_required "
+    "keywords_excluded center_lat# center_lng# radius_km# has_polygon frequency active last_run_at is_public source_ids",
+    "listings": "id user_id search_id source_id external_id url title description price# surface_m2# rooms property_type lat# lng# "
+    "contact_name postal_code city phash last_changed_at",
+    "shares": "share_id search_id owner_id shared_with role created_at",
+    "price_points": "listing_id observed_at price# tiebreak user_id",
+    "edges": "a b score bucket seq user_id",
+    "versions": "listing_id captured_at tiebreak price# surface_m2# rooms bedrooms title description media_count source_status",
+    "notifications": "notification_id user_id event_type created_at listing_id dispatched_at read_at title",
+    "run_rows": "run_id search_id user_id run_trigger status created_at started_at finished_at added updated warnings",
+    "connectors": "connector_id user_id source_id label enabled mode config",
+    "preferences": "user_id has_webhook webpush_enabled",
+    "subscriptions": "subscription_id user_id",
+    "qualification_log": "seq listing_id at action status tag verified anomaly_count",
+}
+
+
 def _export(t):
-    """JSON export of what one user may read, read back."""
-    viewer = F.lit(2)
-    listings = visibility.visible_listings(t("listings").drop("phash"), t("searches"), t("shares"), viewer)
-    spark = listings.sparkSession
+    """Export of all tables that one user may read, read back; a row is the digest of all its columns."""
+    given = {n: t(n) for n in _EXPORTED}
+    given["price_points"] = given["price_points"].withColumn("user_id", F.col("listing_id") % 5)
+    given["edges"] = given["edges"].withColumn("user_id", F.col("a") % 5)
+    spark = given["listings"].sparkSession
     folder = tables.shared_folder(spark)
-    tables.export_json({"listings": listings.select("id", "source_id", "title", "price")}, folder)
-    return spark.read.schema("id bigint, source_id string, title string, price double").json(f"{folder}/listings")
+    export.export_tenant(given, F.lit(_VIEWER), folder)
+    parts = []
+    for name, rows in export.read_export(spark, folder).items():
+        shown = [F.col(f.name).cast("decimal(24,6)") if f.dataType.typeName() == "double" else F.col(f.name) for f in rows.schema]
+        line = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in shown])
+        parts.append(rows.select(F.lit(name).alias("table_name"), F.md5(line).alias("row_md5")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-register(
-    "SRC-7",
-    _export,
-    """select id, source_id, title, price from listings where user_id = 2
-         or search_id in (select search_id from searches where is_public union select search_id from shares where shared_with = 2)""",
-    "listings",
-    "searches",
-    "shares",
-)
+def _export_sql(name, columns):
+    shown = [f"cast({c[:-1]} as decimal(24,6))" if c.endswith("#") else f'"{c}"' for c in columns.split()]
+    line = ", ".join(f"coalesce(cast({c} as varchar), '~')" for c in shown)
+    owner = {"price_points": ", listing_id % 5 as user_id", "edges": ", a % 5 as user_id"}.get(name, "")
+    return f"select '{name}' as table_name, md5(concat_ws('|', {line})) as row_md5 from (select *{owner} from {name}) x where {_EXPORT_RULES[name]}"
+
+
+register("SRC-7", _export, " union all ".join(_export_sql(n, c) for n, c in _EXPORTED.items()), *_EXPORTED)

@@ -1,4 +1,4 @@
-"""State tables: scoped scans, shared folders and exports."""
+"""State tables: scoped scans and shared folders."""
 
 from __future__ import annotations
 
@@ -23,9 +23,3 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="hearthmark-")
     return f"{base}/{uuid.uuid4()}"
-
-
-def export_json(tables: dict[str, DataFrame], path: str) -> None:
-    """JSON lines per table."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").json(f"{path}/{name}")
