@@ -1,13 +1,28 @@
 """Operator 3: quality rules, line first.
 
-Every line is judged by itself: does it end like a sentence, does it look like
+Every line is judged: does it end like a sentence, does it look like
 navigation, is it boilerplate?  Lines that fail are removed, and a document
 that loses too much of its text this way is rejected.  All rules of a batch
 are counts over its bytes, so nothing is shuffled and rows do not influence
 each other.
 
+A line is *unended* if its last character does not end a sentence and none of
+``.``, ``!`` and ``?`` stands before a blank in it.  Of the lines with a word
+these fail:
+
+* punctuation: an unended line of ``unended_words`` or more;
+* navigation: an unended line in a run of ``menu_run`` or more such lines, as in
+  a menu of one entry a line; an unended line of ``title_words`` or more words
+  most of which begin with a capital; a line with many separators; a short
+  line that begins like a control of a page ("skip to content");
+* boilerplate: a line with a phrase of legal or cookie notices;
+* symbols, shouting, and a line equal to an earlier one of its text.
+
+A heading between sentences stands alone and passes.
+
 A null text counts as one without words.  A text without words fails the base
 rules.  Rows repeat if their input rows repeat; other columns stay as they are.
+Texts may have any length and are read whole; one text is one item of work.
 """
 
 from __future__ import annotations
@@ -27,20 +42,75 @@ SYMBOLS = b"#*$%&|<>"
 SENTENCE_ENDS = b".!?:;)\"'"
 SENTENCE_ENDS_WIDE = ("…", "。", "！", "？", "”", "’", "»")
 SEPARATORS = b"|>"
+SEPARATORS_WIDE = ("·", "•", "›")
 # Phrases of boilerplate lines, lower case.
-PHRASES = (
-    b"all rights reserved",
-    b"cookie policy",
-    b"accept cookies",
-    b"use cookies",
-    b"enable javascript",
-    b"privacy policy",
-    b"terms of service",
-    b"terms of use",
-    b"terms and conditions",
-    b"lorem ipsum",
-    b"subscribe to our newsletter",
-    b"click here",
+PHRASES = tuple(
+    phrase.encode()
+    for phrase in (
+        "all rights reserved",
+        "cookie policy",
+        "accept cookies",
+        "accept all cookies",
+        "use cookies",
+        "uses cookies",
+        "cookie settings",
+        "enable javascript",
+        "privacy policy",
+        "terms of service",
+        "terms of use",
+        "terms and conditions",
+        "lorem ipsum",
+        "subscribe to our newsletter",
+        "sign up for our newsletter",
+        "click here",
+        "powered by wordpress",
+        "this site is protected by recaptcha",
+        "unsubscribe at any time",
+        "tous droits réservés",
+        "politique de confidentialité",
+        "mentions légales",
+        "conditions générales d'utilisation",
+        "utilise des cookies",
+        "accepter les cookies",
+        "alle rechte vorbehalten",
+        "datenschutzerklärung",
+        "allgemeine geschäftsbedingungen",
+        "verwendet cookies",
+        "cookies akzeptieren",
+        "todos los derechos reservados",
+        "política de privacidad",
+        "política de cookies",
+        "utiliza cookies",
+        "aceptar cookies",
+        "aviso legal",
+    )
+)
+# How short lines of page controls begin, lower case.
+CONTROLS = tuple(
+    start.encode()
+    for start in (
+        "skip to content",
+        "skip to main content",
+        "back to top",
+        "read more",
+        "load more",
+        "share this",
+        "share on",
+        "follow us",
+        "log in",
+        "sign in",
+        "sign up",
+        "add to cart",
+        "leave a comment",
+        "previous post",
+        "next post",
+        "retour en haut",
+        "lire la suite",
+        "nach oben",
+        "weiterlesen",
+        "volver arriba",
+        "leer más",
+    )
 )
 
 
@@ -50,14 +120,22 @@ class Rules:
 
     min_words: int = 50
     max_repeat_share: float = 0.5
-    #: a line that neither ends like a sentence nor holds one fails if it has so many words at least
+    #: an unended line fails if it has so many words at least
     unended_words: int = 12
+    #: unended lines fail if so many follow each other, lines without a word left out
+    menu_run: int = 4
+    #: an unended line of so many words fails if more than this share of them begin with a capital
+    title_words: int = 5
+    max_title_share: float = 0.8
+    #: a line of at most so many words fails if it begins like a page control
+    control_words: int = 6
     max_separator_share: float = 0.15
     max_symbol_share: float = 0.1
     max_upper_share: float = 0.6
     upper_letters: int = 20
     max_lost_share: float = 0.5
     phrases: tuple[bytes, ...] = field(default=PHRASES)
+    controls: tuple[bytes, ...] = field(default=CONTROLS)
 
 
 def _is_in(chars: bytes) -> np.ndarray:
@@ -140,21 +218,64 @@ class Measures:
         letter = upper | ((body >= 97) & (body <= 122)) | ~char | (body >= 0xC0)
         letters = _between(letter & char, s, e)
         chars = np.maximum(self.line_chars, 1)
-        ended |= _between((body == 46) | (body == 33) | (body == 63), s, e) > 0
-        failed = ~ended & (words >= rules.unended_words)
-        failed |= _between(_SEPARATOR[body], s, e) > rules.max_separator_share * np.maximum(words, 1)
+        mark = np.zeros(len(body), bool)
+        if len(body):
+            mark[:-1] = ((body == 46) | (body == 33) | (body == 63))[:-1] & textops._SPACE[body[1:]]
+        unended = ~ended & (_between(mark, s, e) == 0) & (words > 0)
+        failed = unended & (words >= rules.unended_words)
+        failed |= self._menus(unended, words)
+        capital = upper.copy()
+        if len(body):  # Latin capitals beyond ASCII: two bytes, C3 80 to C3 9E
+            capital[:-1] |= (body[:-1] == 0xC3) & (body[1:] >= 0x80) & (body[1:] <= 0x9E)
+        titled = np.zeros(len(body), bool)
+        titled[word_starts] = capital[word_starts]
+        failed |= unended & (words >= rules.title_words) & (_between(titled, s, e) > rules.max_title_share * words)
+        failed |= self._separators(s, e) > rules.max_separator_share * np.maximum(words, 1)
         failed |= _between(symbol, s, e) > rules.max_symbol_share * chars
         failed |= (letters >= rules.upper_letters) & (_between(upper, s, e) > rules.max_upper_share * letters)
         failed |= repeated
         lowered = textops.lower_ascii(body).tobytes()
         for phrase in rules.phrases:
-            p = lowered.find(phrase)
-            while p >= 0:
-                line = np.searchsorted(s, p, side="right") - 1
+            for line, p in self._found(lowered, phrase):
                 failed[line] |= p + len(phrase) <= e[line]
-                p = lowered.find(phrase, p + len(phrase))
+        if len(visible):
+            opening = visible[np.minimum(np.searchsorted(visible, s), len(visible) - 1)]
+            for start in rules.controls:
+                for line, p in self._found(lowered, start):
+                    failed[line] |= bool(p == opening[line] and words[line] <= rules.control_words)
         self.line_failed = failed & (words > 0)
 
+    def _found(self, lowered: bytes, phrase: bytes) -> Iterator[tuple[int, int]]:
+        """Line and place of every occurrence of a phrase."""
+        p = lowered.find(phrase)
+        while p >= 0:
+            yield int(np.searchsorted(self.line_start, p, side="right")) - 1, p
+            p = lowered.find(phrase, p + len(phrase))
+
+    def _menus(self, unended: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Lines in long runs of unended lines of one text."""
+        worded = np.flatnonzero(words > 0)
+        loose, row = unended[worded], self.line_row[worded]
+        fresh = np.ones(len(worded), bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (loose[1:] != loose[:-1])
+        run = np.cumsum(fresh) - 1
+        long = np.bincount(run, minlength=1)[run] >= self.rules.menu_run if len(run) else np.zeros(0, bool)
+        found = np.zeros(len(unended), bool)
+        found[worded] = loose & long
+        return found
+
+    def _separators(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """How many separators of navigation entries each line holds."""
+        body, at = self.body, _SEPARATOR[self.body]
+        for mark in SEPARATORS_WIDE:
+            tail = np.frombuffer(mark.encode(), np.uint8)
+            if len(body) >= len(tail):
+                whole = np.ones(len(body) - len(tail) + 1, bool)
+                for k, b in enumerate(tail):
+                    whole &= body[k : k + len(whole)] == b
+                at[: len(whole)] |= whole
+        return _between(at, s, e)
+
     def _repeats(self, starts: np.ndarray, ends: np.ndarray, word_at: np.ndarray, word_row: np.ndarray) -> None:
         """Words in 3-word windows that occur twice or more in their text."""
         n = len(self.offsets) - 1
