@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,7 @@ LAYOUT = 1
 CONTENTS = "tables"
 #: Spark's own default drops what is finer than milliseconds.
 JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 #: Tables whose rows are public with their listing, and the column that names it.
 PUBLIC_BY_LISTING = {"price_points": "listing_id", "edges": "a"}
 
@@ -55,6 +58,17 @@ def readable_tables(tables: dict[str, DataFrame], viewer: Column) -> dict[str, D
     return {name: _readable(name, rows, tables, viewer).select(rows.columns) for name, rows in tables.items()}
 
 
+@contextmanager
+def _open_files(spark: SparkSession, most: int) -> Iterator[None]:
+    """Let a task keep a file open per table: Spark would otherwise sort all rows of a task by their folder first."""
+    before = spark.conf.get(WRITERS)
+    spark.conf.set(WRITERS, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(WRITERS, before)
+
+
 def export_tenant(tables: dict[str, DataFrame], viewer: Column, path: str) -> None:
     """Write what the viewer may read as JSON lines below ``path/v=1/table=<name>``.
 
@@ -69,7 +83,8 @@ def export_tenant(tables: dict[str, DataFrame], viewer: Column, path: str) -> No
         rows.select(F.to_json(F.struct(*rows.columns), options).alias("value"), F.lit(LAYOUT).alias("v"), F.lit(name).alias("table"))
         for name, rows in {**readable_tables(tables, viewer), CONTENTS: contents}.items()
     ]
-    reduce(DataFrame.unionByName, lines).write.mode("overwrite").partitionBy("v", "table").text(path)
+    with _open_files(spark, max(len(lines), int(spark.conf.get(WRITERS)))):
+        reduce(DataFrame.unionByName, lines).write.mode("overwrite").partitionBy("v", "table").text(path)
 
 
 def read_export(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from hearthmark.plans import export
@@ -52,3 +53,15 @@ def test_nothing_readable(tables, tmp_path, spark):
 def test_a_table_without_rule_is_refused(tables, spark):
     with pytest.raises(ValueError, match="secrets"):
         export.readable_tables({**tables, "secrets": spark.range(1)}, F.lit(1))
+
+
+def test_rows_of_a_task_are_written_without_a_sort(tables, tmp_path, spark, monkeypatch):
+    """The folders are written as rows come; the setting that allows it holds for that write only."""
+    seen, before = [], spark.conf.get(export.WRITERS)
+    text = DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, path: (seen.append(int(spark.conf.get(export.WRITERS))), text(self, path))[1])
+    export.export_tenant(tables, F.lit(1), str(tmp_path / "flat"))
+    assert seen == [len(tables) + 1] and spark.conf.get(export.WRITERS) == before
+    lines = sorted(p.parent.name for p in (tmp_path / "flat").glob("v=1/*/part-*"))
+    assert set(lines) == {f"table={n}" for n in [*tables, export.CONTENTS]}
+    assert export.read_export(spark, str(tmp_path / "flat"))["listings"].count() == 3
