@@ -17,13 +17,12 @@ from hearthmark.functions.text import (
     WORD_SHARE,
     dice,
     fold,
+    gram_codes,
     jaccard,
     listing_text,
-    packed,
     squash,
     text_similarity,
     token_set,
-    trigram_set,
 )
 from hearthmark.operators.once import with_once
 from hearthmark.operators.relevance import top_details
@@ -77,9 +76,8 @@ def comparable(listings: DataFrame) -> DataFrame:
         property_type=F.nullif("property_type", F.lit("")),
         _hashes=hash_codes(F.col("phashes")),
     )
-    rows = with_once(
-        rows, _blank=F.col("_text") == "", _words=token_set(F.col("_text")), _grams=packed(trigram_set(F.col("_text")))
-    )
+    rows = rows.withColumn("_grams", gram_codes(F.col("_text")))
+    rows = with_once(rows, _blank=F.col("_text") == "", _words=token_set(F.col("_text")))
     return rows.withColumns({"_n_words": F.size("_words"), "_n_grams": F.size("_grams")}).drop("_text")
 
 

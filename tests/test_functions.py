@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthmark.functions import geo, html, images, listing, numbers, scoring, text, urls
+from hearthmark.operators import matching
 
 
 
@@ -234,3 +235,15 @@ def test_fingerprints_in_pieces(monkeypatch):
     monkeypatch.setattr(listing, "FNV_UNITS", 7)
     assert listing._fnv1a(texts).tolist() == whole
     assert whole[0] == "1a47e90b" and whole[1] is None
+
+
+def test_gram_codes_are_those_of_the_trigram_set(spark):
+    """The codes come from one batch step, as a plan without any string per trigram shows."""
+    texts = ["", " ", "a", "ab", "Été à  la MER", "aaaaaa", "x\U0001F600y", "\U0001F600\U0001F601", "\U0001F600", "é\u0301\U00010400\U00010400z ", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string")
+    both = rows.select(F.array_sort(text.packed(text.trigram_set(F.col("v")))).alias("plain"), text.gram_codes(F.col("v")).alias("batch")).collect()
+    assert all(r.plain == r.batch for r in both), both
+    listing = "title string, description string, contact_name string, property_type string, phashes array<string>"
+    done = matching.comparable(spark.createDataFrame([("Été", "à la mer", None, "", None)], listing))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "_gram_codes" in plan and "(?=(.{3}))" not in plan
