@@ -62,7 +62,12 @@ def tokens(text: Column) -> Column:
 
 
 def token_set(text: Column) -> Column:
-    words = F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    return folded_words(fold(F.coalesce(text, F.lit(""))))
+
+
+def folded_words(folded: Column) -> Column:
+    """Token set of a text that is folded already."""
+    words = F.regexp_extract_all(folded, F.lit("[a-z0-9]{2,}"), F.lit(0))
     return F.array_except(words, F.array(*[F.lit(w) for w in STOPWORDS]))
 
 
@@ -109,14 +114,16 @@ def _gram_codes_of(text: str) -> np.ndarray:
     return np.unique((points[first] << 42) + (points[second[first]] << 21) + points[third[first]])
 
 
-def gram_codes(text: Column) -> Column:
-    """``packed(trigram_set(text))`` in rising order, without a string per character.
+def gram_codes(folded: Column) -> Column:
+    """``packed(trigram_set(text))`` of a folded text in rising order, without a string per character.
 
     The Arrow batch version works on code units side by side and is many times
-    faster on long texts.
+    faster on long texts.  Pure ASCII rows have six white characters to look for,
+    and a blank between words stays as it is.
     """
-    padded = F.concat(F.lit("  "), squash(fold(F.coalesce(text, F.lit("")))), F.lit(" "))
-    return F.pandas_udf(_gram_codes, "array<bigint>")(padded)
+    short = F.trim(F.regexp_replace(folded, r"[\t\n\x0B\f\r ]{2,}|[\t\n\x0B\f\r]", " "))
+    squashed = F.when(folded.rlike(r"[^\x00-\x7f]"), squash(folded)).otherwise(short)
+    return F.pandas_udf(_gram_codes, "array<bigint>")(F.concat(F.lit("  "), squashed, F.lit(" ")))
 
 
 def jaccard(left: Column, right: Column) -> Column:
@@ -138,9 +145,9 @@ def dice(left: Column, right: Column) -> Column:
 
 
 def listing_text(title: Column, description: Column) -> Column:
-    return trim_blank(
-        F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))
-    )
+    """Title and description without white space at the ends. Pure ASCII rows need no search for it."""
+    joined = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))
+    return F.when(joined.rlike(r"[^\x00-\x7f]"), trim_blank(joined)).otherwise(F.btrim(joined, F.lit("\t\n\x0b\f\r ")))
 
 
 # Share of word overlap and of trigram overlap in the text score.

@@ -17,12 +17,12 @@ from hearthmark.functions.text import (
     WORD_SHARE,
     dice,
     fold,
+    folded_words,
     gram_codes,
     jaccard,
     listing_text,
     squash,
     text_similarity,
-    token_set,
 )
 from hearthmark.operators.once import with_once
 from hearthmark.operators.relevance import top_details
@@ -76,9 +76,9 @@ def comparable(listings: DataFrame) -> DataFrame:
         property_type=F.nullif("property_type", F.lit("")),
         _hashes=hash_codes(F.col("phashes")),
     )
-    rows = rows.withColumn("_grams", gram_codes(F.col("_text")))
-    rows = with_once(rows, _blank=F.col("_text") == "", _words=token_set(F.col("_text")))
-    return rows.withColumns({"_n_words": F.size("_words"), "_n_grams": F.size("_grams")}).drop("_text")
+    rows = with_once(rows, _folded=fold(F.col("_text"))).withColumn("_grams", gram_codes(F.col("_folded")))
+    rows = with_once(rows, _blank=F.col("_text") == "", _words=folded_words(F.col("_folded")))
+    return rows.withColumns({"_n_words": F.size("_words"), "_n_grams": F.size("_grams")}).drop("_text", "_folded")
 
 
 def _side(prefix: str, name: str) -> Column:

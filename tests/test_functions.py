@@ -239,10 +239,13 @@ def test_fingerprints_in_pieces(monkeypatch):
 
 def test_gram_codes_are_those_of_the_trigram_set(spark):
     """The codes come from one batch step, as a plan without any string per trigram shows."""
-    texts = ["", " ", "a", "ab", "Été à  la MER", "aaaaaa", "x\U0001F600y", "\U0001F600\U0001F601", "\U0001F600", "é\u0301\U00010400\U00010400z ", None]
+    texts = ["", " ", "a", "ab", "Été à  la MER", "aaaaaa", "x\U0001F600y", "\U0001F600\U0001F601", "\U0001F600", "é\u0301\U00010400\U00010400z ", "a \t b\n\nc\td \r", "\xa0x \u2003y\x85", None]
     rows = spark.createDataFrame([(t,) for t in texts], "v string")
-    both = rows.select(F.array_sort(text.packed(text.trigram_set(F.col("v")))).alias("plain"), text.gram_codes(F.col("v")).alias("batch")).collect()
+    both = rows.select(F.array_sort(text.packed(text.trigram_set(F.col("v")))).alias("plain"), text.gram_codes(text.fold(F.coalesce("v", F.lit("")))).alias("batch")).collect()
     assert all(r.plain == r.batch for r in both), both
+    joined = F.concat(F.coalesce("v", F.lit("")), F.lit(" "), F.coalesce("v", F.lit("")))
+    ends = rows.select(text.trim_blank(joined).alias("plain"), text.listing_text(F.col("v"), F.col("v")).alias("quick")).collect()
+    assert all(r.plain == r.quick for r in ends), ends
     listing = "title string, description string, contact_name string, property_type string, phashes array<string>"
     done = matching.comparable(spark.createDataFrame([("Été", "à la mer", None, "", None)], listing))
     plan = done._jdf.queryExecution().optimizedPlan().toString()
