@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from hearthmark.functions.text import (
     squash,
     text_similarity,
 )
+from hearthmark.operators.bounds import outlines, pairs_within
 from hearthmark.operators.once import with_once
 from hearthmark.operators.relevance import top_details
 from hearthmark.operators.skew import grid_join
@@ -612,11 +614,12 @@ def best_matches(
 ) -> DataFrame:
     """Best existing partner of every new listing, if it is an exact or probable match.
 
-    Both inputs have a numeric ``id``; pairs are formed within equal ``scope``
+    Both inputs have an ``id``; pairs are formed within equal ``scope``
     columns. Ties go to the lowest existing id. ``exact`` scores every pair of
-    a scope and serves as the yardstick of ``blocked``, which yields the same
-    rows: copies are compared once, near copies are settled by a tight word
-    index, the rest by :func:`candidates`.
+    a scope and serves as the yardstick of the others, which yield the same
+    rows and compare copies once: ``blocked`` bounds the score of every pair from short rows
+    and scores what can still win, ``keyed`` meets pairs by their rarest words
+    and by attribute keys (see :func:`candidates`).
     """
     scope = list(scope)
     wanted = _profiles(incoming, scope)
@@ -624,27 +627,81 @@ def best_matches(
     wanted_reps = wanted.groupBy("_profile").agg(F.min("id").alias("id"))
     known_reps = known.groupBy("_profile").agg(F.min("id").alias("id"))
     columns = ["id", *scope, "title", "description", *NUMBERS, "property_type", "contact_name", "phashes"]
-    left = checkpointed(comparable(incoming.select(*columns).join(wanted_reps.select("id"), "id", "left_semi")).drop("title", "description", "contact_name"))
-    right = checkpointed(comparable(existing.select(*columns).join(known_reps.select("id"), "id", "left_semi")).drop("title", "description", "contact_name"))
+    if mode == "blocked":
+        new, old = incoming.select(*columns), existing.select(*columns)
+        left = checkpointed(outlines(comparable(new), scope).join(wanted_reps.select("id"), "id", "left_semi"))
+        right = checkpointed(outlines(comparable(old), scope).join(known_reps.select("id"), "id", "left_semi"))
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        return score_pairs(pairs, left, right, explain=False).select(
-            "a", "b", "score", "bucket", F.col("b").alias("_order")
-        )
+        def scored_anew(pairs: DataFrame) -> DataFrame:
+            # outlines hold no texts: those of the rows that pairs name are read again
+            sides = (comparable(_named(rows, pairs.select(F.col(end).alias("id")))) for rows, end in ((new, "a"), (old, "b")))
+            return score_pairs(pairs.select("a", "b").distinct(), *sides, explain=False).select("a", "b", "score", "bucket", F.col("b").alias("_order"))
 
-    if mode == "exact":
-        if scope:
-            pairs = left.select(F.col("id").alias("a"), *scope).join(right.select(F.col("id").alias("b"), *scope), scope).select("a", "b")
-        else:
-            pairs = left.select(F.col("id").alias("a")).crossJoin(right.select(F.col("id").alias("b")))
-        best = _best(scored(pairs)).where(F.col("bucket").isin("doublon_exact", "probable_identique"))
+        best = _bounded_best(left, right, scope, scored_anew, floor)
     else:
-        best = _blocked_best(left, right, scope, scored, floor)
+        left = checkpointed(comparable(incoming.select(*columns).join(wanted_reps.select("id"), "id", "left_semi")).drop("title", "description", "contact_name"))
+        right = checkpointed(comparable(existing.select(*columns).join(known_reps.select("id"), "id", "left_semi")).drop("title", "description", "contact_name"))
+
+        def scored(pairs: DataFrame) -> DataFrame:
+            return score_pairs(pairs, left, right, explain=False).select(
+                "a", "b", "score", "bucket", F.col("b").alias("_order")
+            )
+
+        if mode == "keyed":
+            best = _keyed_best(left, right, scope, scored, floor)
+        else:
+            if scope:
+                pairs = left.select(F.col("id").alias("a"), *scope).join(right.select(F.col("id").alias("b"), *scope), scope).select("a", "b")
+            else:
+                pairs = left.select(F.col("id").alias("a")).crossJoin(right.select(F.col("id").alias("b")))
+            best = _best(scored(pairs)).where(F.col("bucket").isin("doublon_exact", "probable_identique"))
     members = wanted.select("id", "_profile").join(wanted_reps.withColumnRenamed("id", "a"), "_profile")
     return members.join(best, "a").select("id", F.col("b").alias("with_id"), "score", "bucket")
 
 
-def _blocked_best(left: DataFrame, right: DataFrame, scope: list[str], scored, floor: int) -> DataFrame:
+#: Classes of ids by which rows are kept from being shuffled; the list of classes that is sent around has no more entries.
+ID_CLASSES = 1 << 20
+
+
+def _named(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """All rows with one of the ids, and a few others, without moving the rest."""
+    a_class = F.pmod(F.xxhash64("id"), F.lit(ID_CLASSES)).cast("int")
+    classes = ids.select(a_class.alias("_class")).distinct()
+    return rows.withColumn("_class", a_class).join(F.broadcast(classes), "_class", "left_semi").drop("_class")
+
+
+def _bounded_best(left: DataFrame, right: DataFrame, scope: list[str], scored, floor: int) -> DataFrame:
+    """Best partners by falling bounds: of the likeliest pair of each row first, then of all pairs that can beat it."""
+
+    def reaching(least: Column, best: DataFrame | None = None, promoted: bool = False) -> DataFrame:
+        none = F.lit(None)
+        found = {"_own": none.cast(dict(right.dtypes)["id"]), "_score": none.cast("int")}
+        probes = left.withColumns(found)
+        if best is not None:
+            probes = left.join(best.select(F.col("a").alias("id"), F.col("b").alias("_own"), F.col("score").alias("_score")), "id")
+        probes = probes.withColumns({"_least": least.cast("double"), "_promoted": F.lit(promoted)})
+        return pairs_within(probes, right, scope, WEIGHTS, PROMOTED_IMAGE, first=best is None)
+
+    def improved(best: DataFrame, pairs: DataFrame) -> DataFrame:
+        known = best.withColumn("_order", F.col("b"))
+        return checkpointed(_best(scored(checkpointed(pairs.select("a", "b"))).unionByName(known)))
+
+    likeliest = reaching(F.lit(floor - 0.5), promoted=True).groupBy("a", "maybe").agg(F.max_by("b", "bound").alias("b"))
+    best = checkpointed(_best(scored(checkpointed(likeliest.select("a", "b")))))
+    best = improved(best, reaching(F.lit(floor - 0.5), best, promoted=True))
+    sure = [best.where(F.col("score") >= floor)]
+    # a promoted pair below the floor counts only when no other pair beats it
+    rest = best.where((F.col("score") < floor) & (F.col("bucket") == "doublon_exact"))
+    for level in (*[x for x in LEVELS if x < floor], 0):
+        if rest.isEmpty():
+            break
+        rest = improved(rest, reaching(F.greatest(F.lit(level), F.col("_score")) - 0.5, rest))
+        sure.append(rest.where((F.col("score") >= level) & F.col("bucket").isin("doublon_exact", "probable_identique")))
+        rest = rest.where(F.col("score") < level)
+    return reduce(DataFrame.unionByName, sure)
+
+
+def _keyed_best(left: DataFrame, right: DataFrame, scope: list[str], scored, floor: int) -> DataFrame:
     sides = _Sides(left, right, scope)
     perfect = 100
     tight = scored(tight_candidates(sides, perfect - 0.5)).where(F.col("score") >= perfect)
