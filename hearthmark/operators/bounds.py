@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 from hearthmark.functions.geo import EARTH_RADIUS_M, NEAR_M
 from hearthmark.functions.text import TRIGRAM_SHARE, WORD_SHARE
 
-#: Bits of the fields of words and trigrams.
-WORD_BITS, GRAM_BITS = 2048, 1024
-#: Rows of a piece; the probe side is cut finer, as its pieces are the unit of work.
-PROBE_ROWS, OTHER_ROWS = 16_384, 65_536
+#: Bits of a field per element of its set, at least; sizes are powers of two from ``LEAST_BITS`` on.
+WORD_BITS, GRAM_BITS, LEAST_BITS = 8, 2, 256
+#: Rows of a piece of either side.
+PROBE_ROWS, OTHER_ROWS = 65_536, 65_536
 #: Pairs in a batch that a task hands over.
 BATCH_PAIRS = 100_000
 #: Points of the score that rounding of the arithmetic may cost.
@@ -35,17 +35,19 @@ SLACK = 1e-3
 ATTRIBUTES = ("price", "surface_m2", "rooms", "lat", "lng")
 
 
-def _parity(bits: int):
+def _parity(share: int):
     def fields(sets: pd.Series) -> pd.Series:
-        return sets.map(lambda codes: _parity_of(codes, bits))
+        return sets.map(lambda codes: _parity_of(codes, share))
 
     return F.pandas_udf(fields, "binary")
 
 
-def _parity_of(codes: np.ndarray, bits: int) -> bytes:
-    mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    places = (mixed >> np.uint64(64 - (bits - 1).bit_length())).astype(np.int64)
-    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8)).tobytes()
+def _parity_of(codes: np.ndarray, share: int) -> bytes:
+    """Bits that an odd number of elements falls on; half as many bits are the halves exclusive-ored."""
+    bits = max(LEAST_BITS, 1 << (share * len(codes) - 1).bit_length())
+    mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+    places = (mixed & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def outlines(comparable: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -67,6 +69,34 @@ def outlines(comparable: DataFrame, scope: Sequence[str]) -> DataFrame:
     )
 
 
+class _Fields:
+    """Bit fields of the rows of a block, by their size in words of 64 bits."""
+
+    def __init__(self, blobs: Sequence[bytes]):
+        self.size = np.array([len(x) // 8 for x in blobs], dtype=np.int64)
+        self.at = np.zeros(len(blobs), dtype=np.int64)
+        self.of_size: dict[tuple[int, int], np.ndarray] = {}
+        for size in np.unique(self.size).tolist():
+            rows = np.flatnonzero(self.size == size)
+            self.at[rows] = np.arange(len(rows))
+            self.of_size[size, size] = np.frombuffer(b"".join(blobs[r] for r in rows), dtype="<u8").reshape(len(rows), size)
+
+    def folded(self, size: int, to: int) -> np.ndarray:
+        if (size, to) not in self.of_size:
+            wide = self.folded(size, 2 * to)
+            self.of_size[size, to] = wide[:, :to] ^ wide[:, to:]
+        return self.of_size[size, to]
+
+    def differing(self, rows: np.ndarray, other: _Fields, i: int) -> np.ndarray:
+        """Places where the fields of ``rows`` differ from field ``i`` of another block, at the smaller size."""
+        apart, sizes, own = np.empty(len(rows), dtype=np.int64), self.size[rows], int(other.size[i])
+        for size in np.flatnonzero(np.bincount(sizes)).tolist():
+            which, to = np.flatnonzero(sizes == size), min(size, own)
+            mine = self.folded(size, to)[self.at[rows[which]]]
+            apart[which] = np.bitwise_count(mine ^ other.folded(own, to)[other.at[i]]).sum(axis=1, dtype=np.int64)
+        return apart
+
+
 class _Block:
     """Rows of one side as arrays, in order of their ids."""
 
@@ -79,9 +109,7 @@ class _Block:
         self.kind, self.contact = self._codes("_kind"), self._codes("_contact")
         self.blank = np.asarray(table["_blank"].to_pylist(), dtype=bool)
         self.n_words, self.n_grams = (table[c].to_numpy().astype(np.float32) for c in ("_n_words", "_n_grams"))
-        self.word_field, self.gram_field = (
-            np.frombuffer(b"".join(table[c].to_pylist()), dtype=np.uint64).reshape(self.n, -1) for c in ("_word_field", "_gram_field")
-        )
+        self.word_field, self.gram_field = (_Fields(table[c].to_pylist()) for c in ("_word_field", "_gram_field"))
         lat, lng = (np.radians(table[c].fill_null(0).to_numpy()) for c in ("lat", "lng"))
         self.place = EARTH_RADIUS_M * np.stack([np.cos(lat) * np.cos(lng), np.cos(lat) * np.sin(lng), np.sin(lat)], axis=1)
         self.placed = (table["lat"].is_valid().to_numpy() & table["lng"].is_valid().to_numpy()).astype(bool)
@@ -106,31 +134,38 @@ class _Bounds:
 
     def __init__(self, left: _Block, right: _Block, weights: Mapping[str, float]):
         self.a, self.b, self.w = left, right, weights
-        self.magnitudes = {name: np.abs(getattr(right, name)[0]) for name in ("price", "surface_m2")}
-
-    def _attributes(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """What all factors but place, image and text earn, and their weights."""
+        with np.errstate(divide="ignore"):
+            self.inverse = {n: np.where(v == 0, 0.0, 1.0 / v) for n in ("price", "surface_m2") for v in (getattr(right, n)[0],)}
+        self.shared: tuple = (), None
+        # rows with equal values follow each other, so that what these earn is found once
+        self.order = np.lexsort([left.rooms[0], left.kind[0], left.contact[0], left.placed, *[getattr(left, n)[1] for n in ("price", "surface_m2", "rooms", "kind", "contact")]])
+
+    def _alike(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """What rooms, type and contact earn, and the weight of all factors but text, place and image."""
         a, b = self.a, self.b
-        earned, total = np.zeros(b.n, dtype=np.float32), np.zeros(b.n, dtype=np.float32)
-        for name, factor in (("price", "price"), ("surface_m2", "surface")):
-            (values, given), (other, there) = getattr(a, name), getattr(b, name)
-            if given[i]:
-                widest = np.maximum(self.magnitudes[name], abs(values[i]))
-                near = 1.0 - np.abs(other - values[i]) / np.where(widest == 0, 1.0, widest)
-                earned += (np.maximum(near, 0.0) * self.w[factor] * there).astype(np.float32)
-                total += np.float32(self.w[factor]) * there
-        (values, given), (other, there) = a.rooms, b.rooms
-        if given[i]:
-            gap = np.abs(other - values[i])
-            share = np.where(gap < 1, 1.0, np.where(gap == 1, 0.5, 0.0))
-            earned += (share * self.w["rooms"]).astype(np.float32) * there
-            total += np.float32(self.w["rooms"]) * there
-        for name, factor in (("kind", "property_type"), ("contact", "contact")):
-            (values, given), (other, there) = getattr(a, name), getattr(b, name)
-            if given[i]:
-                earned += np.float32(self.w[factor]) * ((other == values[i]) * there)
-                total += np.float32(self.w[factor]) * there
-        return earned, total
+        numbers = [float(getattr(a, n)[1][i]) for n in ("price", "surface_m2")]
+        key = (*numbers, *[(float(given[i]), values[i]) for values, given in (a.rooms, a.kind, a.contact)])
+        if self.shared[0] != key:
+            earned = np.zeros(b.n)
+            total = self.w["price"] * numbers[0] * b.price[1] + self.w["surface"] * numbers[1] * b.surface_m2[1]
+            if a.rooms[1][i]:
+                gap = np.abs(b.rooms[0] - a.rooms[0][i])
+                earned += self.w["rooms"] * np.where(gap < 1, 1.0, np.where(gap == 1, 0.5, 0.0)) * b.rooms[1]
+                total += self.w["rooms"] * b.rooms[1]
+            for name, factor in (("kind", "property_type"), ("contact", "contact")):
+                (values, given), (other, there) = getattr(a, name), getattr(b, name)
+                if given[i]:
+                    earned += self.w[factor] * ((other == values[i]) * there)
+                    total += self.w[factor] * there
+            self.shared = key, (earned, total)
+        return self.shared[1]
+
+    def _ratio(self, name: str, i: int) -> np.ndarray:
+        """Relative closeness of a number that the row has; nothing where the other side lacks it."""
+        own, (other, there) = getattr(self.a, name)[0][i], getattr(self.b, name)
+        if own == 0:
+            return (other == 0) * there
+        return np.maximum(np.minimum(other * (1.0 / own), self.inverse[name] * own), 0.0) * there
 
     def _images(self, i: int) -> np.ndarray:
         """Fewest differing bits per row of the block; -1 without a pair of hashes of one length."""
@@ -159,35 +194,53 @@ class _Bounds:
     def of(self, i: int, least: float, bits: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows that can reach ``least`` or may be promoted, their bounds, and whether they may be promoted."""
         a, b, w = self.a, self.b, self.w
-        earned, total = self._attributes(i)
-        every = slice(None)
-        images = self._images(i)
-        compared = images >= 0
-        by_size = self._text(i, every, np.minimum(a.n_words[i], b.n_words), np.minimum(a.n_grams[i], b.n_grams))
-        # place and image may still agree wholly
-        spare = w["text"] + w["geo"] * (b.placed & a.placed[i]) + w["image"] * compared
-        best = earned + w["text"] * by_size + (spare - w["text"])
-        maybe = compared & (images <= bits)
-        rows = np.flatnonzero((100.0 * best >= (least - SLACK) * (total + spare)) | maybe)
-        both = b.placed[rows] & a.placed[i]
-        chord = np.sqrt(np.square(b.place[rows] - a.place[i]).sum(axis=1))
-        near = np.where(both, np.maximum(0.0, 1.0 - chord / NEAR_M), 0.0)
-        seen = np.where(compared[rows], np.maximum(0.0, 1.0 - images[rows] / 64.0), 0.0)
-        sure = earned[rows] + w["geo"] * near + w["image"] * seen
-        weight = total[rows] + spare[rows]
-        maybe = maybe[rows] & (~both | (near >= 0.5 - 1e-6))
-        left = (100.0 * (sure + w["text"] * by_size[rows]) >= (least - SLACK) * weight) | maybe
-        rows, sure, weight, maybe = rows[left], sure[left], weight[left], maybe[left]
-        words = self._common(i, rows, a.n_words, b.n_words, a.word_field, b.word_field)
+        sure, weight = self._alike(i)
+        for name, factor in (("price", "price"), ("surface_m2", "surface")):
+            if getattr(a, name)[1][i]:
+                sure = sure + w[factor] * self._ratio(name, i)
+        # text, place and image may still agree wholly
+        spare = w["text"] + w["geo"] * b.placed if a.placed[i] else w["text"]
+        images, maybe = None, np.zeros(b.n, dtype=bool)
+        if a.starts[i] < a.starts[i + 1] and len(b.codes):
+            images = self._images(i)
+            spare = spare + w["image"] * (images >= 0)
+            maybe = (images >= 0) & (images <= bits)
+        share = (least - SLACK) / 100.0
+        rows = np.flatnonzero((sure - share * weight + (1.0 - share) * spare >= 0) | maybe)
+        sure, weight, maybe = sure[rows], weight[rows] + w["text"], maybe[rows]
+        if images is not None:
+            seen = images[rows]
+            sure = sure + w["image"] * np.where(seen >= 0, np.maximum(0.0, 1.0 - seen / 64.0), 0.0)
+            weight = weight + w["image"] * (seen >= 0)
+        if a.placed[i]:
+            both = b.placed[rows]
+            chord = np.sqrt(np.square(b.place[rows] - a.place[i]).sum(axis=1))
+            near = np.maximum(0.0, 1.0 - chord / NEAR_M) * both
+            sure, weight = sure + w["geo"] * near, weight + w["geo"] * both
+            maybe &= ~both | (near >= 0.5 - 1e-6)
+
+        def reaches(text: np.ndarray) -> np.ndarray:
+            return (sure + w["text"] * text >= share * weight) | maybe
+
+        by_size = self._text(i, rows, np.minimum(a.n_words[i], b.n_words[rows]), np.minimum(a.n_grams[i], b.n_grams[rows]))
+        for kind in ("word", "gram"):
+            left = reaches(by_size)
+            rows, sure, weight, maybe, by_size = rows[left], sure[left], weight[left], maybe[left], by_size[left]
+            if kind == "word":
+                words = self._common(i, rows, a.n_words, b.n_words, a.word_field, b.word_field)
+                by_size = self._text(i, rows, words, np.minimum(a.n_grams[i], b.n_grams[rows]))
+            else:
+                words = words[left]
         grams = self._common(i, rows, a.n_grams, b.n_grams, a.gram_field, b.gram_field)
-        bound = 100.0 * (sure + w["text"] * self._text(i, rows, words, grams)) / weight
-        left = (bound >= least - SLACK) | maybe
+        text = self._text(i, rows, words, grams)
+        left = reaches(text)
+        bound = 100.0 * (sure + w["text"] * text) / weight
         return rows[left], bound[left], maybe[left]
 
     @staticmethod
-    def _common(i: int, rows: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, field_a: np.ndarray, field_b: np.ndarray) -> np.ndarray:
+    def _common(i: int, rows: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, field_a: _Fields, field_b: _Fields) -> np.ndarray:
         """Most elements that two sets can share: their bit fields differ in no more places than the sets."""
-        differing = np.bitwise_count(field_b[rows] ^ field_a[i]).sum(axis=1, dtype=np.int64)
+        differing = field_b.differing(rows, field_a, i)
         return np.minimum(np.minimum(n_a[i], n_b[rows]), np.floor((n_a[i] + n_b[rows] - differing) / 2))
 
 
@@ -235,7 +288,7 @@ def pairs_within(
         bounds = _Bounds(left, right, weights)
         least, own, score, promoted = (left.table[c].to_pylist() for c in ("_least", "_own", "_score", "_promoted"))
         held, size = [], 0
-        for i in range(left.n):
+        for n, i in enumerate(bounds.order):
             rows, bound, maybe = bounds.of(i, least[i], most_bits if promoted[i] else -1.0)
             if own[i] is not None and len(rows):
                 other = right.ids[rows]
@@ -249,7 +302,7 @@ def pairs_within(
                 rows, bound, maybe = rows[top], bound[top], maybe[top]
             held.append((np.full(len(rows), i), rows, bound, maybe))
             size += len(rows)
-            if size >= BATCH_PAIRS or i == left.n - 1:
+            if size >= BATCH_PAIRS or n == left.n - 1:
                 a, b, value, flag = (np.concatenate(x) for x in zip(*held, strict=True))
                 ids = left.table["id"].take(pa.array(a)).combine_chunks(), right.table["id"].take(pa.array(b)).combine_chunks()
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(value, pa.float64()), pa.array(flag, pa.bool_())], names=["a", "b", "bound", "maybe"])

@@ -29,7 +29,7 @@ from hearthmark.operators.bounds import outlines, pairs_within
 from hearthmark.operators.once import with_once
 from hearthmark.operators.relevance import top_details
 from hearthmark.operators.skew import grid_join
-from hearthmark.session import checkpointed
+from hearthmark.session import checkpointed, snapshot
 
 # Factor weights, bucket thresholds, image and position limits of
 # the promotion rule, factor names and bucket labels.
@@ -622,19 +622,21 @@ def best_matches(
     and by attribute keys (see :func:`candidates`).
     """
     scope = list(scope)
+    columns = ["id", *scope, "title", "description", *NUMBERS, "property_type", "contact_name", "phashes"]
+    if mode == "blocked":
+        # texts are read several times
+        incoming, existing = snapshot(incoming.select(*columns)), snapshot(existing.select(*columns))
     wanted = _profiles(incoming, scope)
     known = _profiles(existing, scope)
     wanted_reps = wanted.groupBy("_profile").agg(F.min("id").alias("id"))
     known_reps = known.groupBy("_profile").agg(F.min("id").alias("id"))
-    columns = ["id", *scope, "title", "description", *NUMBERS, "property_type", "contact_name", "phashes"]
     if mode == "blocked":
-        new, old = incoming.select(*columns), existing.select(*columns)
-        left = checkpointed(outlines(comparable(new), scope).join(wanted_reps.select("id"), "id", "left_semi"))
-        right = checkpointed(outlines(comparable(old), scope).join(known_reps.select("id"), "id", "left_semi"))
+        left = checkpointed(outlines(comparable(incoming), scope).join(wanted_reps.select("id"), "id", "left_semi"))
+        right = checkpointed(outlines(comparable(existing), scope).join(known_reps.select("id"), "id", "left_semi"))
 
         def scored_anew(pairs: DataFrame) -> DataFrame:
             # outlines hold no texts: those of the rows that pairs name are read again
-            sides = (comparable(_named(rows, pairs.select(F.col(end).alias("id")))) for rows, end in ((new, "a"), (old, "b")))
+            sides = (comparable(_named(rows, pairs.select(F.col(end).alias("id")))) for rows, end in ((incoming, "a"), (existing, "b")))
             return score_pairs(pairs.select("a", "b").distinct(), *sides, explain=False).select("a", "b", "score", "bucket", F.col("b").alias("_order"))
 
         best = _bounded_best(left, right, scope, scored_anew, floor)
@@ -665,9 +667,9 @@ ID_CLASSES = 1 << 20
 
 def _named(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """All rows with one of the ids, and a few others, without moving the rest."""
-    a_class = F.pmod(F.xxhash64("id"), F.lit(ID_CLASSES)).cast("int")
-    classes = ids.select(a_class.alias("_class")).distinct()
-    return rows.withColumn("_class", a_class).join(F.broadcast(classes), "_class", "left_semi").drop("_class")
+    classes = ids.select(F.pmod(F.xxhash64("id"), F.lit(ID_CLASSES)).alias("_class")).distinct()
+    # an expression of the id alone, so that the optimizer can move it to where the rows are read
+    return rows.join(F.broadcast(classes), F.pmod(F.xxhash64(rows["id"]), F.lit(ID_CLASSES)) == classes["_class"], "left_semi")
 
 
 def _bounded_best(left: DataFrame, right: DataFrame, scope: list[str], scored, floor: int) -> DataFrame:
