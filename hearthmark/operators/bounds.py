@@ -5,23 +5,26 @@ trigram sets and a parity bit field of each set.  Two bit fields differ in no
 more places than their sets have elements apart, which bounds the overlap from
 above.  The listings of a scope are cut into pieces; every piece of one side
 meets every piece of the other in one task, so what is shuffled and kept does
-not depend on how many pairs are alike, and no pair is missed.
+not depend on how many pairs are alike, and no pair is missed.  The pieces of
+the probes take turns, so that one shuffle stays in proportion to the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthmark.functions.geo import EARTH_RADIUS_M, NEAR_M
 from hearthmark.functions.text import TRIGRAM_SHARE, WORD_SHARE
+from hearthmark.session import checkpointed
 
 #: Bits of a field per element of its set, at least; sizes are powers of two from ``LEAST_BITS`` on.
 WORD_BITS, GRAM_BITS, LEAST_BITS = 8, 2, 256
@@ -244,21 +247,26 @@ class _Bounds:
         return np.minimum(np.minimum(n_a[i], n_b[rows]), np.floor((n_a[i] + n_b[rows] - differing) / 2))
 
 
-def _cut(probes: DataFrame, others: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Both sides below each other, every pair of pieces as one group ``(scope, _i, _j)``."""
-    if not scope:
-        probes, others, scope = probes.withColumn("_all", F.lit(0)), others.withColumn("_all", F.lit(0)), ["_all"]
+def _sizes(probes: DataFrame, others: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Number of pieces of both sides of every scope that has rows on both."""
 
     def pieces(rows: DataFrame, size: int, name: str) -> DataFrame:
         return rows.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
 
-    sizes = pieces(probes, PROBE_ROWS, "_i_n").join(pieces(others, OTHER_ROWS, "_j_n"), list(scope))
+    return pieces(probes, PROBE_ROWS, "_i_n").join(pieces(others, OTHER_ROWS, "_j_n"), list(scope))
+
 
-    def dealt(rows: DataFrame, own: str, other: str, side: bool) -> DataFrame:
-        cut = rows.join(sizes, list(scope)).withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"{own}_n")).cast("int"))
-        return cut.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_n") - 1))).drop("_i_n", "_j_n").withColumn("_probe", F.lit(side))
+def _cut(probes: DataFrame, others: DataFrame, scope: Sequence[str], sizes: DataFrame, turn: int) -> GroupedData:
+    """One piece of the probes and all pieces of the others below each other, every pair of pieces as one group ``(scope, _j)``."""
+    sizes = sizes.where(F.col("_i_n") > turn)
 
-    return dealt(probes, "_i", "_j", True).unionByName(dealt(others, "_j", "_i", False), allowMissingColumns=True).groupBy(*scope, "_i", "_j")
+    def piece(of: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+
+    mine = probes.join(sizes, list(scope)).where(piece("_i_n") == turn).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_j_n") - 1)))
+    theirs = others.join(sizes, list(scope)).withColumn("_j", piece("_j_n"))
+    sides = [rows.drop("_i_n", "_j_n").withColumn("_probe", F.lit(side)) for rows, side in ((mine, True), (theirs, False))]
+    return sides[0].unionByName(sides[1], allowMissingColumns=True).groupBy(*scope, "_j")
 
 
 def pairs_within(
@@ -308,4 +316,10 @@ def pairs_within(
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(value, pa.float64()), pa.array(flag, pa.bool_())], names=["a", "b", "bound", "maybe"])
                 held, size = [], 0
 
-    return _cut(probes, others, scope).applyInArrow(search, schema)
+    if not scope:
+        probes, others, scope = probes.withColumn("_all", F.lit(0)), others.withColumn("_all", F.lit(0)), ["_all"]
+    sizes = checkpointed(_sizes(probes, others, scope))
+    turns = sizes.agg(F.max("_i_n")).first()[0] or 1
+    parts = [_cut(probes, others, scope, sizes, turn).applyInArrow(search, schema) for turn in range(turns)]
+    # a shuffle holds one piece of the probes per piece of the others, however many pieces there are
+    return reduce(DataFrame.unionByName, [checkpointed(p) for p in parts] if turns > 1 else parts)

@@ -611,6 +611,7 @@ def best_matches(
     scope: Sequence[str] = (),
     mode: str = "blocked",
     floor: int = THRESHOLDS["probable_identique"],
+    stored: bool = False,
 ) -> DataFrame:
     """Best existing partner of every new listing, if it is an exact or probable match.
 
@@ -619,27 +620,38 @@ def best_matches(
     a scope and serves as the yardstick of the others, which yield the same
     rows and compare copies once: ``blocked`` bounds the score of every pair from short rows
     and scores what can still win, ``keyed`` meets pairs by their rarest words
-    and by attribute keys (see :func:`candidates`).
+    and by attribute keys (see :func:`candidates`). ``stored`` says that the new
+    listings come from files as they are, so that their texts are not kept again.
     """
     scope = list(scope)
     columns = ["id", *scope, "title", "description", *NUMBERS, "property_type", "contact_name", "phashes"]
     if mode == "blocked":
         # texts are read several times
-        incoming, existing = snapshot(incoming.select(*columns)), snapshot(existing.select(*columns))
+        incoming, existing = incoming.select(*columns) if stored else snapshot(incoming.select(*columns)), snapshot(existing.select(*columns))
     wanted = _profiles(incoming, scope)
     known = _profiles(existing, scope)
     wanted_reps = wanted.groupBy("_profile").agg(F.min("id").alias("id"))
     known_reps = known.groupBy("_profile").agg(F.min("id").alias("id"))
     if mode == "blocked":
-        left = checkpointed(outlines(comparable(incoming), scope).join(wanted_reps.select("id"), "id", "left_semi"))
-        right = checkpointed(outlines(comparable(existing), scope).join(known_reps.select("id"), "id", "left_semi"))
+        left = snapshot(outlines(comparable(incoming), scope).join(wanted_reps.select("id"), "id", "left_semi"))
+        right = snapshot(outlines(comparable(existing), scope).join(known_reps.select("id"), "id", "left_semi"))
+
+        most = max(LEAST_SCORED, left.count() // 4)
 
         def scored_anew(pairs: DataFrame) -> DataFrame:
             # outlines hold no texts: those of the rows that pairs name are read again
             sides = (comparable(_named(rows, pairs.select(F.col(end).alias("id")))) for rows, end in ((incoming, "a"), (existing, "b")))
             return score_pairs(pairs.select("a", "b").distinct(), *sides, explain=False).select("a", "b", "score", "bucket", F.col("b").alias("_order"))
 
-        best = _bounded_best(left, right, scope, scored_anew, floor)
+        def scored_in_turns(pairs: DataFrame) -> DataFrame:
+            # pairs move the features of both rows: as many at once as are in proportion to the rows
+            turns = -(-pairs.count() // most)
+            if turns < 2:
+                return scored_anew(pairs)
+            turn = F.pmod(F.xxhash64("a"), F.lit(turns))
+            return reduce(DataFrame.unionByName, [checkpointed(_best(scored_anew(pairs.where(turn == n)))) for n in range(turns)]).withColumn("_order", F.col("b"))
+
+        best = _bounded_best(left, right, scope, scored_in_turns, floor)
     else:
         left = checkpointed(comparable(incoming.select(*columns).join(wanted_reps.select("id"), "id", "left_semi")).drop("title", "description", "contact_name"))
         right = checkpointed(comparable(existing.select(*columns).join(known_reps.select("id"), "id", "left_semi")).drop("title", "description", "contact_name"))
@@ -661,6 +673,9 @@ def best_matches(
     return members.join(best, "a").select("id", F.col("b").alias("with_id"), "score", "bucket")
 
 
+#: Pairs that are scored in one turn, at least.
+LEAST_SCORED = 50_000
+
 #: Classes of ids by which rows are kept from being shuffled; the list of classes that is sent around has no more entries.
 ID_CLASSES = 1 << 20
 

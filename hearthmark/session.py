@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import SparkContext
@@ -64,14 +66,38 @@ def _shared_context(df: DataFrame) -> SparkContext:
     return context
 
 
+#: With this setting Spark deletes the shuffle files of an action when it ends, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Actions on tables made inside leave no shuffle files, so that a job of many steps holds those of one step."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder."""
     _shared_context(df)
-    return df.checkpoint(eager=True)
+    with shuffles_freed(df.sparkSession):
+        # planned anew, as the setting counts when a table is made
+        return df.select("*").checkpoint(eager=True)
 
 
 def snapshot(df: DataFrame) -> DataFrame:
     """Like :func:`checkpointed` for rows with texts: compressed, and filters of later reads reach the files."""
-    folder = f"{_shared_context(df).getCheckpointDir()}/{uuid.uuid4()}"
-    df.write.parquet(folder)
+    context = _shared_context(df)
+    if any(kind in df.schema.simpleString() for kind in ("void", "interval")):
+        return checkpointed(df)  # Parquet has no such columns
+    folder = f"{context.getCheckpointDir()}/{uuid.uuid4()}"
+    with shuffles_freed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearthmark.session import shuffles_freed
+
 #: Batches of facts that are joined into one.
 MERGE = 8
 
@@ -144,7 +146,8 @@ class Store:
 
     def _write(self, rows: DataFrame, name: str, version: int, compacted: int, *by: str) -> str:
         path = f"{self.folder}/{name}/_v={version}/_c={compacted}"
-        rows.write.mode("overwrite").partitionBy(*by).parquet(path) if by else rows.write.mode("overwrite").parquet(path)
+        with shuffles_freed(self.spark):
+            rows.write.mode("overwrite").partitionBy(*by).parquet(path) if by else rows.write.mode("overwrite").parquet(path)
         return path
 
     def _add_rows(self, name: str, entry: dict, rows: DataFrame, version: int) -> dict:

@@ -69,3 +69,33 @@ def test_pairs_that_cannot_win_carry_no_texts(spark, monkeypatch):
     got = {(r["id"], r["with_id"]) for r in matching.best_matches(new, known, ["user_id"]).collect()}
     assert got == {(2 * i + 1, 2 * i) for i in range(300)}
     assert sum(scored) <= 2 * 300
+
+
+def test_a_shuffle_holds_one_piece_of_the_probes(spark, monkeypatch):
+    """Many pieces on both sides: the rows that meet in one turn stay in proportion to the others."""
+    monkeypatch.setattr(bounds, "PROBE_ROWS", 100)
+    monkeypatch.setattr(bounds, "OTHER_ROWS", 100)
+    probes, others = (spark.range(1000).withColumn("user_id", F.col("id") % 1) for _ in range(2))
+    sizes = bounds._sizes(probes, others, ["user_id"])
+    turns = [bounds._cut(probes, others, ["user_id"], sizes, turn).count().collect() for turn in range(10)]
+    moved = [sum(r["count"] for r in turn) for turn in turns]
+    assert sum(moved) == 10 * 1000 + 10 * 1000 and max(moved) < 1000 + 10 * 150
+
+
+def test_pairs_are_scored_in_turns(spark, monkeypatch):
+    """More pairs than a turn takes: as many calls, the same matches."""
+    rng = random.Random(11)
+    bases = templates(rng)
+    new, known = (spark.createDataFrame(fixture(rng, 80, start, bases), SCHEMA) for start in (1, 2))
+    wanted = {tuple(r) for r in matching.best_matches(new, known, ["user_id"], mode="exact").collect()}
+    scored, plain = [], matching.score_pairs
+
+    def counted(pairs, *sides, **options):
+        scored.append(pairs.count())
+        return plain(pairs, *sides, **options)
+
+    monkeypatch.setattr(matching, "score_pairs", counted)
+    monkeypatch.setattr(matching, "LEAST_SCORED", 10)
+    got = {tuple(r) for r in matching.best_matches(new, known, ["user_id"]).collect()}
+    assert wanted and got == wanted
+    assert len(scored) > 3 and max(scored) < 80
