@@ -674,7 +674,7 @@ def best_matches(
 
 
 #: Pairs that are scored in one turn, at least.
-LEAST_SCORED = 50_000
+LEAST_SCORED = 10_000
 
 #: Classes of ids by which rows are kept from being shuffled; the list of classes that is sent around has no more entries.
 ID_CLASSES = 1 << 20
