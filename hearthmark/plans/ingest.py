@@ -95,15 +95,19 @@ def plan_ingestion(
         F.col("id").alias("matched_id"),
         F.struct("price", "fingerprint", F.col("source_status").alias("status")).alias("_before"),
     )
+    # by its key, as the last rows per key are spread already; later steps move no texts
+    rows = incoming.join(stored, key, "left")
     if searches is None:
-        rated = incoming.withColumns({"relevance": F.lit(100), "excluded": F.lit(False)})
+        rated = rows.withColumns({"relevance": F.lit(100), "excluded": F.lit(False)})
     else:
-        rated = score_relevance(incoming.join(prepare_searches(searches), "search_id", "left")).drop("_criteria")
+        # kept, so that Spark knows the size of the criteria and sends few of them to the listings instead of moving all listings
+        criteria = snapshot(prepare_searches(searches))
+        rated = score_relevance(rows.join(criteria, "search_id", "left")).drop("_criteria")
         rated = rated.withColumns({"excluded": F.col("relevance.excluded"), "relevance": F.col("relevance.score")})
+    rated = with_fingerprint(rated)
+    given = [c for c in rated.columns if c not in (*key, "matched_id", "_before")]
     planned = snapshot(
-        with_fingerprint(rated)
-        .join(stored, key, "left")
-        .withColumn("kind", F.when(F.col("matched_id").isNull(), "insert").otherwise("update"))
+        rated.select(*key, *given, "matched_id", "_before").withColumn("kind", F.when(F.col("matched_id").isNull(), "insert").otherwise("update"))
     )
     kept = ["id", *tenant, *(["search_id"] if "search_id" in incoming.columns else [])]
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthmark.plans import extraction, ingest, normalise
+from hearthmark.session import snapshot
 from hearthmark.sources import feeds, transactions
 from hearthmark.streaming import jobs
 
@@ -127,6 +128,26 @@ def test_plan_rules(spark):
     assert '"confidence":100' in plan.notifications.where("type = 'recycled'").first()["payload"]
 
 
+def test_listings_do_not_move_to_meet_their_search(spark, monkeypatch):
+    """The texts of a batch are dealt once, by their key, however large the searches look before they are made."""
+    columns = "search_id int, price_min double, price_max double, surface_min double, surface_max double, rooms_min int, rooms_max int, property_types array<string>, keywords_required array<string>, keywords_excluded array<string>, center_lat double, center_lng double, radius_km double, polygon array<struct<lng:double,lat:double>>"
+    one = spark.createDataFrame([(1, None, 300000.0, None, None, None, None, [], ["lumineux"], ["cave"], None, None, None, None)], columns)
+    # one row, which the optimizer takes for a million
+    searches = one.crossJoin(spark.range(1_000_000).where("id = 7").select())
+    kept = []
+    monkeypatch.setattr(ingest, "snapshot", lambda rows: kept.append(rows) or snapshot(rows))
+    batch = ingest.last_per_key(
+        rows_of(spark, dict(id=10, external_id="A", price=1.0), dict(id=11, external_id="A", price=235000.0), dict(id=12, external_id="N", search_id=None, description="cave")),
+        ["user_id", "source_id", "external_id"],
+        "id",
+    )
+    plan = ingest.plan_ingestion(batch, stored(spark, dict(id=1, external_id="A")), searches)
+    got = sorted((r["id"], r["kind"], r["matched_id"], r["relevance"], r["excluded"]) for r in plan.upserts.collect())
+    assert got == [(11, "update", 1, 100, False), (12, "insert", None, 100, False)]
+    dealt = kept[-1]._jdf.queryExecution().executedPlan().toString()
+    assert dealt.count("hashpartitioning(search_id") == 0 and dealt.count("hashpartitioning(user_id") == 2
+
+
 def state_of(spark, known):
     listings = known.withColumns({"relevance_score": F.lit(0), "last_seen_at": now(), "last_changed_at": now(), "first_seen_at": now()})
     versions = listings.select(F.col("id").alias("listing_id"), F.col("last_seen_at").alias("captured_at"), "price")
