@@ -69,19 +69,33 @@ def _shared_context(df: DataFrame) -> SparkContext:
 #: With this setting Spark deletes the shuffle files of an action when it ends, not when the driver collects garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Rows that Spark hands to a Python worker at once, at most; with texts and their trigrams its default takes hundreds of MB a worker.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Actions on tables made inside leave no shuffle files, so that a job of many steps holds those of one step."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_CLEANUP)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(_CLEANUP, before)
+            spark.conf.set(key, before)
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Actions on tables made inside leave no shuffle files, so that a job of many steps holds those of one step.
+
+    They hand rows to Python in small batches, so that the memory of a worker does not follow the size of a scan split.
+    """
+    rows = int(spark.conf.get(_BATCH))
+    with _set(spark, _CLEANUP, "true"), _set(spark, _BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)):
+        yield
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """What checkpoints and snapshots leave behind."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from hearthmark.session import checkpointed, snapshot
+from hearthmark.session import BATCH_ROWS, checkpointed, snapshot
 
 
 def shuffle_files(spark):
@@ -24,3 +25,13 @@ def test_kept_tables_leave_no_shuffle_files(spark):
 def test_snapshot_of_columns_that_files_cannot_hold(spark):
     rows = spark.range(3).withColumn("nothing", F.lit(None))
     assert [tuple(r) for r in snapshot(rows).orderBy("id").collect()] == [(0, None), (1, None), (2, None)]
+
+
+def test_steps_hand_rows_to_python_in_small_batches(spark):
+    sizes = F.pandas_udf(lambda ids: pd.Series(len(ids), index=ids.index), "long")
+    rows = spark.range(0, 3 * BATCH_ROWS, 1, 1).select("id", sizes("id").alias("size"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for keep in (checkpointed, snapshot):
+        assert [tuple(r) for r in keep(rows).agg(F.max("size"), F.count("id")).collect()] == [(BATCH_ROWS, 3 * BATCH_ROWS)]
+    assert spark.conf.get(key) == before
