@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,15 @@ STOPWORDS = (
     "ses son sa plus tres tout toute par est vous votre"
 ).split()
 
+_BLANKS = "\t\n\x0b\f\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+# a blank between words stays as it is
+_GAP = re.compile(f"[ {_BLANKS}]{{2,}}|[{_BLANKS}]")
+_WORD_BYTES = b"abcdefghijklmnopqrstuvwxyz0123456789"
+_ONLY_WORDS = bytes(c if c in _WORD_BYTES else 32 for c in range(256))
+_ONE_BLANK = bytes(32 if c in b"\t\n\x0b\f\r" else c for c in range(256))
+# stop-words and single characters
+_NO_WORDS = {w.encode() for w in STOPWORDS} | {bytes([c]) for c in _WORD_BYTES}
+
 
 def _accent_table() -> tuple[str, str]:
     """Letters whose canonical decomposition is one base character plus marks."""
@@ -71,6 +82,11 @@ def folded_words(folded: Column) -> Column:
     return F.array_except(words, F.array(*[F.lit(w) for w in STOPWORDS]))
 
 
+def folded_word_set(folded: str) -> set[bytes]:
+    """:func:`folded_words` of one text, outside of Spark."""
+    return set(folded.encode().translate(_ONLY_WORDS).split()) - _NO_WORDS
+
+
 def trigram_set(text: Column) -> Column:
     """Distinct character trigrams of the padded text.
 
@@ -114,6 +130,20 @@ def _gram_codes_of(text: str) -> np.ndarray:
     return np.unique((points[first] << 42) + (points[second[first]] << 21) + points[third[first]])
 
 
+def folded_gram_codes(folded: str) -> np.ndarray:
+    """:func:`gram_codes` of one text, outside of Spark."""
+    if not folded.isascii():
+        return _gram_codes_of(f"  {_GAP.sub(' ', folded).strip(' ')} ")
+    text = folded.encode().translate(_ONE_BLANK)
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    units = np.frombuffer(b"  " + text.strip(b" ") + b" ", dtype=np.uint8).astype(np.int32)
+    # seven bits a character while they are sorted
+    codes = np.sort((units[:-2] << 14) + (units[1:-1] << 7) + units[2:])
+    codes = codes[np.diff(codes, prepend=-1) != 0].astype(np.int64)
+    return (codes >> 14 << 42) + ((codes >> 7 & 127) << 21) + (codes & 127)
+
+
 def gram_codes(folded: Column) -> Column:
     """``packed(trigram_set(text))`` of a folded text in rising order, without a string per character.
 
@@ -144,6 +174,25 @@ def dice(left: Column, right: Column) -> Column:
     )
 
 
+def _folded_overlaps(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    @lru_cache(maxsize=256)
+    def sets(text: str) -> tuple[set[bytes], np.ndarray]:
+        return folded_word_set(text), folded_gram_codes(text)
+
+    found = []
+    for a, b in zip(left, right, strict=True):
+        (words, grams), (other_words, other_grams) = sets(a), sets(b)
+        common, total = len(words & other_words), len(words) + len(other_words)
+        both = np.sort(np.concatenate([grams, other_grams]))
+        found.append((common / (total - common) if total else 1.0, int((both[1:] == both[:-1]).sum()) * 2.0 / len(both)))
+    return pd.DataFrame(found, columns=["words", "grams"])
+
+
+def folded_overlaps(left: Column, right: Column) -> Column:
+    """Overlaps ``words`` (:func:`jaccard`) and ``grams`` (:func:`dice`) of two folded texts, whose sets are not moved."""
+    return F.pandas_udf(_folded_overlaps, "words double, grams double")(left, right)
+
+
 def listing_text(title: Column, description: Column) -> Column:
     """Title and description without white space at the ends. Pure ASCII rows need no search for it."""
     joined = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))

@@ -15,9 +15,11 @@ from hearthmark.functions.images import hash_codes, image_similarity
 from hearthmark.functions.numbers import half_up, number_text, one_decimal, proximity
 from hearthmark.functions.text import (
     TRIGRAM_SHARE,
+    WHITESPACE,
     WORD_SHARE,
     dice,
     fold,
+    folded_overlaps,
     folded_words,
     gram_codes,
     jaccard,
@@ -66,6 +68,7 @@ HASH_BITS = 64
 NUMBERS = ("price", "surface_m2", "rooms", "lat", "lng")
 SLIM = (*NUMBERS, "property_type", "_contact", "_hashes", "_blank", "_n_words", "_n_grams")
 FULL = (*SLIM, "_words", "_grams")
+FOLDED = (*NUMBERS, "property_type", "_contact", "_hashes", "_blank", "_folded")
 
 
 def comparable(listings: DataFrame) -> DataFrame:
@@ -83,6 +86,19 @@ def comparable(listings: DataFrame) -> DataFrame:
     return rows.withColumns({"_n_words": F.size("_words"), "_n_grams": F.size("_grams")}).drop("_text", "_folded")
 
 
+def folded_rows(listings: DataFrame) -> DataFrame:
+    """Add what an outline needs: folded contact and text; white space at the ends of a text makes no words and no trigrams."""
+    joined = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))
+    rows = with_once(
+        listings,
+        _joined=joined,
+        _contact=F.nullif(squash(fold(F.col("contact_name"))), F.lit("")),
+        property_type=F.nullif("property_type", F.lit("")),
+        _hashes=hash_codes(F.col("phashes")),
+    )
+    return rows.withColumns({"_folded": fold(F.col("_joined")), "_blank": ~F.col("_joined").rlike(f"[^{WHITESPACE[1:]}")}).drop("_joined")
+
+
 def _side(prefix: str, name: str) -> Column:
     return F.col(f"{prefix}{name}")
 
@@ -193,12 +209,19 @@ def score_pairs(
     geo_tolerance_m: float = NEAR_M,
     explain: bool = True,
 ) -> DataFrame:
-    """Score ``pairs(a, b)`` of ids of ``comparable`` tables."""
-    rows = pairs.join(_renamed(left, FULL, "a_", [F.col("id").alias("a")]), "a").join(
-        _renamed(right, FULL, "b_", [F.col("id").alias("b")]), "b"
+    """Score ``pairs(a, b)`` of ids of ``comparable`` tables, or of ``folded_rows``, whose sets are made pair by pair."""
+    folded = "_folded" in left.columns
+    columns = FOLDED if folded else FULL
+    rows = pairs.join(_renamed(left, columns, "a_", [F.col("id").alias("a")]), "a").join(
+        _renamed(right, columns, "b_", [F.col("id").alias("b")]), "b"
     )
     sims = {f"_sim_{n}": s for n, s in attribute_similarities("a_", "b_", geo_tolerance_m).items()}
-    rows = with_score(with_once(rows, _sim_text=_text_of_pair("a_", "b_"), **sims), weights, thresholds)
+    if folded:
+        rows = rows.withColumn("_overlaps", folded_overlaps(F.col("a__folded"), F.col("b__folded"))).drop("a__folded", "b__folded")
+        text = text_similarity(F.col("a__blank"), F.col("b__blank"), F.col("_overlaps.words"), F.col("_overlaps.grams"))
+    else:
+        text = _text_of_pair("a_", "b_")
+    rows = with_score(with_once(rows, _sim_text=text, **sims), weights, thresholds)
     if explain:
         rows = with_explanation(rows, weights)
     kept = [*pairs.columns, "score", "bucket", *[f"_sim_{n}" for n in SIMILARITIES]]
@@ -633,18 +656,18 @@ def best_matches(
     wanted_reps = wanted.groupBy("_profile").agg(F.min("id").alias("id"))
     known_reps = known.groupBy("_profile").agg(F.min("id").alias("id"))
     if mode == "blocked":
-        left = snapshot(outlines(comparable(incoming), scope).join(wanted_reps.select("id"), "id", "left_semi"))
-        right = snapshot(outlines(comparable(existing), scope).join(known_reps.select("id"), "id", "left_semi"))
+        left = snapshot(outlines(folded_rows(incoming), scope).join(wanted_reps.select("id"), "id", "left_semi"))
+        right = snapshot(outlines(folded_rows(existing), scope).join(known_reps.select("id"), "id", "left_semi"))
 
-        most = max(LEAST_SCORED, left.count() // 4)
+        most = max(LEAST_SCORED, left.count() // 2)
 
         def scored_anew(pairs: DataFrame) -> DataFrame:
             # outlines hold no texts: those of the rows that pairs name are read again
-            sides = (comparable(_named(rows, pairs.select(F.col(end).alias("id")))) for rows, end in ((incoming, "a"), (existing, "b")))
+            sides = (folded_rows(_named(rows, pairs.select(F.col(end).alias("id")))) for rows, end in ((incoming, "a"), (existing, "b")))
             return score_pairs(pairs.select("a", "b").distinct(), *sides, explain=False).select("a", "b", "score", "bucket", F.col("b").alias("_order"))
 
         def scored_in_turns(pairs: DataFrame) -> DataFrame:
-            # pairs move the features of both rows: as many at once as are in proportion to the rows
+            # pairs move the texts of both rows: as many at once as are in proportion to the rows
             turns = -(-pairs.count() // most)
             if turns < 2:
                 return scored_anew(pairs)
@@ -688,7 +711,7 @@ def _named(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _bounded_best(left: DataFrame, right: DataFrame, scope: list[str], scored, floor: int) -> DataFrame:
-    """Best partners by falling bounds: of the likeliest pair of each row first, then of all pairs that can beat it."""
+    """Best partners by falling bounds: of the few or likeliest pairs of each row first, then of all pairs that can beat them."""
 
     def reaching(least: Column, best: DataFrame | None = None, promoted: bool = False) -> DataFrame:
         none = F.lit(None)
@@ -703,9 +726,12 @@ def _bounded_best(left: DataFrame, right: DataFrame, scope: list[str], scored, f
         known = best.withColumn("_order", F.col("b"))
         return checkpointed(_best(scored(checkpointed(pairs.select("a", "b"))).unionByName(known)))
 
-    likeliest = reaching(F.lit(floor - 0.5), promoted=True).groupBy("a", "maybe").agg(F.max_by("b", "bound").alias("b"))
-    best = checkpointed(_best(scored(checkpointed(likeliest.select("a", "b")))))
-    best = improved(best, reaching(F.lit(floor - 0.5), best, promoted=True))
+    found = checkpointed(reaching(F.lit(floor - 0.5), promoted=True))
+    best = checkpointed(_best(scored(found.select("a", "b"))))
+    # rows with more pairs than the first search returns: all that can beat the likeliest
+    crowded = best.join(found.where("more").select("a").distinct(), "a", "left_semi")
+    if not crowded.isEmpty():
+        best = improved(best, reaching(F.lit(floor - 0.5), crowded, promoted=True))
     sure = [best.where(F.col("score") >= floor)]
     # a promoted pair below the floor counts only when no other pair beats it
     rest = best.where((F.col("score") < floor) & (F.col("bucket") == "doublon_exact"))
