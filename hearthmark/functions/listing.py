@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hearthmark.functions.numbers import number_text
-from hearthmark.functions.text import fold, squash
+from hearthmark.functions.text import fold, squashed
 
 # Patterns tried in order on the folded type text; first match wins.
 PROPERTY_TYPES = (
@@ -116,14 +116,14 @@ def fingerprint(price: Column, surface: Column, rooms: Column, title: Column, de
     def printed(number: Column) -> Column:
         return F.coalesce(number_text(number.cast("double")), blank)
 
-    parts = [
-        printed(price),
-        printed(surface),
-        printed(rooms),
-        squash(fold(F.coalesce(title, blank))),
-        squash(fold(F.coalesce(description, blank))),
-    ]
-    return fnv1a_hex(F.concat_ws("|", *parts))
+    numbers = F.concat_ws("|", printed(price), printed(surface), printed(rooms))
+    return F.pandas_udf(_fingerprint, "string")(numbers, fold(F.coalesce(title, blank)), fold(F.coalesce(description, blank)))
+
+
+def _fingerprint(numbers: pd.Series, titles: pd.Series, descriptions: pd.Series) -> pd.Series:
+    # spacing is told apart here: a pattern in Spark would step through the whole text
+    lines = [f"{n}|{squashed(t)}|{squashed(d)}" for n, t, d in zip(numbers, titles, descriptions, strict=True)]
+    return _fnv1a(pd.Series(lines, dtype=object))
 
 
 def content_id(title: Column, url: Column, price: Column) -> Column:

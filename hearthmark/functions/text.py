@@ -130,14 +130,21 @@ def _gram_codes_of(text: str) -> np.ndarray:
     return np.unique((points[first] << 42) + (points[second[first]] << 21) + points[third[first]])
 
 
+def squashed(text: str) -> str:
+    """:func:`squash` of one text, outside of Spark."""
+    if not text.isascii():
+        return _GAP.sub(" ", text).strip(" ")
+    short = text.encode().translate(_ONE_BLANK)
+    while b"  " in short:
+        short = short.replace(b"  ", b" ")
+    return short.strip(b" ").decode()
+
+
 def folded_gram_codes(folded: str) -> np.ndarray:
     """:func:`gram_codes` of one text, outside of Spark."""
     if not folded.isascii():
-        return _gram_codes_of(f"  {_GAP.sub(' ', folded).strip(' ')} ")
-    text = folded.encode().translate(_ONE_BLANK)
-    while b"  " in text:
-        text = text.replace(b"  ", b" ")
-    units = np.frombuffer(b"  " + text.strip(b" ") + b" ", dtype=np.uint8).astype(np.int32)
+        return _gram_codes_of(f"  {squashed(folded)} ")
+    units = np.frombuffer(f"  {squashed(folded)} ".encode(), dtype=np.uint8).astype(np.int32)
     # seven bits a character while they are sorted
     codes = np.sort((units[:-2] << 14) + (units[1:-1] << 7) + units[2:])
     codes = codes[np.diff(codes, prepend=-1) != 0].astype(np.int64)

@@ -35,6 +35,8 @@ from hearthmark.session import checkpointed
 WORD_BITS, GRAM_BITS, LEAST_BITS = 16, 8, 256
 #: Rows of a piece of either side.
 PROBE_ROWS, OTHER_ROWS = 32_768, 8_192
+#: Partitions for each group of pieces, and most of them.
+GROUP_PARTITIONS, MOST_PARTITIONS = 4, 4_096
 #: Rows of a tile of either side, and pairs that are looked at together.
 PROBE_TILE, OTHER_TILE, CHUNK_PAIRS = 64, 8, 1 << 17
 #: Words of 64 bits of a field that are compared first.
@@ -478,7 +480,7 @@ def _sizes(probes: DataFrame, others: DataFrame, scope: Sequence[str]) -> DataFr
     return pieces(probes, PROBE_ROWS, "_i_n").join(pieces(others, OTHER_ROWS, "_j_n"), list(scope))
 
 
-def _cut(probes: DataFrame, others: DataFrame, scope: Sequence[str], sizes: DataFrame, turn: int) -> GroupedData:
+def _cut(probes: DataFrame, others: DataFrame, scope: Sequence[str], sizes: DataFrame, turn: int, partitions: int = 0) -> GroupedData:
     """One piece of the probes and all pieces of the others below each other, every pair of pieces as one group ``(scope, _j)``."""
     sizes = sizes.where(F.col("_i_n") > turn)
 
@@ -488,7 +490,8 @@ def _cut(probes: DataFrame, others: DataFrame, scope: Sequence[str], sizes: Data
     mine = probes.join(sizes, list(scope)).where(piece("_i_n") == turn).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_j_n") - 1)))
     theirs = others.join(sizes, list(scope)).withColumn("_j", piece("_j_n"))
     sides = [rows.drop("_i_n", "_j_n").withColumn("_probe", F.lit(side)) for rows, side in ((mine, True), (theirs, False))]
-    return sides[0].unionByName(sides[1], allowMissingColumns=True).groupBy(*scope, "_j")
+    met = sides[0].unionByName(sides[1], allowMissingColumns=True)
+    return (met.repartition(partitions, *scope, "_j") if partitions else met).groupBy(*scope, "_j")
 
 
 def _likeliest(i: np.ndarray, bound: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -557,7 +560,9 @@ def pairs_within(
     if not scope:
         probes, others, scope = probes.withColumn("_all", F.lit(0)), others.withColumn("_all", F.lit(0)), ["_all"]
     sizes = checkpointed(_sizes(probes, others, scope))
-    turns = sizes.agg(F.max("_i_n")).first()[0] or 1
-    parts = [_cut(probes, others, scope, sizes, turn).applyInArrow(search, schema) for turn in range(turns)]
+    turns, groups = (x or 1 for x in sizes.agg(F.max("_i_n"), F.sum("_j_n")).first())
+    # few and heavy groups: with as many partitions as that hardly any task gets several
+    partitions = min(GROUP_PARTITIONS * groups, MOST_PARTITIONS)
+    parts = [_cut(probes, others, scope, sizes, turn, partitions).applyInArrow(search, schema) for turn in range(turns)]
     # a shuffle holds one piece of the probes per piece of the others, however many pieces there are
     return reduce(DataFrame.unionByName, [checkpointed(p) for p in parts] if turns > 1 else parts)

@@ -250,3 +250,14 @@ def test_gram_codes_are_those_of_the_trigram_set(spark):
     done = matching.comparable(spark.createDataFrame([("Été", "à la mer", None, "", None)], listing))
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert "_gram_codes" in plan and "(?=(.{3}))" not in plan
+
+
+def test_fingerprint_squashes_texts_outside_of_spark(spark):
+    """The same line as the column expressions make, without a pattern that steps through the text."""
+    texts = ["", None, "   ", " ́abc é", "a  b  c\td", "İstanbul ÀÉÎ", "|", "\x1c a\x85b\x0b\x0c", "\r\n a \r\n", "﻿abc　", "😀 b"]
+    rows = spark.createDataFrame([(t, d) for t in texts for d in texts], "title string, description string")
+    line = F.concat_ws("|", F.lit("5"), F.lit(""), F.lit("2"), *[text.squash(text.fold(F.coalesce(c, F.lit("")))) for c in ("title", "description")])
+    made = listing.fingerprint(F.lit(5.0), F.lit(None).cast("double"), F.lit(2), F.col("title"), F.col("description"))
+    assert rows.where(~made.eqNullSafe(listing.fnv1a_hex(line))).count() == 0
+    plan = rows.select(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert "{FEFF}]+," not in plan
